@@ -11,8 +11,6 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritally.llm.common import crc_text
-
 PIECE = 2048
 LEVEL = 3
 
@@ -61,19 +59,19 @@ def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, flo
     return float(w[0] / scale), float(w[1])
 
 
-def fit(labelled: DataFrame, most_per_class: int = 3000, dictionary_bytes: int = 1 << 16, text_col: str = "text", label_col: str = "label") -> CompressionModel:
-    """Dictionaries and calibration from at most ``most_per_class`` labelled rows of each class.
+def fit(labelled: DataFrame, dictionary_bytes: int = 1 << 16, text_col: str = "text", label_col: str = "label") -> CompressionModel:
+    """Dictionaries and calibration from a bounded sample of labelled rows, such as ``labels.draw`` returns.
 
-    The bound is on labelled rows only: those with the smallest hashes of their text are drawn, in a top-k that each
-    task shortens first. Two thirds of the draw build the dictionaries, the rest calibrates, so the line is fitted on
-    texts that the dictionaries have not seen. Rows with null or empty text or null label are left out. With too few
-    rows of a class for a dictionary, the model is constant at the share of good rows (0.5 without any rows).
+    Two thirds of each class build its dictionary, the rest calibrates, so the line is fitted on texts that the
+    dictionaries have not seen. Rows with null or empty text or null label are left out. With too few rows of a class
+    for a dictionary, the model is constant at the share of good rows (0.5 without any rows).
     """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")).where("text <> '' and label in (0, 1)")
-    drawn: dict[int, list[bytes]] = {}
-    for k in (0, 1):
-        top = rows.where(F.col("label") == k).orderBy(F.xxhash64(F.lit("draw"), "text"), "text").limit(most_per_class)
-        drawn[k] = [r[0].encode("utf-8", "surrogatepass") for r in top.select("text").toLocalIterator()]
+    drawn: dict[int, list[bytes]] = {0: [], 1: []}
+    for text, label in sorted((r[0].encode("utf-8", "surrogatepass"), r[1]) for r in rows.toLocalIterator()):
+        drawn[label].append(text)
+    for texts in drawn.values():
+        np.random.Generator(np.random.PCG64(5)).shuffle(texts)
     good, bad = drawn[1], drawn[0]
     share = (len(good) + 0.5) / (len(good) + len(bad) + 1) if good or bad else 0.5
     constant = CompressionModel(b"", b"", 0.0, float(np.log(share / (1 - share))))
@@ -112,9 +110,3 @@ def score(docs: DataFrame, model: CompressionModel, id_col: str = "doc_id", text
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(batches, f"doc_id {kind}, score double")
-
-
-def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int) -> DataFrame:
-    """(text, label) of the rows that may be learned from: crc32(doc_id as text) mod modulus is not ``held``."""
-    own = labels.select("doc_id", F.col(label).alias("label")).where(f"{label} is not null").where(crc_text("doc_id") % modulus != held)
-    return docs.select("doc_id", "text").join(own, "doc_id").select("text", "label")
