@@ -49,16 +49,21 @@ class ToxicityModel:
         return float(-np.expm1(-self.leak - np.logaddexp(0, z).sum()))
 
 
-def fit(labelled: DataFrame, least_docs: int = 4, steps: int = 150, l1: float = 1.0, text_col: str = "text", label_col: str = "label") -> ToxicityModel:
+def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", **how) -> ToxicityModel:
     """Train from document labels on a bounded sample of rows, such as ``labels.draw`` returns.
 
     The likelihood of a document is the noisy-or over its sentences; the gradient reaches the words of each sentence
-    through it, so a toxic document's blame settles on the sentences that set it apart. Words of fewer than
-    ``least_docs`` documents have no weight; an L1 penalty (soft thresholds) keeps the weights of the others few.
-    Rows with null text or label are left out. Without both classes the score is the constant share of label 1.
+    through it, so a toxic document's blame settles on the sentences that set it apart. Rows with null text or label are left out. Without both classes the score is the constant share of label 1.
     """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")).where("text is not null and label in (0, 1)")
-    docs = sorted((r[0], r[1]) for r in rows.toLocalIterator())
+    return train(sorted((r[0], r[1]) for r in rows.toLocalIterator()), **how)
+
+
+def train(docs: list[tuple[str, int]], least_docs: int = 4, steps: int = 200, l1: float = 2e-4, bias: float = -8.0) -> ToxicityModel:
+    """The model for (text, label) pairs by proximal AdaGrad steps on all of them.
+
+    Words of fewer than ``least_docs`` documents have no weight; an L1 penalty (l1 for each document) keeps the others few.
+    """
     y = np.array([k for _, k in docs], float)
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 0.5) / (len(y) + 1)
@@ -73,7 +78,7 @@ def fit(labelled: DataFrame, least_docs: int = 4, steps: int = 150, l1: float =
             row += [len(doc)] * len(own)
             doc.append(d)
     col, row, doc = np.array(entry, np.int64), np.array(row, np.int64), np.array(doc, np.int64)
-    w, bias, leak_logit = np.zeros(len(vocab)), -5.0, -3.0
+    w, leak_logit = np.zeros(len(vocab)), -6.0
     square, square_b, square_l, rate = np.full(len(vocab), 1e-3), 1e-3, 1e-3, 0.3
     for _ in range(steps):
         z = bias + np.bincount(row, w[col], len(doc))
@@ -87,7 +92,7 @@ def fit(labelled: DataFrame, least_docs: int = 4, steps: int = 150, l1: float =
         square_l += grad_l**2
         step = rate / np.sqrt(square)
         w -= step * grad
-        w = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
+        w = np.sign(w) * np.maximum(np.abs(w) - step * l1 * len(y), 0)
         bias -= rate * grad_b / np.sqrt(square_b)
         leak_logit -= rate * grad_l / np.sqrt(square_l)
     names = list(vocab)
