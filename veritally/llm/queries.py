@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritally.llm import compression_quality, labels, license_scan, line_templates, packing, perplexity, sharding, simhash, toxicity
+from veritally.llm import (
+    compression_quality,
+    labels,
+    latent_decontamination,
+    license_scan,
+    line_templates,
+    packing,
+    perplexity,
+    sharding,
+    simhash,
+    suffix_repeats,
+    toxicity,
+)
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +39,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
+def op6_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a benchmark item or its paraphrase, with the item."""
+    return latent_decontamination.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     near = simhash.near_duplicates(_read(spark, sf_dir, "documents"), radius=2, shingle=3)
@@ -42,28 +59,10 @@ def op9_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
-def op4_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts, base rules and the verdict of the perplexity band for every document."""
-    out = perplexity.quality_rules(_read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_ppl")
-
-
-def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, tokenized by the byte-level vocabulary of 50k ids, packed into sequences of 2048."""
-    import public_tokenizers
-
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")  # the same vocabulary as byte_bpe_50k.json, as ranks
-    packed = packing.pack_documents(_read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
-
-
-def op9_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality score of every document; labels are learned from rows with crc32(doc_id) mod 4 other than 2."""
-    docs = _read(spark, sf_dir, "documents")
-    held = labels.held_out(4, 2)
-    sample = labels.draw(docs, _read(spark, sf_dir, "labels"), "quality", ~held)
-    scored = compression_quality.score(docs, compression_quality.fit(sample))
-    return scored.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+def op3_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes that strings of 400 bytes cover which also start elsewhere."""
+    out = suffix_repeats.remove_repeats(_read(spark, sf_dir, "documents"), length=400)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op4_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,8 +137,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_line_templates": op1_line_templates,
     "op2_toxicity": op2_toxicity,
+    "op3_suffix_repeats": op3_suffix_repeats,
     "op4_perplexity_rules": op4_perplexity_rules,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_latent_decontamination": op6_latent_decontamination,
     "op7_simhash": op7_simhash,
     "op8_sharding": op8_sharding,
     "op9_compression_quality": op9_compression_quality,
