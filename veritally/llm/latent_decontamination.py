@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from veritally.llm.common import hold
 
 WINDOW, STRIDE = 48, 24
-RANK, EXTRA = 160, 32
+RANK, EXTRA = 224, 32
 COMMON = 0.005
-COSINE, LCS, SURE, RARE = 0.5, 0.55, 0.8, 0.5
+COSINE, LCS, SURE, RARE = 0.6, 0.55, 0.8, 0.5
 _WORD = re.compile(r"\w+")
 _BLOCK = 4096
 
@@ -39,6 +39,11 @@ class Items:
         own = [(i, w) for i, t in sorted(rows, key=lambda r: (str(r[0]), r[1] or "")) if (w := item_words(t))]
         return cls([i for i, _ in own], [w for _, w in own], {x: k for k, x in enumerate(sorted({x for _, w in own for x in w}))})
 
+    def flat(self) -> tuple[np.ndarray, np.ndarray]:
+        """(terms, item of each)."""
+        terms = [self.vocabulary[x] for w in self.words for x in w]
+        return np.array(terms, np.int64), np.repeat(np.arange(len(self.words)), [len(w) for w in self.words])
+
 
 def _weights(terms: np.ndarray, rows: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, term, weight) of length-one TF-IDF rows, sorted by row; common terms are gone."""
@@ -141,7 +146,9 @@ def latent_basis(held: DataFrame, items: Items, seed: int = 11) -> tuple[np.ndar
 
     Randomised SVD of the passages' TF-IDF matrix A: one pass sums A'(A R) for a random R, which QR turns into an
     orthonormal range; a second pass sums the small Gram matrix of A in that range, whose eigenvectors rotate it.
-    Every sum runs over all passages. Terms in over COMMON of all passages carry no weight, as stop words.
+    Every sum runs over all passages. The items are rows of A too, scaled so that they hold as much of its square sum
+    as the corpus does: else the directions of an item that few passages hold would be lost. Terms in over COMMON of
+    all passages carry no weight, as stop words.
     """
     v = len(items.vocabulary)
 
@@ -169,14 +176,20 @@ def latent_basis(held: DataFrame, items: Items, seed: int = 11) -> tuple[np.ndar
                 which, begin = np.unique(term[by], return_index=True)
                 out[which] += np.add.reduceat(back[by], begin, axis=0)
 
-    q, _ = np.linalg.qr(_summed(held, v * wide, power).reshape(v, wide))
+    words, rows = items.flat()
+    own = np.zeros((len(items.ids), v), np.float32)
+    row, term, w = _weights(words, rows, idf)
+    own[row, term] = w
+    share = np.float32(n / len(own))
+    q, _ = np.linalg.qr(_summed(held, v * wide, power).reshape(v, wide) + share * (own.T @ (own @ start)))
     q = q.astype(np.float32)
 
     def gram(b: pa.RecordBatch, total: np.ndarray) -> None:
         _, y = _project(*_weights(*_flat(b), idf), q)
         total += (y.T @ y).ravel()
 
-    values, vectors = np.linalg.eigh(_summed(held, wide * wide, gram).reshape(wide, wide))
+    small = own @ q
+    values, vectors = np.linalg.eigh(_summed(held, wide * wide, gram).reshape(wide, wide) + share * (small.T @ small))
     lead = np.argsort(-values)[: min(RANK, wide)]
     return idf, (q @ vectors[:, lead].astype(np.float32))
 
@@ -186,10 +199,8 @@ def candidates(held: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray
 
     The benchmark is a stated query set, met in blocks of passages. item counts from 0.
     """
-    words = [np.array([items.vocabulary[x] for x in w]) for w in items.words]
-    row = np.repeat(np.arange(len(words)), [len(w) for w in words])
-    there, y = _project(*_weights(np.concatenate(words), row, idf), basis)
-    wanted = np.zeros((len(words), basis.shape[1]), np.float32)
+    there, y = _project(*_weights(*items.flat(), idf), basis)
+    wanted = np.zeros((len(items.ids), basis.shape[1]), np.float32)
     wanted[there] = y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)
     sent = held.sparkSession.sparkContext.broadcast((wanted, idf, basis))
 
