@@ -15,7 +15,7 @@ def wilson(k: Column, n: Column, z: float = Z) -> tuple[Column, Column]:
     d = 1 + z * z / n
     mid = (p + z * z / (2 * n)) / d
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / d
-    return F.greatest(F.lit(0.0), mid - half), F.least(F.lit(1.0), mid + half)
+    return F.when(n.isNotNull(), F.greatest(F.lit(0.0), mid - half)), F.when(n.isNotNull(), F.least(F.lit(1.0), mid + half))
 
 
 def normal(text: Column) -> Column:

@@ -66,8 +66,8 @@ RATE = """, t as (select operator{by}, instance_id, bool_or(verdict in ('WITNESS
 c as (select operator{by}, count(*) filter (where j) as n, count(*) filter (where j and w) as k from t group by all),
 r as (select *, case when n > 0 then k::double / n end as rate, 1 + 1.96::double * 1.96 / n as dd from c)
 select operator{by}, n as judged_tasks, k as witness_tasks, rate,
-  greatest(0.0::double, (rate + 1.96::double * 1.96 / (2 * n)) / dd - 1.96::double * sqrt(rate * (1 - rate) / n + 1.96::double * 1.96 / (4.0::double * n * n)) / dd) as wilson_low,
-  least(1.0::double, (rate + 1.96::double * 1.96 / (2 * n)) / dd + 1.96::double * sqrt(rate * (1 - rate) / n + 1.96::double * 1.96 / (4.0::double * n * n)) / dd) as wilson_high"""
+  case when rate is not null then greatest(0.0::double, (rate + 1.96::double * 1.96 / (2 * n)) / dd - 1.96::double * sqrt(rate * (1 - rate) / n + 1.96::double * 1.96 / (4.0::double * n * n)) / dd) end as wilson_low,
+  case when rate is not null then least(1.0::double, (rate + 1.96::double * 1.96 / (2 * n)) / dd + 1.96::double * sqrt(rate * (1 - rate) / n + 1.96::double * 1.96 / (4.0::double * n * n)) / dd) end as wilson_high"""
 
 
 @query(f"with {FACTS}{RATE.format(by='')} from r")
