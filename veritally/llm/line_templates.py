@@ -49,6 +49,7 @@ def line_templates(docs: DataFrame, depth: int = DEPTH, agree: float = AGREE) ->
     )
     lines = hold(lines, "lines")
     several = lines.groupBy("leaf").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("leaf")
+    several = hold(several, "leaves")  # a table of its own, so that a join with it can split a leaf with very many lines
     # one document for each different line of those leaves lends the words
     member = lines.join(several, "leaf").groupBy("leaf", "h1", "h2").agg(F.min(F.struct("ka", "kb", "line")).alias("at"))
     wanted = member.groupBy("at.ka", "at.kb").agg(F.collect_list(F.struct(F.col("at.line").alias("line"), "leaf", "h1", "h2")).alias("wanted"))
@@ -59,7 +60,7 @@ def line_templates(docs: DataFrame, depth: int = DEPTH, agree: float = AGREE) ->
     words = hold(words, "words")
     votes = words.groupBy("leaf", "at", "word").agg(F.count(F.lit(1)).alias("n"))
     pattern = votes.groupBy("leaf", "at").agg(F.min(F.struct((-F.col("n")).alias("n"), "word"))["word"].alias("common"))
-    match = words.join(pattern, ["leaf", "at"]).groupBy("leaf", "h1", "h2").agg(
+    match = words.join(hold(pattern, "patterns"), ["leaf", "at"]).groupBy("leaf", "h1", "h2").agg(
         F.avg(F.when(F.col("word") == F.col("common"), 1.0).otherwise(0.0)).alias("share")
     )
     match = match.where(F.col("share") >= agree).select("leaf", "h1", "h2", F.lit(True).alias("general"))
@@ -82,7 +83,7 @@ def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, agree: float = AGR
     lines = hold(line_templates(keyed.select("ka", "kb", "doc_id", "text"), depth, agree), "templates")
     first = F.min(F.struct("doc_id", "line", "ka", "kb")).alias("first")
     shared = lines.groupBy("t1", "t2").agg(first, F.min("ka").alias("a"), F.max("ka").alias("b")).where("a <> b").select("t1", "t2", "first")
-    gone = lines.join(shared, ["t1", "t2"]).where("not (ka = first.ka and kb = first.kb and line = first.line)")
+    gone = lines.join(hold(shared, "shared"), ["t1", "t2"]).where("not (ka = first.ka and kb = first.kb and line = first.line)")
     gone = gone.groupBy("ka", "kb").agg(F.collect_set("line").alias("gone"))
     out = keyed.join(gone.hint("shuffle_hash"), ["ka", "kb"], "left")
     raw = F.split("text", "\n", -1)

@@ -303,7 +303,7 @@ def _hot_windows(segments: DataFrame, length: int) -> DataFrame:
 
     windows = hold(segments.select("ka", "kb", "lo", "seg").mapInArrow(batches, "ka long, kb long, s long, w long, v long"), "windows")
     twice = windows.groupBy("w", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w", "v")
-    return windows.join(twice, ["w", "v"]).select("ka", "kb", "s", (F.col("s") + length).alias("e"))
+    return windows.join(hold(twice, "repeated"), ["w", "v"]).select("ka", "kb", "s", (F.col("s") + length).alias("e"))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
@@ -318,7 +318,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     keyed = _keyed(docs)
     anchors = hold(_anchors(keyed, length), "anchors")
     counted = anchors.groupBy("kh").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    wanted = anchors.join(counted, "kh")
+    wanted = anchors.join(hold(counted, "grams"), "kh")  # tables on both sides: the join can split a gram with very many places
     segments = hold(_segments(keyed, wanted, length), "segments")
     cool = segments.where(F.col("n") <= hot).repartition("kh").sortWithinPartitions("kh")
     found = cool.mapInArrow(lambda it: _sorted_groups(it, length), "ka long, kb long, s long, e long")
