@@ -320,18 +320,18 @@ def seeded_limit(spark, d):
 
 
 @query("""with w as (select user_id as run, ts, event_id, value as seconds, max(value) over p as slowest, count(*) over p as n from events
-window p as (partition by user_id order by ts, event_id rows between 7 preceding and current row)) select run, ts, event_id, seconds, slowest from w where n = 8 and slowest < 60""")
+window p as (partition by user_id order by ts, event_id rows between 7 preceding and current row)) select run, event_id, seconds, slowest from w where n = 8 and slowest < 60""")
 def burn_windows(spark, d):
     own = _read(spark, d, "events").select(F.col("user_id").alias("run"), "ts", "event_id", F.col("value").alias("seconds"))
-    return events.burns(own, under=60.0)
+    return events.burns(own, under=60.0).drop("ts")
 
 
 @query("""with e as (select user_id as run, ts, event_id, value > 20 as refused from events), i as (select *, sum((not refused)::int) over (partition by run order by ts, event_id) as g from e),
 c as (select run, ts, event_id, refused, row_number() over (partition by run, g order by ts, event_id) as consecutive from i where refused)
-select run, ts, event_id, refused, consecutive::int as consecutive, (case when consecutive < 3 then 0 else least(900.0, 60 * pow(2.0, consecutive - 3)) end)::int as sleep_s from c""")
+select run, event_id, refused, consecutive::int as consecutive, (case when consecutive < 3 then 0 else least(900.0, 60 * pow(2.0, consecutive - 3)) end)::int as sleep_s from c""")
 def refusal_backoff(spark, d):
     own = _read(spark, d, "events").select(F.col("user_id").alias("run"), "ts", "event_id", (F.col("value") > 20).alias("refused"))
-    return events.backoffs(own)
+    return events.backoffs(own).drop("ts")
 
 
 # ---- judge
@@ -397,7 +397,7 @@ def call_grid(spark, d):
     return compare.call_grid(arms, tasks, 3, s.agg(F.max(F.col("s_suppkey") % 11).cast("int").alias("score")))
 
 
-@query("""select event_id, coalesce(value, 0) * 3.0 / 1000000 + event_id * 15.0 / 1000000 as cost from (select event_id, case when user_id % 3 = 0 then null else value end as value from events)""")
+@query("""select event_id, coalesce(value, 0)::double * 3.0::double / 1000000.0::double + event_id::double * 15.0::double / 1000000.0::double as cost from (select event_id, case when user_id % 3 = 0 then null else value end as value from events)""")
 def call_cost(spark, d):
     own = _read(spark, d, "events").select("event_id", F.when(F.col("user_id") % 3 != 0, F.col("value")).alias("a"))
     return own.select("event_id", X.cost(X.first_of("a", F.lit(0.0)), F.col("event_id"), F.lit(3.0), F.lit(15.0)).alias("cost"))
