@@ -90,45 +90,6 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def op9_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality score of every document; labels are learned from rows with crc32(doc_id) mod 4 other than 2."""
-    docs = _read(spark, sf_dir, "documents")
-    held = labels.held_out(4, 2)
-    sample = labels.draw(docs, _read(spark, sf_dir, "labels"), "quality", ~held)
-    scored = compression_quality.score(docs, compression_quality.fit(sample))
-    return scored.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
-
-
-def op4_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts, base rules and the verdict of the perplexity band for every document."""
-    out = perplexity.quality_rules(_read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_ppl")
-
-
-def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, tokenized by the byte-level vocabulary of 50k ids, packed into sequences of 2048."""
-    import public_tokenizers
-
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")  # the same vocabulary as byte_bpe_50k.json, as ranks
-    packed = packing.pack_documents(_read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
-
-
-def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's shard and slot under the key law, with the shard it has when there is one more."""
-    docs = _read(spark, sf_dir, "documents")
-    written = sharding.slots(sharding.write_shards(docs, sharding.shards_folder(docs)))
-    return written.select(
-        "doc_id",
-        "size",
-        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
-        F.lit("key").alias("law"),
-        "shard",
-        "slot",
-        sharding.shard_of(F.col("doc_id"), 9).alias("grown_shard"),
-    )
-
-
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base phrases and license labels of every document."""
     return license_scan.scan_licenses(_read(spark, sf_dir, "documents"))
