@@ -144,3 +144,15 @@ def test_streaming_twins(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
         assert sorted(map(tuple, spark.table(name).select(cols).collect())) == sorted(map(tuple, b.select(cols).collect()))
+
+
+def test_event_log_is_appended_and_read(spark, tmp_path):
+    from veritally.streaming import events as stream
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"t": 1.5, "event": "start", "instance_id": "a"}\n{"t": 2.5, "event": "done", "seconds": 1.0}\n')
+    for _ in range(2):  # a restart adds nothing
+        q = stream.append_events(stream.event_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+        q.processAllAvailable()
+        q.stop()
+    assert [r["event"] for r in readers.events(spark, str(tmp_path / "out")).orderBy("t").collect()] == ["start", "done"]

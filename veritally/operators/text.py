@@ -6,7 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veritally.functions.expressions import names_symbol
+from veritally.functions.expressions import names_symbol, patched_files, production_python
+
+
+def classify(corpus: DataFrame, patch: str = "patch") -> DataFrame:
+    """corpus plus files_touched, targets (production Python among them), n_files, n_targets, single_file, eligible."""
+    out = corpus.withColumn("files_touched", patched_files(F.col(patch)))
+    out = out.withColumn("targets", F.filter("files_touched", production_python))
+    return out.withColumns(
+        {
+            "n_files": F.size("files_touched"),
+            "n_targets": F.size("targets"),
+            "single_file": F.size("files_touched") == 1,
+            "eligible": F.size("targets") > 0,
+        }
+    )
 
 
 def changed_lines(patches: DataFrame, key: str, patch: str = "patch") -> DataFrame:

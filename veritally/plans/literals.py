@@ -60,6 +60,15 @@ def patched_files(spark, d):
     return out.select("id", F.array_join("f", ",").alias("files"), F.size("f").alias("n_files"))
 
 
+@query(rf"""with p(id, patch) as (values {_values(DIFFS)}), l as (select id, unnest(string_split(patch, chr(10))) as t from p),
+f as (select distinct id, case when regexp_extract(t, '^diff --git a/(.+?) b/(.+)$', 2) = '/dev/null' then regexp_extract(t, '^diff --git a/(.+?) b/(.+)$', 1)
+else regexp_extract(t, '^diff --git a/(.+?) b/(.+)$', 2) end as file from l where t like 'diff --git a/%')
+select id, count(file)::int as n_files, (count(file) filter (where file like '%.py'))::int as n_targets, count(file) = 1 as single_file, count(file) filter (where file like '%.py') > 0 as eligible
+from p left join f using (id) group by id""")
+def classify_patches(spark, d):
+    return text.classify(spark.createDataFrame(DIFFS, "id string, patch string")).select("id", "n_files", "n_targets", "single_file", "eligible")
+
+
 @query(rf"""with p(id, patch) as (values {_values(DIFFS)}), l as (select id, unnest(string_split(patch, chr(10))) as t, generate_subscripts(string_split(patch, chr(10)), 1) as n from p),
 m as (select *, last_value(case when t like 'diff --git a/%' then regexp_extract(t, '^diff --git a/(.+?) b/(.+)$', 2) end ignore nulls) over w as path,
 count(case when t like '@@ -%' then 1 end) over w as hunk, last_value(case when t like '@@ -%' then regexp_extract(t, '^@@ -[0-9]+(?:,[0-9]+)? \+([0-9]+)', 1)::int end ignore nulls) over w as start,

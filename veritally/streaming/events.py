@@ -16,6 +16,11 @@ def event_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(schemas.EVENT).json(folder)
 
 
+def append_events(events: DataFrame, folder: str, checkpoint: str):
+    """Append a stream to the event log's folder, each event once across restarts; the running query."""
+    return events.writeStream.format("json").outputMode("append").option("path", folder).option("checkpointLocation", checkpoint).start()
+
+
 def burns(outcomes: DataFrame, run: str = "run", last: int = 8, under: float = 25.0) -> DataFrame:
     """(run, ts, event_id, slowest) for each outcome at which the last ones were all fast; state: the last seconds of a run."""
 
