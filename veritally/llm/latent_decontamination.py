@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,15 +14,15 @@ from veritally.llm.common import hold
 
 WINDOW, STRIDE = 48, 24
 RANK, EXTRA = 224, 32
-COMMON = 0.005
+COMMON, LEAST = 0.005, 8
 COSINE, LCS, SURE, RARE = 0.6, 0.55, 0.8, 0.5
-_WORD = re.compile(r"\w+")
+_LETTERS = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 _BLOCK = 4096
 
 
-def item_words(text: str | None) -> list[str]:
-    """Lower-case runs of letters, digits and underscores."""
-    return _WORD.findall((text or "").lower())
+def item_words(text: str | None) -> list[bytes]:
+    """Lower-case runs of letters and digits; what lies beyond ASCII counts as letters."""
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_LETTERS).split()
 
 
 @dataclass(frozen=True)
@@ -31,8 +30,8 @@ class Items:
     """The benchmark: a stated query set, held by the driver and every task."""
 
     ids: list[int]
-    words: list[list[str]]
-    vocabulary: dict[str, int]
+    words: list[list[bytes]]
+    vocabulary: dict[bytes, int]
 
     @classmethod
     def of(cls, rows: list[tuple[int, str]]) -> Items:
@@ -45,22 +44,18 @@ class Items:
         return np.array(terms, np.int64), np.repeat(np.arange(len(self.words)), [len(w) for w in self.words])
 
 
-def _weights(terms: np.ndarray, rows: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, term, weight) of length-one TF-IDF rows, sorted by row; common terms are gone."""
+def _entries(terms: np.ndarray, rows: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows present, where each begins, row number of each entry, terms), without common terms; rows come in order."""
     keep = idf[terms] > 0
-    key, n = np.unique(rows[keep].astype(np.int64) * len(idf) + terms[keep], return_counts=True)
-    row, term = key // len(idf), key % len(idf)
-    w = (1 + np.log(n)) * idf[term]
-    norm = np.sqrt(np.bincount(row, w * w, row.max() + 1 if len(row) else 0))
-    return row, term, (w / norm[row]).astype(np.float32)
+    terms, rows = terms[keep], rows[keep]
+    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else np.zeros(0, np.int64)
+    return rows[first], first, np.repeat(np.arange(len(first)), np.diff(np.append(first, len(rows)))), terms
 
 
-def _project(row: np.ndarray, term: np.ndarray, w: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows present, their product with the basis)."""
-    there, begin = np.unique(row, return_index=True)
-    if not len(there):
-        return there, np.zeros((0, basis.shape[1]), np.float32)
-    return there, np.add.reduceat(basis[term] * w[:, None], begin, axis=0)
+def _project(terms: np.ndarray, rows: np.ndarray, idf: np.ndarray, weighted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows present, their TF-IDF vectors in the latent space); ``weighted``: the basis with its rows times idf."""
+    there, first, _, terms = _entries(terms, rows, idf)
+    return there, np.add.reduceat(weighted[terms], first, axis=0) if len(there) else np.zeros((0, weighted.shape[1]), np.float32)
 
 
 def passages(docs: DataFrame, items: Items) -> DataFrame:
@@ -144,11 +139,11 @@ def _summed(held: DataFrame, size: int, of) -> np.ndarray:
 def latent_basis(held: DataFrame, items: Items, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """(idf, basis): inverse document frequencies over all passages and the leading right singular vectors.
 
-    Randomised SVD of the passages' TF-IDF matrix A: one pass sums A'(A R) for a random R, which QR turns into an
-    orthonormal range; a second pass sums the small Gram matrix of A in that range, whose eigenvectors rotate it.
-    Every sum runs over all passages. The items are rows of A too, scaled so that they hold as much of its square sum
-    as the corpus does: else the directions of an item that few passages hold would be lost. Terms in over COMMON of
-    all passages carry no weight, as stop words.
+    Randomised SVD of the TF-IDF matrix A of all passages, in one pass over them: it sums Y = A'(A R) for a random R,
+    from which the Nystroem form Y (R'Y)^-1 Y' of A'A gives singular vectors and values. The items are rows of A too,
+    scaled so that they hold as much of its square sum as the corpus does: else the directions of an item that few
+    passages hold would be lost. Terms in over COMMON of all passages carry no weight, as stop words, but for the
+    LEAST rarest terms of each item, so that every item keeps some whatever the corpus is like.
     """
     v = len(items.vocabulary)
 
@@ -159,39 +154,39 @@ def latent_basis(held: DataFrame, items: Items, seed: int = 11) -> tuple[np.ndar
 
     df = _summed(held, v + 1, count)
     n, df = df[v], df[:v]
-    idf = np.where(df <= max(COMMON * n, 1), np.log((n + 1) / (df + 1)) + 1, 0.0)
+    keep = df <= COMMON * n
+    for w in items.words:
+        own = np.array(sorted({items.vocabulary[x] for x in w}))
+        keep[own[np.argsort(df[own], kind="stable")[:LEAST]]] = True
+    idf = np.where(keep, np.log((n + 1) / (df + 1)) + 1, 0.0)
     wide = min(RANK + EXTRA, v)
     start = np.random.Generator(np.random.PCG64(seed)).standard_normal((v, wide)).astype(np.float32)
+    weighted = start * idf[:, None].astype(np.float32)
 
     def power(b: pa.RecordBatch, total: np.ndarray) -> None:
-        out = total.reshape(v, wide)
-        terms, rows = _flat(b)
-        for lo in range(0, b.num_rows, _BLOCK):
-            mine = (rows >= lo) & (rows < lo + _BLOCK)
-            row, term, w = _weights(terms[mine], rows[mine] - lo, idf)
-            there, y = _project(row, term, w, start)
+        out = total[:-1].reshape(v, wide)
+        every, rows = _flat(b)
+        ends = np.searchsorted(rows, np.arange(0, b.num_rows + _BLOCK, _BLOCK))
+        for lo, hi in zip(ends, ends[1:], strict=False):
+            there, first, entry, terms = _entries(every[lo:hi], rows[lo:hi], idf)
             if len(there):
-                back = y[np.searchsorted(there, row)] * w[:, None]
-                by = np.argsort(term, kind="stable")
-                which, begin = np.unique(term[by], return_index=True)
-                out[which] += np.add.reduceat(back[by], begin, axis=0)
+                y = np.add.reduceat(weighted[terms], first, axis=0)
+                by = np.argsort(terms, kind="stable")
+                which, begin = np.unique(terms[by], return_index=True)
+                out[which] += np.add.reduceat(y[entry[by]], begin, axis=0) * idf[which, None]
+                total[-1] += (idf[terms] ** 2).sum()
 
     words, rows = items.flat()
-    own = np.zeros((len(items.ids), v), np.float32)
-    row, term, w = _weights(words, rows, idf)
-    own[row, term] = w
-    share = np.float32(n / len(own))
-    q, _ = np.linalg.qr(_summed(held, v * wide, power).reshape(v, wide) + share * (own.T @ (own @ start)))
-    q = q.astype(np.float32)
-
-    def gram(b: pa.RecordBatch, total: np.ndarray) -> None:
-        _, y = _project(*_weights(*_flat(b), idf), q)
-        total += (y.T @ y).ravel()
-
-    small = own @ q
-    values, vectors = np.linalg.eigh(_summed(held, wide * wide, gram).reshape(wide, wide) + share * (small.T @ small))
-    lead = np.argsort(-values)[: min(RANK, wide)]
-    return idf, (q @ vectors[:, lead].astype(np.float32))
+    own = np.zeros((len(items.ids), v))
+    np.add.at(own, (rows, words), idf[words])
+    summed = _summed(held, v * wide + 1, power)
+    own *= np.sqrt(summed[-1] / max((own**2).sum(), 1e-9))
+    y = summed[:-1].reshape(v, wide) + own.T @ (own @ start)
+    small = start.T @ y
+    values, vectors = np.linalg.eigh((small + small.T) / 2)
+    lead = values > values.max() * 1e-7
+    left, size, _ = np.linalg.svd(y @ (vectors[:, lead] / np.sqrt(values[lead])), full_matrices=False)
+    return idf, left[:, np.argsort(-size)[:RANK]].astype(np.float32)
 
 
 def candidates(held: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray, least: float = COSINE) -> DataFrame:
@@ -199,17 +194,18 @@ def candidates(held: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray
 
     The benchmark is a stated query set, met in blocks of passages. item counts from 0.
     """
-    there, y = _project(*_weights(*items.flat(), idf), basis)
+    weighted = basis * idf[:, None].astype(np.float32)
+    there, y = _project(*items.flat(), idf, weighted)
     wanted = np.zeros((len(items.ids), basis.shape[1]), np.float32)
     wanted[there] = y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)
-    sent = held.sparkSession.sparkContext.broadcast((wanted, idf, basis))
+    sent = held.sparkSession.sparkContext.broadcast((wanted, idf, weighted))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, idf, basis = sent.value
+        wanted, idf, weighted = sent.value
         for whole in it:
             for lo in range(0, whole.num_rows, _BLOCK):
                 b = whole.slice(lo, _BLOCK)
-                there, y = _project(*_weights(*_flat(b), idf), basis)
+                there, y = _project(*_flat(b), idf, weighted)
                 cos = (y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)) @ wanted.T
                 at, item = np.nonzero(cos >= least)
                 take = pa.array(there[at])
@@ -221,9 +217,9 @@ def candidates(held: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray
     return held.mapInArrow(batches, "ka long, kb long, first int, item int, cosine double")
 
 
-def common_subsequence(a: list[str], b: list[str]) -> int:
+def common_subsequence(a: list[bytes], b: list[bytes]) -> int:
     """Length of the longest common subsequence, in one pass over b with a bit for each word of a."""
-    where: dict[str, int] = {}
+    where: dict[bytes, int] = {}
     for i, x in enumerate(a):
         where[x] = where.get(x, 0) | 1 << i
     ones = (1 << len(a)) - 1
