@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -68,16 +68,21 @@ def train(docs: list[tuple[str, int]], least_docs: int = 4, steps: int = 200, l1
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 0.5) / (len(y) + 1)
         return ToxicityModel({}, -30.0, float(-np.log1p(-share)))
-    bags = [[words(t[a:b]) for a, b in sentences(t)] for t, _ in docs]
-    df = Counter(w for bag in bags for w in (set().union(*bag) if bag else ()))
-    vocab = {w: i for i, w in enumerate(sorted(w for w, n in df.items() if n >= least_docs))}
-    entry, row, doc = [], [], []
-    for d, bag in enumerate(bags):
-        for s in bag:
-            entry += (own := [vocab[w] for w in s if w in vocab])
-            row += [len(doc)] * len(own)
+    known: dict[bytes, int] = {}
+    entry, row, doc = array("i"), array("i"), array("i")
+    for d, (text, _) in enumerate(docs):
+        for a, b in sentences(text):
+            own = sorted(words(text[a:b]))
+            entry.extend(known.setdefault(x, len(known)) for x in own)
+            row.extend([len(doc)] * len(own))
             doc.append(d)
-    col, row, doc = np.array(entry, np.int64), np.array(row, np.int64), np.array(doc, np.int64)
+    col, row, doc = (np.array(x, np.int64) for x in (entry, row, doc))
+    df = np.bincount(np.unique(doc[row] * len(known) + col) % max(len(known), 1), minlength=len(known))
+    place = np.cumsum(df >= least_docs) - 1
+    keep = df[col] >= least_docs
+    col, row = place[col[keep]], row[keep]
+    vocab = [x for x, n in zip(known, df, strict=True) if n >= least_docs]
+    del known, entry, df, place, keep
     w, leak_logit = np.zeros(len(vocab)), -6.0
     square, square_b, square_l, rate = np.full(len(vocab), 1e-3), 1e-3, 1e-3, 0.3
     for _ in range(steps):
@@ -95,8 +100,7 @@ def train(docs: list[tuple[str, int]], least_docs: int = 4, steps: int = 200, l1
         w = np.sign(w) * np.maximum(np.abs(w) - step * l1 * len(y), 0)
         bias -= rate * grad_b / np.sqrt(square_b)
         leak_logit -= rate * grad_l / np.sqrt(square_l)
-    names = list(vocab)
-    return ToxicityModel({names[i]: float(w[i]) for i in np.flatnonzero(np.abs(w) > 1e-3)}, float(bias), float(np.log1p(np.exp(leak_logit))))
+    return ToxicityModel({vocab[i]: float(w[i]) for i in np.flatnonzero(np.abs(w) > 1e-3)}, float(bias), float(np.log1p(np.exp(leak_logit))))
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
