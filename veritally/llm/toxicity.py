@@ -12,13 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_SENTENCE = re.compile(r"[^.!?\n]*[^.!?\n\s][^.!?\n]*[.!?]*")
+_SENTENCE = re.compile(r"[^.!?\s][^.!?\n]*[.!?]*")  # in time linear in the text, long runs of white space included
 _LETTERS = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 THRESHOLD = 0.7
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
-    """Start and end of each sentence: a run up to . ! ? or a line's end that holds more than white space."""
+    """Start and end of each sentence: from its first character that is not white space up to . ! ? or the line's end."""
     return [m.span() for m in _SENTENCE.finditer(text)]
 
 
