@@ -17,8 +17,11 @@ def _keys(docs: DataFrame) -> DataFrame:
 
 
 def _masked(line: Column) -> Column:
-    """The line without white space around it, each token with a digit as <*>."""
-    return F.regexp_replace(F.btrim(line, F.lit(" \t\r")), "[^ \t]*[0-9][^ \t]*", "<*>")
+    """The line without white space around it, each token with a digit as <*>.
+
+    A match begins at a token's beginning only and never backtracks, so a token of any length takes linear time.
+    """
+    return F.regexp_replace(F.btrim(line, F.lit(" \t\r")), "(?<![^ \t])[^ \t0-9]*+[0-9][^ \t]*+", "<*>")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -76,20 +79,22 @@ def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, agree: float = AGR
     A template that several documents share is kept at its first line (smallest doc_id, then line) and dropped
     everywhere else; templates within one document only are left alone. Documents are told apart by id and text, so
     repeated rows count as one and come back alike. Blank lines stay. Null texts stay null with 0 lines; an empty
-    text has 1. Other columns pass through unchanged; columns named ka, kb, n_lines, n_dropped or gone are replaced.
+    text has 1. Other columns pass through unchanged, whatever their names; columns named n_lines or n_dropped are replaced.
     """
-    own = [c for c in docs.columns if c not in ("ka", "kb", "n_lines", "n_dropped", "gone")]
-    keyed = _keys(docs.select(*own))
+    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    keyed = _keys(docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in own)).alias("row")))
     lines = hold(line_templates(keyed.select("ka", "kb", "doc_id", "text"), depth, agree), "templates")
     first = F.min(F.struct("doc_id", "line", "ka", "kb")).alias("first")
     shared = lines.groupBy("t1", "t2").agg(first, F.min("ka").alias("a"), F.max("ka").alias("b")).where("a <> b").select("t1", "t2", "first")
     gone = lines.join(hold(shared, "shared"), ["t1", "t2"]).where("not (ka = first.ka and kb = first.kb and line = first.line)")
     gone = gone.groupBy("ka", "kb").agg(F.collect_set("line").alias("gone"))
     out = keyed.join(gone.hint("shuffle_hash"), ["ka", "kb"], "left")
-    raw = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(raw, lambda x, i: ~F.array_contains("gone", i)), "\n")
+    # the one-row explode keeps the split from being done anew for every line; array_except hashes, so time is linear in lines
+    out = out.select("row", "text", "gone", F.explode(F.array(F.split("text", "\n", -1))).alias("raw"))
+    raw = F.col("raw")
+    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(raw) - 1), F.col("gone")), lambda i: F.get(raw, i)), "\n")
     return out.select(
-        *(F.when(F.col("gone").isNull(), F.col(c)).otherwise(kept).alias(c) if c == "text" else F.col(c) for c in own),
+        *(F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in own),
         F.when(F.col("text").isNull(), 0).otherwise(F.size(raw)).cast("long").alias("n_lines"),
         F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_dropped"),
     )
