@@ -90,7 +90,7 @@ def near_duplicates(
     return own.join(classes, "fp")
 
 
-TABLES, BITS = 10, 28
+TABLES, BITS, BEFORE = 10, 28, 3
 #: Bits that two documents may differ in, of 64 for each table, at a cosine of shingle sets that a Jaccard similarity of 0.8 gives.
 APART = round(64 * TABLES * np.arccos(2 * 0.8 / 1.8) / np.pi)
 
@@ -112,13 +112,26 @@ def signature(text: str | None, shingle: int = 5) -> np.ndarray:
     return out.view(np.int64)
 
 
+def meetings(variants: DataFrame, before: int = BEFORE) -> DataFrame:
+    """(a, b): each key of a variant, b, with the variant's smallest key and with the ``before`` keys ahead of it, once each.
+
+    One link to the smallest key alone would fail wherever that key is there by chance: two similar keys behind it
+    would never be compared. Up to two keys more than ``before`` in a variant are all compared with each other; beyond
+    that the number of pairs is linear in the keys.
+    """
+    by = Window.partitionBy("variant").orderBy("key")
+    ahead = F.array(F.first("key").over(by), *(F.lag("key", i).over(by) for i in range(1, before + 1)))
+    met = variants.select("key", ahead.alias("ahead")).where("ahead[0] <> key")
+    return met.select(F.explode(F.array_distinct("ahead")).alias("a"), F.col("key").alias("b")).where("a is not null").distinct()
+
+
 def similar(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """One row per input row: doc_id, component_id, by links at a Jaccard similarity of about 0.8 or more of word shingles.
 
     A fingerprint of 64 bits and radius 2 only sees copies that are all but equal: at a similarity of 0.8, 15 % of the
     bits differ. So each document has TABLES fingerprints; BITS of each are a key of its own, whose ball of one bit is
-    emitted; documents that share a variant in any table meet at 2 differing bits of that key. Met documents
-    are linked to the variant's smallest and the link stands if the whole fingerprints differ in at most APART bits.
+    emitted; documents that share a variant in any table meet at 2 differing bits of that key. Of those that meet,
+    ``meetings`` tells the pairs, and a link stands if the whole fingerprints differ in at most APART bits.
     A pair at 0.8 meets with probability 0.87, one at 0.85 with 0.96, one at 0.9 with 0.997.
     """
 
@@ -136,7 +149,7 @@ def similar(docs: DataFrame, shingle: int = 5) -> DataFrame:
     cut = F.col("fp").bitwiseAND(F.lit((1 << BITS) - 1).cast("long"))
     variants = tables.select("key", "t", cut.alias("cut"), F.explode(masks).alias("mask"))
     variants = variants.select("key", (F.col("cut").bitwiseXOR(F.col("mask")) * TABLES + F.col("t")).alias("variant"))
-    met = variants.withColumn("a", F.min("key").over(Window.partitionBy("variant"))).where("a <> key").select("a", F.col("key").alias("b")).distinct()
+    met = meetings(variants)
     sig = by_key.select(F.col("key").alias("a"), F.col("sig").alias("x"))
     met = met.join(sig, "a").join(by_key.select(F.col("key").alias("b"), F.col("sig").alias("y")), "b")
     apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d)
