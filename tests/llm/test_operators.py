@@ -69,6 +69,23 @@ def test_line_templates_generalise_and_keep_the_first(spark):
     assert got[4] == ("within\nwithin", 2, 0)
 
 
+def test_long_tokens_and_many_lines_take_linear_time(spark):
+    many = "\n".join(f"line {'x' * (i % 7 + 1)} {'y' * (i % 11 + 1)} {'z' * (i % 13 + 1)}" for i in range(60_000))
+    texts = ["a" * 400_000, "b" * 200_000 + "7 tail", many, many + "\nown words at the end"]
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in line_templates.drop_recurring_lines(documents(spark, texts)).collect()}
+    assert got[0] == (texts[0], 1, 0) and got[1] == (texts[1], 1, 0)
+    assert got[2][2] == 60_000 - len(got[2][0].split("\n")) and got[2][0].startswith("line x y z\n")
+    assert got[3] == ("own words at the end", 60_001, 60_000)
+
+
+def test_lines_keep_columns_with_clashing_names(spark):
+    names = ("ka", "kb", "gone", "raw", "row", "line", "m", "t1", "a.b")
+    docs = documents(spark, ["same line\nx", "same line\ny"]).withColumns({c: F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")) for c in names})
+    got = {r["doc_id"]: r for r in line_templates.drop_recurring_lines(docs).collect()}
+    assert all(got[i][c] == f"{c} of {i}" for i in (0, 1) for c in names)
+    assert (got[0]["text"], got[1]["text"]) == ("same line\nx", "y")
+
+
 # ---- op2
 
 
@@ -99,6 +116,12 @@ def test_toxicity_learns_words_from_document_labels_and_locates_sentences(spark)
     assert all(texts[r["doc_id"]][r["first"] : r["last"]] == r["sentence"] for r in found)
 
 
+def test_sentences():
+    text = "  One two. Three?!\n\n . four\n" + " " * 500_000 + "five" + "\t" * 500_000
+    assert [text[a:b].strip() for a, b in toxicity.sentences(text)] == ["One two.", "Three?!", "four", "five"]
+    assert toxicity.sentences(" \n\t.!? \u00a0") == []
+
+
 def test_toxicity_without_both_classes_is_constant(spark):
     assert 0 < toxicity.train([("a", 1)] * 3).score("x") < 1
     assert 0 < toxicity.train([]).score("") < 1
@@ -386,6 +409,16 @@ def test_chains_of_fingerprints_link(spark):
         assert union(n, got) == union(n, pairs)
 
 
+def test_meetings_name_all_pairs_of_a_few_keys_and_no_more_than_a_few_of_each_key(spark):
+    few = [(k, 1) for k in (30, 10, 50, 20, 40)]
+    many = [(k, 2) for k in range(100, 400)] + [(7, 3)]
+    got = [(r["a"], r["b"]) for r in simhash.meetings(spark.createDataFrame(few + many, "key long, variant long")).collect()]
+    assert len(got) == len(set(got)) and all(a < b for a, b in got)
+    assert {p for p in got if p[1] < 100} == set(combinations((10, 20, 30, 40, 50), 2))
+    hot = {p for p in got if p[1] >= 100}
+    assert hot == {(a, b) for b in range(101, 400) for a in {100, *range(max(100, b - 3), b)}}
+
+
 def test_components(spark):
     rng = random.Random(6)
     pairs = [(i, i + 1) for i in range(0, 40)] + [(rng.randint(50, 150), rng.randint(50, 150)) for _ in range(60)] + [(200, x) for x in range(201, 260)] + [(7, 7)]

@@ -1,6 +1,7 @@
 """The pipeline's stages: columns, decisions, and the rows of run() against stages applied by hand."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests import oracle
 
@@ -21,3 +22,24 @@ def test_stages(spark):
     assert {r["doc_id"] for r in got} == ids
     leaked = oracle.connect().sql("select doc_id from documents d join benchmark b on contains(d.text, b.text)").fetchall()
     assert not ids & {d for (d,) in leaked}
+
+
+@pytest.mark.parametrize("rows", ["odd", "none"])
+def test_stages_on_odd_tables(spark, tmp_path, rows):
+    """Nulls in any column, repeated rows, empty texts and tables, and extra columns named like the operators' own."""
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    texts = [(1, "a b c. d e"), (1, "a b c. d e"), (2, ""), (3, None), (None, "null id here"), (None, None), (4, "\n\n"), (5, "x " * 9000)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in texts] if rows == "odd" else [], kinds)
+    extra = ("_lost", "n_lines", "n_dropped", "row", "gone", "raw", "ka", "score", "key", "component_id", "label", "length", "piece", "sequence_id")
+    docs = docs.withColumns({c: F.lit(c) for c in extra})
+    labels = spark.createDataFrame([(1, 1, 0), (None, None, None)] if rows == "odd" else [], "doc_id long, quality int, toxic int")
+    benchmark = spark.createDataFrame([(1, "six words that stand for nothing"), (None, None)] if rows == "odd" else [], "item_id long, text string")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        docs = spark.createDataFrame(out.collect(), docs.schema)
+        assert all(r[c] == c for r in docs.collect() for c in extra), name
+    packed = pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in packed} == ({1, 2, None, 5} if rows == "odd" else set())

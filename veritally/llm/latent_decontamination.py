@@ -295,4 +295,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that ``contaminated`` names; a null doc_id is matched like any other value."""
     lost = contaminated(docs, benchmark).select(F.col("doc_id").alias("_lost")).distinct()
-    return docs.join(lost, F.col("doc_id").eqNullSafe(F.col("_lost")), "left_anti")
+    return docs.join(lost, docs["doc_id"].eqNullSafe(lost["_lost"]), "left_anti")
