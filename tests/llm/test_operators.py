@@ -1,5 +1,6 @@
 """Each training-data operator against brute force, an exact round trip, SQL, or held-out accuracy."""
 
+import math
 import random
 import zlib
 from collections import Counter
@@ -419,6 +420,23 @@ def test_meetings_name_all_pairs_of_a_few_keys_and_no_more_than_a_few_of_each_ke
     assert hot == {(a, b) for b in range(101, 400) for a in {100, *range(max(100, b - 3), b)}}
 
 
+def test_similar_links_all_pairs_from_a_jaccard_of_four_fifths_and_none_below(spark):
+    rng = random.Random(21)
+    words = lambda n: [f"w{rng.getrandbits(40)}" for _ in range(n)]
+    texts, want = [], []
+    for k in range(240):
+        a, share = words(400), (0.75, 0.78, 0.8, 0.84)[k % 4]
+        tail = 396 - math.ceil(792 * share / (1 + share)) if share >= 0.8 else 396 - math.floor(792 * share / (1 + share))
+        texts += [" ".join(a), " ".join(a[: 400 - tail] + words(tail))]
+        want += [2 * k, 2 * k if share >= 0.8 else 2 * k + 1]
+    few = ["a b c d e f g h", "a b c d e f g h i", "a b c d e f x"]  # four shingles, five, three with two in common
+    texts += few
+    want += [480, 480, 482]
+    docs = documents(spark, texts)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_components(spark):
     rng = random.Random(6)
     pairs = [(i, i + 1) for i in range(0, 40)] + [(rng.randint(50, 150), rng.randint(50, 150)) for _ in range(60)] + [(200, x) for x in range(201, 260)] + [(7, 7)]
