@@ -437,6 +437,19 @@ def test_similar_links_all_pairs_from_a_jaccard_of_four_fifths_and_none_below(sp
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_crossings_name_all_similar_pairs_of_a_crowded_variant(spark):
+    rng = np.random.Generator(np.random.PCG64(5))
+    sigs = rng.integers(-(1 << 63), 1 << 63, (1500, simhash.TABLES), np.int64)
+    pairs = {(10, 1400), (11, 700), (300, 301)}
+    for a, b in pairs:
+        sigs[b] = sigs[a] ^ 7
+    sigs[1200] = sigs[1201] = sigs[3]
+    keys = spark.createDataFrame([(k, [int(x) for x in s], 150 if k == 1200 else 100) for k, s in enumerate(sigs)], "key long, sig array<long>, size int")
+    crowd = [(1, k, 3 if k == 1201 else k) for k in range(1500)] + [(2, k, 0) for k in range(1500)]
+    got = simhash.crossings(spark.createDataFrame(crowd, "variant long, key long, root long"), keys).collect()
+    assert sorted((r["a"], r["b"]) for r in got) == sorted(pairs)
+
+
 def test_components(spark):
     rng = random.Random(6)
     pairs = [(i, i + 1) for i in range(0, 40)] + [(rng.randint(50, 150), rng.randint(50, 150)) for _ in range(60)] + [(200, x) for x in range(201, 260)] + [(7, 7)]

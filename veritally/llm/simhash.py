@@ -95,6 +95,8 @@ BANDS, ROWS = 24, 6
 #: Bits of all tables' that a candidate may differ in: 97 are expected at a Jaccard similarity of 0.8, 120 where two sets have
 #: four shingles and five, 320 of unrelated texts. What is closer is verified by its shingles.
 APART = 160
+#: Keys of one block of a crowded variant.
+_CROWD = 512
 _ODD = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
 
 
@@ -133,7 +135,7 @@ def meetings(variants: DataFrame, before: int = BEFORE) -> DataFrame:
 
     One link to the smallest key alone would fail wherever that key is there by chance: two similar keys behind it
     would never be compared. Up to two keys more than ``before`` in a variant are all compared with each other; beyond
-    that the number of pairs is linear in the keys.
+    that the number of pairs is linear in the keys, and the rest is left to ``crossings``.
     """
     by = Window.partitionBy("variant").orderBy("key")
     ahead = F.array(F.first("key").over(by), *(F.lag("key", i).over(by) for i in range(1, before + 1)))
@@ -141,6 +143,40 @@ def meetings(variants: DataFrame, before: int = BEFORE) -> DataFrame:
     return met.select(F.explode(F.array_distinct("ahead")).alias("a"), F.col("key").alias("b")).where("a is not null").distinct()
 
 
+def crossings(crowd: DataFrame, keys: DataFrame) -> DataFrame:
+    """(a, b), a < b: all pairs of a variant's keys that are in different components and near enough to be verified.
+
+    crowd: (variant, key, root); keys: (key, sig, size). A variant whose keys are in one component has no pair left to
+    tell. The others are dealt out in blocks of _CROWD keys or so, and each two blocks are compared on the signatures.
+    """
+    per = crowd.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("least"), F.max("root").alias("most"))
+    blocks = F.ceil(F.col("n") / _CROWD).cast("int").alias("blocks")
+    left = crowd.join(per.where("least < most").select("variant", blocks), "variant").join(keys.select("key", "sig", "size"), "key")
+    own = left.withColumn("block", F.expr("cast(pmod(xxhash64(key), blocks) as int)"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("variant", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "root", "size", "sig")
+
+    def near(group: pa.Table) -> pa.Table:
+        block, key, root, size = (group.column(c).to_numpy() for c in ("block", "key", "root", "size"))
+        sig = np.stack(group.column("sig").to_numpy(zero_copy_only=False)).view(np.uint64)
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        one, two = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        found = []
+        for at in range(0, len(one), _CROWD):
+            x = one[at : at + _CROWD]
+            for to in range(0, len(two), _CROWD):
+                y = two[to : to + _CROWD]
+                apart = sum(np.bitwise_count(sig[x, t][:, None] ^ sig[y, t][None, :]).astype(np.int32) for t in range(TABLES))
+                small, large = np.minimum(size[x][:, None], size[y][None, :]), np.maximum(size[x][:, None], size[y][None, :])
+                fit = (apart <= APART) & (5 * small >= 4 * large) & (root[x][:, None] != root[y][None, :])
+                p, q = np.nonzero(fit & (key[x][:, None] < key[y][None, :]) if i == j else fit)
+                found.append(np.stack([np.minimum(key[x[p]], key[y[q]]), np.maximum(key[x[p]], key[y[q]])]))
+        pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        return pa.table({"a": pairs[0], "b": pairs[1]})
+
+    return dealt.groupBy("variant", "i", "j").applyInArrow(near, "a long, b long").distinct()
+
+
 def verified(docs: DataFrame, keys: DataFrame, pairs: DataFrame, shingle: int = 5) -> DataFrame:
     """(a, b): the pairs of keys whose shingle sets have a Jaccard similarity of 0.8 or more.
 
@@ -174,8 +210,8 @@ def similar(docs: DataFrame, shingle: int = 5) -> DataFrame:
     bits differ. So each document has TABLES fingerprints; BITS of each are a key of its own, whose ball of one bit is
     emitted; documents that share a variant in any table meet at 2 differing bits of that key. Documents also meet in any
     of BANDS bands of ROWS MinHash values. A pair at 0.8 meets in the tables with probability 0.87, in the bands with
-    0.9993, in either with 0.9999, by the model of random bits and hashes. Of those that meet,
-    ``meetings`` tells the pairs, and ``verified`` decides on the shingles.
+    0.9993, in either with 0.9999, by the model of random bits and hashes. All pairs that meet are compared unless links
+    already join them: ``meetings`` tells the first ones, ``crossings`` the rest. ``verified`` decides on the shingles.
     """
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,6 +240,10 @@ def similar(docs: DataFrame, shingle: int = 5) -> DataFrame:
     crowd = hold(variants.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("variant"))).where("n > 1"), "crowd")
     links = verified(docs, by_key, meetings(crowd), shingle)
     roots = components(links)
+    rest = crowd.where(F.col("n") > BEFORE + 2).join(roots.withColumnRenamed("node", "key"), "key", "left")
+    more = hold(crossings(rest.select("variant", "key", F.coalesce("root", "key").alias("root")), by_key), "crossings")
+    if not more.isEmpty():
+        roots = components(links.union(verified(docs, by_key, more, shingle)))
     joined = by_key.select("key", "low").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     lows = joined.groupBy("root").agg(F.min("low").alias("component_id"))
     return own.select("doc_id", "key").join(hold(joined.join(lows, "root").select("key", "component_id"), "classes"), "key").drop("key")
