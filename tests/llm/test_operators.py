@@ -343,6 +343,24 @@ def test_exact_benchmark_passages_of_the_driver_are_found(spark, duck):
     assert want <= got and len(got) <= len(want) + 2
 
 
+def test_items_of_any_length_are_found_also_next_to_each_other(spark):
+    rng = random.Random(31)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    items = [(k, rng.choices(vocabulary, k=n)) for k, n in enumerate([6, 8, 12, 15, 15, 15, 20, 40, 90, 175, 250, 400])]
+    prose = lambda n: rng.choices(vocabulary, k=n)  # noqa: E731 - the benchmark's own words
+    texts, leaks = [], set()
+    for k, w in items:
+        texts.append(prose(rng.randint(0, 300)) + w + prose(300))
+        leaks.add((k, k))
+    texts.append(prose(70) + items[3][1] + items[4][1] + items[5][1] + prose(70))
+    leaks |= {(len(items), k) for k in (3, 4, 5)}
+    texts += [prose(500) for _ in range(60)]
+    docs = documents(spark, [" ".join(w) for w in texts])
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in latent_decontamination.contaminated(docs, bench).collect()}
+    assert got == leaks
+
+
 def test_common_subsequence():
     def plain(a, b):
         row = [0] * (len(b) + 1)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from veritally.llm.common import hold
 
-WINDOW, STRIDE = 48, 24
+WINDOW, LEAST_WINDOW = 48, 6
 RANK, EXTRA = 224, 32
 COMMON, LEAST = 0.005, 8
 COSINE, LCS, SURE, RARE = 0.6, 0.55, 0.8, 0.5
@@ -44,6 +44,14 @@ class Items:
         return np.array(terms, np.int64), np.repeat(np.arange(len(self.words)), [len(w) for w in self.words])
 
 
+def width(words: int) -> int:
+    """Words of the windows that an item of so many words is looked for in: it fills over half of one, up to all of it."""
+    w = LEAST_WINDOW
+    while w < words:
+        w *= 2
+    return w
+
+
 def _entries(terms: np.ndarray, rows: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(rows present, where each begins, row number of each entry, terms), without common terms; rows come in order."""
     keep = idf[terms] > 0
@@ -58,10 +66,10 @@ def _project(terms: np.ndarray, rows: np.ndarray, idf: np.ndarray, weighted: np.
     return there, np.add.reduceat(weighted[terms], first, axis=0) if len(there) else np.zeros((0, weighted.shape[1]), np.float32)
 
 
-def passages(docs: DataFrame, items: Items) -> DataFrame:
-    """(doc_id, ka, kb, first, terms): word windows of every whole text with the benchmark's words in them.
+def passages(docs: DataFrame, items: Items, widths: tuple[int, ...] = (WINDOW,)) -> DataFrame:
+    """(doc_id, ka, kb, first, width, terms): word windows of every whole text with the benchmark's words in them.
 
-    Windows of WINDOW words begin every STRIDE words; windows without a benchmark word are left out, as their vector
+    Windows of each of the widths begin every half of it; windows without a benchmark word are left out, as their vector
     is zero.
     """
     sent = docs.sparkSession.sparkContext.broadcast(items.vocabulary)
@@ -69,28 +77,30 @@ def passages(docs: DataFrame, items: Items) -> DataFrame:
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         for b in it:
-            row, first, terms = [], [], []
+            row, first, wide, terms = [], [], [], []
             for i, t in enumerate(b.column(3)):
                 found = [known.get(x, -1) for x in item_words(t.as_py())]
                 ids = np.array(found, np.int32)
-                for a in range(0, max(1, len(ids) - WINDOW + STRIDE), STRIDE):
-                    own = ids[a : a + WINDOW]
-                    own = own[own >= 0]
-                    if len(own):
-                        row.append(i)
-                        first.append(a)
-                        terms.append(own)
+                for w in widths:
+                    for a in range(0, max(1, len(ids) - w + w // 2), w // 2):
+                        own = ids[a : a + w]
+                        own = own[own >= 0]
+                        if len(own):
+                            row.append(i)
+                            first.append(a)
+                            wide.append(w)
+                            terms.append(own)
             ends = np.cumsum([0, *map(len, terms)]).astype(np.int32)
             values = pa.array(np.concatenate(terms) if terms else np.zeros(0, np.int32))
             take = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(k).take(take) for k in range(3)), pa.array(first, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), values)],
-                ["doc_id", "ka", "kb", "first", "terms"],
+                [*(b.column(k).take(take) for k in range(3)), pa.array(first, pa.int32()), pa.array(wide, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), values)],
+                ["doc_id", "ka", "kb", "first", "width", "terms"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("ka"), F.xxhash64(F.lit(7), "text", "doc_id").alias("kb"), "text").where("text <> ''")
-    return keyed.mapInArrow(batches, f"doc_id {kind}, ka long, kb long, first int, terms array<int>")
+    return keyed.mapInArrow(batches, f"doc_id {kind}, ka long, kb long, first int, width int, terms array<int>")
 
 
 def _flat(b: pa.RecordBatch, name: str = "terms") -> tuple[np.ndarray, np.ndarray]:
@@ -190,7 +200,8 @@ def latent_basis(held: DataFrame, items: Items, seed: int = 11) -> tuple[np.ndar
 
 
 def candidates(held: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray, least: float = COSINE) -> DataFrame:
-    """(ka, kb, first, item, cosine): passages near an item in the latent space; every passage meets every item.
+    """(ka, kb, first, width, item, cosine): passages near an item in the latent space; those of WINDOW words meet every item, others
+    the items of their width.
 
     The benchmark is a stated query set, met in blocks of passages. item counts from 0.
     """
@@ -198,23 +209,25 @@ def candidates(held: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray
     there, y = _project(*items.flat(), idf, weighted)
     wanted = np.zeros((len(items.ids), basis.shape[1]), np.float32)
     wanted[there] = y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)
-    sent = held.sparkSession.sparkContext.broadcast((wanted, idf, weighted))
+    widths = np.array([width(len(w)) for w in items.words], np.int32)
+    sent = held.sparkSession.sparkContext.broadcast((wanted, idf, weighted, widths))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, idf, weighted = sent.value
+        wanted, idf, weighted, widths = sent.value
         for whole in it:
             for lo in range(0, whole.num_rows, _BLOCK):
                 b = whole.slice(lo, _BLOCK)
                 there, y = _project(*_flat(b), idf, weighted)
                 cos = (y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)) @ wanted.T
-                at, item = np.nonzero(cos >= least)
+                own = b.column(b.schema.get_field_index("width")).to_numpy()[there]
+                at, item = np.nonzero((cos >= least) & ((own[:, None] == widths[None, :]) | (own[:, None] == WINDOW)))
                 take = pa.array(there[at])
                 yield pa.RecordBatch.from_arrays(
-                    [*(b.column(b.schema.get_field_index(c)).take(take) for c in ("ka", "kb", "first")), pa.array(item.astype(np.int32)), pa.array(cos[at, item].astype(float))],
-                    ["ka", "kb", "first", "item", "cosine"],
+                    [*(b.column(b.schema.get_field_index(c)).take(take) for c in ("ka", "kb", "first", "width")), pa.array(item.astype(np.int32)), pa.array(cos[at, item].astype(float))],
+                    ["ka", "kb", "first", "width", "item", "cosine"],
                 )
 
-    return held.mapInArrow(batches, "ka long, kb long, first int, item int, cosine double")
+    return held.mapInArrow(batches, "ka long, kb long, first int, width int, item int, cosine double")
 
 
 def common_subsequence(a: list[bytes], b: list[bytes]) -> int:
@@ -250,8 +263,7 @@ def verify(docs: DataFrame, found: DataFrame, items: Items, idf: np.ndarray) ->
                 best: dict[int, tuple] = {}
                 for h in hits.as_py():
                     k, own = h["item"], items.words[h["item"]]
-                    margin = min(len(own), STRIDE)
-                    near = w[max(0, h["first"] - margin) : h["first"] + WINDOW + margin]
+                    near = w[max(0, h["first"] - len(own)) : h["first"] + h["width"] + len(own)]
                     here = set(near)
                     if len(rare[k] & here) < RARE * len(rare[k]):
                         continue
@@ -270,7 +282,7 @@ def verify(docs: DataFrame, found: DataFrame, items: Items, idf: np.ndarray) ->
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    hits = found.groupBy("ka", "kb").agg(F.collect_list(F.struct("first", "item", "cosine")).alias("hits"))  # within one document
+    hits = found.groupBy("ka", "kb").agg(F.collect_list(F.struct("first", "width", "item", "cosine")).alias("hits"))  # within one document
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("ka"), F.xxhash64(F.lit(7), "text", "doc_id").alias("kb"))
     joined = keyed.join(hits.hint("shuffle_hash"), ["ka", "kb"]).select("doc_id", "text", "hits")
     return joined.mapInArrow(batches, f"doc_id {kind}, item_id long, first_word int, lcs double, cosine double")
@@ -289,7 +301,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return docs.sparkSession.createDataFrame([], f"doc_id {kind}, item_id long, first_word int, lcs double, cosine double")
     held = hold(passages(docs, items), "passages")
     idf, basis = latent_basis(held, items)
-    return verify(docs, candidates(held, items, idf, basis), items, idf)
+    widths = tuple(sorted({WINDOW, *(width(len(w)) for w in items.words)}))
+    windows = held if widths == (WINDOW,) else passages(docs, items, widths)  # not held: windows of all widths are a multiple of the texts
+    return verify(docs, candidates(windows, items, idf, basis), items, idf)
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
