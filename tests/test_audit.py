@@ -17,7 +17,7 @@ from veritally.sources import readers, writers
 )
 def test_wilson(spark, k, n, low, high):
     lo, hi = X.wilson(F.lit(k), F.lit(n))
-    got = spark.range(1).select(F.round(lo, 4), F.round(hi, 4)).first()
+    got = spark.range(1).select(lo, hi).first()
     assert tuple(got) == (low, high)
 
 
@@ -99,7 +99,8 @@ def test_single_score_spread(spark):
 def test_reward_is_not_vacuous_and_keeps_all_failures(spark):
     rows = [("r", "p2p", f"t{i:02}", None if i else "PASSED") for i in range(14)]
     got = compare.grade(spark.createDataFrame(rows, "run string, list string, test_id string, status string"), ["run"]).first()
-    assert got["reward"] == 0.0 and len(got["failing"].split(",")) == 13
+    assert got["reward"] == 0.0
+    assert compare.failing(spark.createDataFrame(rows, "run string, list string, test_id string, status string"), ["run"]).count() == 13
 
 
 def test_records_round_trip_and_report(spark, tmp_path):
@@ -156,3 +157,60 @@ def test_event_log_is_appended_and_read(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
     assert [r["event"] for r in readers.events(spark, str(tmp_path / "out")).orderBy("t").collect()] == ["start", "done"]
+
+
+def test_record_sinks_and_listings(spark, tmp_path):
+    """Readers and sinks round-trip: records, eligibility lists, corpora with encoded lists, JSON lines, overlays by task."""
+    recs = [{"instance_id": f"a__b-{i}", "repo": "a/b" if i % 2 else "c/d", "completed": i != 3, "control": {"passed": True}, "rows": [{"operator": "x", "verdict": "CLEAN"}]} for i in range(6)]
+    for r in recs:
+        (tmp_path / f"{r['instance_id']}.json").write_text(json.dumps(r, indent=1))
+    loaded = readers.records(spark, str(tmp_path))
+    writers.write_records(loaded, str(tmp_path / "sink"))
+    back = spark.read.text(str(tmp_path / "sink")).select(F.from_json("value", "instance_id string, completed boolean").alias("x"), "repo").select("x.*", "repo")
+    assert sorted(map(tuple, back.collect())) == sorted((r["instance_id"], r["completed"], r["repo"]) for r in recs)
+    listing = spark.createDataFrame([("b", False), ("c", True), ("a", True)], "instance_id string, eligible boolean")
+    writers.write_jsonl(listing, str(tmp_path / "eligible"), "instance_id")
+    assert [r["instance_id"] for r in readers.eligible(spark, str(tmp_path / "eligible")).orderBy("instance_id").collect()] == ["a", "c"]
+    with pytest.raises(PySparkException):
+        readers.eligible(spark, str(tmp_path / "none"))
+    corpus = spark.createDataFrame([("a", '["t1", "t2"]', ["p"])], "instance_id string, FAIL_TO_PASS string, PASS_TO_PASS array<string>")
+    corpus.write.parquet(str(tmp_path / "corpus"))
+    assert tuple(readers.corpus(spark, str(tmp_path / "corpus")).first()) == ("a", ["t1", "t2"], ["p"])
+    writers.write_partitioned(spark.createDataFrame([("t1", "m"), ("t2", "n")], "task string, mutant string"), str(tmp_path / "overlays"), "task")
+    assert sorted(map(tuple, spark.read.json(str(tmp_path / "overlays")).select("task", "mutant").collect())) == [("t1", "m"), ("t2", "n")]
+
+
+def test_finished_rows_are_appended_once(spark, tmp_path):
+    spark.createDataFrame([("a", 1), ("b", 2)], "task string, n int").write.json(str(tmp_path / "in"))
+    for _ in range(2):
+        q = writers.append_rows(spark.readStream.schema("task string, n int").json(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+        q.processAllAvailable()
+        q.stop()
+    assert sorted(r["task"] for r in spark.read.json(str(tmp_path / "out")).collect()) == ["a", "b"]
+
+
+def test_judge_answers_say_why(spark):
+    rows = [("", "empty response"), ("none", "no JSON object in response"), ('"score": 5', "no JSON object; a bare score field was present (5)"), ('{"score": ', "no JSON object; a bare score field was present (5)"), ('{"score": true}', "score is not an integer"), ('{"score": 11}', "score out of range"), ("{x}", "json decode error"), ('{"score": 3}', None)]
+    rows[3] = ('{"a" }', "json decode error")
+    df = spark.createDataFrame(rows, "text string, want string")
+    assert all(r["want"] == r["got"] for r in df.select("want", X.judge_answer(F.col("text"))["error"].alias("got")).collect())
+
+
+def test_payload_digest_is_that_of_sorted_json(spark):
+    import hashlib
+
+    from veritally.operators import verdicts
+
+    payload = {"model": "m", "messages": [{"role": "user", "content": 'é "q" \n\\'}], "n": 3, "none": None}
+    cols = {"n": F.lit(3), "model": F.lit("m"), "none": F.lit(None).cast("string"), "messages": [{"content": F.lit('é "q" \n\\'), "role": F.lit("user")}]}
+    got = spark.range(1).select(X.sorted_json(cols).alias("j"), X.payload_digest(cols).alias("h")).first()
+    want = json.dumps(payload, sort_keys=True, ensure_ascii=False)
+    assert (got["j"], got["h"]) == (want, hashlib.sha256(want.encode()).hexdigest())
+    spec = spark.createDataFrame([("a", "r", "1", "c", ["x.py"], ["f"], ["p"])], "instance_id string, repo string, version string, base_commit string, targets array<string>, FAIL_TO_PASS array<string>, PASS_TO_PASS array<string>")
+    assert verdicts.task_spec(spec).first()["multi_target"] is False
+
+
+def test_lattice_needs_a_finite_reward(spark):
+    rows = [(x,) for x in (None, float("nan"), float("inf"), 0.0, 1.0)]
+    df = spark.createDataFrame(rows, "reward double").select("*", *(F.lit(v).alias(c) for c, v in {"control": 1.0, "anchored": True, "refused": False, "observable": True, "valid": True}.items()))
+    assert [r[0] for r in df.select(compare.verdict_of()).collect()] == ["UNVALIDATED"] * 3 + ["WITNESS", "CLEAN"]

@@ -8,14 +8,20 @@ from pyspark.sql import functions as F
 Z = 1.96
 
 
+def rounded(x: Column, digits: int = 4) -> Column:
+    """A reported fraction: rounded half to even."""
+    return F.bround(x, digits)
+
+
 def wilson(k: Column, n: Column, z: float = Z) -> tuple[Column, Column]:
-    """Lower and upper end of Wilson's interval, within 0 and 1; null for n = 0."""
+    """Lower and upper end of Wilson's interval, within 0 and 1, to four places; null for n = 0."""
     n = F.when(n > 0, n.cast("double"))
     p = k / n
     d = 1 + z * z / n
     mid = (p + z * z / (2 * n)) / d
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / d
-    return F.when(n.isNotNull(), F.greatest(F.lit(0.0), mid - half)), F.when(n.isNotNull(), F.least(F.lit(1.0), mid + half))
+    low, high = F.greatest(F.lit(0.0), mid - half), F.least(F.lit(1.0), mid + half)
+    return rounded(F.when(n.isNotNull(), low)), rounded(F.when(n.isNotNull(), high))
 
 
 def normal(text: Column) -> Column:
@@ -29,7 +35,7 @@ def mentions(text: Column, word: Column) -> Column:
 
 
 def names_symbol(text: Column, name: Column) -> Column:
-    """Whether a failure's text says that a name is missing, in one of the interpreter's or the mock's phrases."""
+    """Whether a failure's text says that a name is missing, in one of the interpreter's or the mock's phrases (fixed values)."""
 
     def says(before: str, after: str) -> Column:
         return F.contains(text, F.concat(F.lit(before), name, F.lit(after)))
@@ -107,12 +113,51 @@ def rename_word(text: Column, old: str, new: str) -> Column:
     return F.when(whole, done).otherwise(F.raise_error(F.lit(f"renaming {old} does not round-trip")))
 
 
-def judge_score(text: Column) -> Column:
-    """The integer score 0 to 10 of the outermost JSON object in an answer; null for anything else, such as 7.0 or true."""
+def judge_answer(text: Column) -> Column:
+    """(score, error) of an answer: the integer 0 to 10 under the top level's "score" of its outermost JSON object, or why there is none.
+
+    7.0, true and numbers in strings are no integers. A bare score without an object is noted, never taken. An object that
+    repeats a key is taken as malformed.
+    """
     body = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    field = F.regexp_extract(body, r'"score"\s*:\s*(-?\d+)\s*[,}]', 1)
-    number = F.when(F.get_json_object(body, "$.score").isNotNull(), field.try_cast("int"))
-    return F.when(number.between(0, 10), number)
+    value = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))  # within brackets, so that nothing may follow the object
+    value = F.when(F.try_variant_get(value, "$[1]", "variant").isNull(), value)
+    kind = F.schema_of_variant(F.try_variant_get(value, "$[0].score", "variant"))
+    score = F.try_variant_get(value, "$[0].score", "bigint")
+    bare = F.regexp_extract(text, r'"score"\s*:\s*(-?\d+)', 1)
+    error = (
+        F.when(F.coalesce(text, F.lit("")) == "", "empty response")
+        .when((body == "") & (bare != ""), F.concat(F.lit("no JSON object; a bare score field was present ("), bare, F.lit(")")))
+        .when(body == "", "no JSON object in response")
+        .when(value.isNull(), "json decode error")
+        .when(F.coalesce(kind, F.lit("")) != "BIGINT", "score is not an integer")
+        .when(~score.between(0, 10), "score out of range")
+    )
+    return F.struct(F.when(error.isNull(), score.cast("int")).alias("score"), error.alias("error"))
+
+
+def judge_score(text: Column) -> Column:
+    """The integer score 0 to 10 of an answer; null for anything else."""
+    return judge_answer(text)["score"]
+
+
+def sorted_json(fields: dict) -> Column:
+    """JSON text of named columns, keys in order, with a blank after each comma and colon; letters beyond ASCII stay as they are.
+
+    Values are columns, lists of columns or dictionaries of the same.
+    """
+    if isinstance(fields, Column):
+        inner = F.to_json(F.struct(fields.alias("x")))
+        return F.when(fields.isNull(), F.lit("null")).otherwise(F.substring(inner, F.lit(6), F.length(inner) - 6))
+    if isinstance(fields, list | tuple):
+        return F.concat(F.lit("["), F.concat_ws(", ", *map(sorted_json, fields)), F.lit("]"))
+    parts = [F.concat(F.lit(f'"{name}": '), sorted_json(fields[name])) for name in sorted(fields)]
+    return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+
+
+def payload_digest(fields: dict) -> Column:
+    """sha256 of a payload's ``sorted_json``, by which calls with one payload are told."""
+    return F.sha2(sorted_json(fields), 256)
 
 
 def image_ref(instance_id: Column, namespace: str = "ns", arch: str = "x86_64") -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritally.functions.expressions import same_words
@@ -68,17 +68,21 @@ def presence(expected: DataFrame, statuses: DataFrame, keys: list[str], item: st
     )
 
 
+def failing(statuses: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, list, test_id) of every listed id that did not pass, as rows; an id without a status did not."""
+    return statuses.where("not coalesce(status = 'PASSED', false)").select(*keys, "list", "test_id")
+
+
 def grade(statuses: DataFrame, keys: list[str]) -> DataFrame:
-    """Reward of a run from (keys, list, test_id, status): 1 if every listed id passed; all failing ids, not the first ten."""
+    """Reward of a run from (keys, list, test_id, status): 1 if every listed id passed. Which ids fail is told by ``failing``."""
     ok = F.coalesce(F.col("status") == "PASSED", F.lit(False))
 
-    def count(name: str, passed: bool) -> F.Column:
+    def count(name: str, passed: bool) -> Column:
         return F.count_if((F.col("list") == name) & (ok if passed else ~ok)).alias(f"{name}_{'pass' if passed else 'fail'}")
 
     return statuses.groupBy(*keys).agg(
         count("f2p", True), count("f2p", False), count("p2p", True), count("p2p", False),
         F.min(ok.cast("double")).alias("reward"),
-        F.array_join(F.sort_array(F.collect_list(F.when(~ok, F.col("test_id")))), ",").alias("failing"),
     )
 
 
@@ -112,8 +116,9 @@ def witness_side(rows: DataFrame) -> DataFrame:
     return rows.where("verdict = 'WITNESS'").withColumn("p2p_coupled_tests", p2p).withColumn("witness_side", side)
 
 
-def verdict_of() -> F.Column:
-    """The verdict lattice over control, anchored, refused, observable, valid and reward."""
+def verdict_of() -> Column:
+    """The verdict lattice over control, anchored, refused, observable, valid and reward; a reward that is no finite number proves nothing."""
+    reward = F.col("reward").cast("double")
     return (
         F.when(~F.coalesce(F.col("control"), F.lit(0.0)).eqNullSafe(1.0), "HARNESS_UNPROVEN")
         .when(~F.col("anchored"), "NOT_APPLICABLE")
@@ -121,7 +126,8 @@ def verdict_of() -> F.Column:
         .when(~F.col("observable"), "UNVALIDATED")
         .when(F.col("valid").isNull(), "UNVALIDATED")
         .when(~F.col("valid"), "INVALID")
-        .when(F.col("reward") == 0, "WITNESS")
+        .when(reward.isNull() | F.isnan(reward) | (F.abs(reward) == float("inf")), "UNVALIDATED")
+        .when(reward == 0, "WITNESS")
         .otherwise("CLEAN")
     )
 
@@ -132,12 +138,20 @@ def task_verdict(rows: DataFrame) -> DataFrame:
     return out.select("instance_id", F.when(F.col("w"), False).when(F.col("j"), True).alias("form_clean"))
 
 
-def tree_digest(files: DataFrame, keys: list[str], path: str = "path", text: str = "text") -> DataFrame:
-    """sha256 over the lines 'hash  path' in path order; a missing text is a line 'MISSING path'.
+def tree_digest(files: DataFrame, keys: list[str], path: str = "path", text: str = "text", block: int = 2) -> DataFrame:
+    """sha256 over the lines 'block  hash' of a tree, where each block's hash is sha256 over its lines 'hash  path' in path order.
 
-    One line of at most some hundred bytes for each file is gathered by tree.
+    A missing text is a line 'MISSING path'. A block holds the paths whose sha256 begins with the same ``block`` hexadecimal
+    digits, so the lines of one tree are spread over 16^block rows and never gathered into one; a tree's digest is made of the hashes of
+    its blocks. Null where every text is missing.
     """
     line = F.when(F.col(text).isNull(), F.concat(F.lit("MISSING "), F.col(path))).otherwise(F.concat(F.sha2(text, 256), F.lit("  "), F.col(path)))
-    lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(path).alias("p"), line.alias("l")))), lambda x: x["l"]), "\n")
-    out = files.groupBy(*keys).agg(lines.alias("lines"), F.count(F.lit(1)).alias("files"), F.count(text).alias("present"))
-    return out.select(*keys, "files", F.when(F.col("present") > 0, F.sha2("lines", 256)).alias("digest"))
+
+    def digest(order: str, value: str) -> Column:
+        return F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("p"), F.col(value).alias("l")))), lambda x: x["l"]), "\n"), 256)
+
+    rows = files.select(*keys, F.substring(F.sha2(path, 256), 1, block).alias("block"), F.col(path).alias("p"), line.alias("l"), F.col(text).isNotNull().alias("there"))
+    blocks = rows.groupBy(*keys, "block").agg(digest("p", "l").alias("hash"), F.count(F.lit(1)).alias("files"), F.count_if("there").alias("present"))
+    blocks = blocks.withColumn("l", F.concat("hash", F.lit("  "), "block"))
+    out = blocks.groupBy(*keys).agg(digest("block", "l").alias("digest"), F.sum("files").alias("files"), F.sum("present").alias("present"))
+    return out.select(*keys, "files", F.when(F.col("present") > 0, F.col("digest")).alias("digest"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritally.functions.expressions import wilson
+from veritally.functions.expressions import rounded, wilson
 from veritally.schemas import JUDGED, WITNESS_SIDES
 
 
@@ -31,7 +31,7 @@ def _rates(tasks: DataFrame, *by: str) -> DataFrame:
     out = tasks.groupBy(*by, "operator").agg(F.count_if("judged").alias("judged_tasks"), F.count_if(F.col("judged") & F.col("witness")).alias("witness_tasks"))
     low, high = wilson(F.col("witness_tasks"), F.col("judged_tasks"))
     rate = F.try_divide(F.col("witness_tasks").cast("double"), F.col("judged_tasks"))
-    return out.withColumn("rate", rate).withColumn("wilson_low", low).withColumn("wilson_high", high)
+    return out.withColumn("rate", rounded(rate)).withColumn("wilson_low", low).withColumn("wilson_high", high)
 
 
 def witness_rate(records: DataFrame, rows: DataFrame) -> DataFrame:
@@ -58,7 +58,7 @@ def anchor_availability(records: DataFrame, rows: DataFrame) -> DataFrame:
     """By operator over controlled tasks: tasks with a row, those with an anchor, and the share."""
     tasks = _per_task(rows.join(controlled(records).select("instance_id"), "instance_id"))
     out = tasks.groupBy("operator").agg(F.count(F.lit(1)).alias("tasks"), F.count_if("anchored").alias("with_anchor"))
-    return out.withColumn("availability", F.col("with_anchor").cast("double") / F.col("tasks"))
+    return out.withColumn("availability", rounded(F.col("with_anchor").cast("double") / F.col("tasks")))
 
 
 def verdict_counts(records: DataFrame, rows: DataFrame) -> DataFrame:
@@ -112,7 +112,7 @@ def target_histogram(records: DataFrame) -> DataFrame:
 def eligibility_summary(tasks: DataFrame) -> DataFrame:
     """One row: tasks, eligible ones, those of a single file, and their shares of the eligible."""
     out = tasks.agg(F.count(F.lit(1)).alias("n"), F.count_if("eligible").alias("n_eligible"), F.count_if(F.col("eligible") & F.col("single_file")).alias("n_single_file"))
-    return out.withColumn("share_single_file", F.try_divide(F.col("n_single_file").cast("double"), F.col("n_eligible")))
+    return out.withColumn("share_single_file", rounded(F.try_divide(F.col("n_single_file").cast("double"), F.col("n_eligible"))))
 
 
 def suite_loss(tasks: DataFrame, failing: str = "failing", graded: str = "graded") -> DataFrame:

@@ -29,7 +29,7 @@ def draw_order(seed: int, key: str) -> Column:
 def _lowest(tasks: DataFrame, by: list[str], seed: int, key: str, quota: DataFrame) -> DataFrame:
     """The ``quota`` rows of each group with the lowest hashes. A rank filter on the window lets Spark shorten groups early."""
     rank = F.row_number().over(Window.partitionBy(*by).orderBy("_h", key))
-    own = tasks.join(F.broadcast(quota), by).withColumn("_h", draw_order(seed, key))  # one row for each group of a report
+    own = tasks.join(quota, by).withColumn("_h", draw_order(seed, key))
     return own.withColumn("_r", rank).where("_r <= quota").drop("_h", "_r", "quota")
 
 
@@ -47,7 +47,12 @@ def seeded_limit(tasks: DataFrame, n: int, seed: int, key: str = "instance_id")
 
 
 def round_robin(tasks: DataFrame, k: int, group: str, order: str) -> DataFrame:
-    """k tasks: the first of each group in the groups' order of first appearance, then the second of each, and so on."""
-    w = Window.partitionBy(group)
-    ranked = tasks.withColumn("_rank", F.row_number().over(w.orderBy(order))).withColumn("_first", F.min(order).over(w)).where(F.col("_rank") <= k)
-    return ranked.orderBy("_rank", "_first").limit(k).drop("_rank", "_first")
+    """k tasks: the first of each group in the groups' order of first appearance, then the second of each, and so on.
+
+    The first appearances are an aggregate of their own, so that the rank filter alone is left to the window and Spark can cut
+    each group to k rows before they are shuffled.
+    """
+    first = tasks.groupBy(group).agg(F.min(order).alias("_first"))
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(order))
+    short = tasks.withColumn("_rank", rank).where(F.col("_rank") <= k)
+    return short.join(first, group).orderBy("_rank", "_first").limit(k).select(*tasks.columns)

@@ -29,6 +29,7 @@ def _file_rows(source: str) -> list[tuple]:
     raw, out = [x.encode() for x in source.split("\n")], []
     top = {id(n) for n in root.body}
     hints: set[int] = set()
+    listed = {id(x) for n in ast.walk(root) if isinstance(n, ast.Assign | ast.AugAssign) and any(getattr(t, "id", "") == "__all__" for t in getattr(n, "targets", [getattr(n, "target", None)])) for x in ast.walk(n.value)}
     for n in ast.walk(root):
         noted = [n.annotation] if isinstance(n, ast.arg | ast.AnnAssign) else [n.returns] if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef) else []
         hints |= {id(x) for a in noted if a is not None for x in ast.walk(a)}
@@ -54,7 +55,7 @@ def _file_rows(source: str) -> list[tuple]:
                 seg = raw[at - 1][n.col_offset : n.end_col_offset]
                 out += [(m[0].decode(), "annotation", at, n.col_offset + m.start(), n.col_offset + m.end(), at, "") for m in _WORD.finditer(seg)]
             else:
-                out += [(w.decode(), "string", at, 0, 0, n.end_lineno, "") for w in {m[0] for m in _WORD.finditer(n.value.encode("utf-8", "replace"))}]
+                out += [(w.decode(), "string", at, 0, 0, n.end_lineno, "__all__" if id(n) in listed else "") for w in {m[0] for m in _WORD.finditer(n.value.encode("utf-8", "replace"))}]
     return out
 
 
@@ -84,7 +85,8 @@ def rename(files: DataFrame, places: DataFrame, anchors: DataFrame, issues: Data
     """(tree, target, name, status, reason, path, text): each anchor's renamed files, or one REFUSED row with null path.
 
     anchors: tree, path, name. issues: tree, issue. Refused are names that the issue mentions, that a string outside
-    annotations holds, that an import splits over lines, that an attribute access reaches other than through the
+    annotations holds (the strongest such place is told: an entry of __all__ first, then public paths, then by path and line, and
+    how many others there are), that an import splits over lines, that an attribute access reaches other than through the
     defining module, and trees with a file that does not parse. Each changed file has to round-trip.
     """
     own = anchors.select("tree", F.col("path").alias("target"), "name")
@@ -93,12 +95,18 @@ def rename(files: DataFrame, places: DataFrame, anchors: DataFrame, issues: Data
     hits = own.join(places, ["tree", "name"])
     qualified = (F.col("kind") == "attribute") & (F.col("qualifier") == module)
     reason = (
-        F.when(F.col("kind") == "string", F.concat(F.lit("dynamic reach in "), "path", F.lit(" line "), F.col("line").cast("string")))
-        .when(F.col("kind") == "split_import", F.concat(F.lit("import over several lines in "), "path"))
+        F.when(F.col("kind") == "split_import", F.concat(F.lit("import over several lines in "), "path"))
         .when((F.col("kind") == "attribute") & ~qualified, F.concat(F.lit("attribute access in "), "path", F.lit(" line "), F.col("line").cast("string")))
     )
     broken = places.where("kind = 'error'").groupBy("tree").agg(F.min(F.concat(F.lit("does not parse: "), "path")).alias("broken"))
-    refusals = hits.groupBy(*key).agg(F.min(reason).alias("reach"))
+    private = F.exists(F.slice(F.split("path", "/"), F.lit(1), F.size(F.split("path", "/")) - 1), lambda x: F.startswith(x, F.lit("_")))
+    order = F.struct((F.col("qualifier") != "__all__").alias("plain"), private.alias("private"), "path", "line")
+    strings = F.col("kind") == "string"
+    refusals = hits.groupBy(*key).agg(F.min(F.when(strings, order)).alias("x"), F.count_if(strings).alias("n"), F.min(reason).alias("other"))
+    more = F.when(F.col("n") > 1, F.concat(F.lit("; "), (F.col("n") - 1).cast("string"), F.lit(" more"))).otherwise("")
+    entry = F.when(F.col("x.plain"), "").otherwise(" (an entry of __all__)")
+    told = F.concat(F.lit("dynamic reach in "), "x.path", F.lit(" line "), F.col("x.line").cast("string"), entry, more)
+    refusals = refusals.select(*key, F.coalesce(told, "other").alias("reach"))
     named = own.join(issues, "tree", "left").select(*key, F.when(F.coalesce(mentions(F.col("issue"), F.col("name")), F.lit(False)), "the issue names it").alias("named"))
     decided = named.join(broken, "tree", "left").join(refusals, key, "left").select(*key, F.coalesce("named", "broken", "reach").alias("reason"))
     edits = hits.where("kind in ('name', 'def', 'top_def', 'async_def', 'import', 'annotation', 'attribute')")

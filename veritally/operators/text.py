@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veritally.functions.expressions import names_symbol, patched_files, production_python
+from veritally.functions.expressions import names_symbol, normal, patched_files, production_python
 
 
 def classify(corpus: DataFrame, patch: str = "patch") -> DataFrame:
@@ -159,3 +159,22 @@ def single_word_mentions(texts: DataFrame, words: DataFrame, key: str, text: str
     """(key, word): texts that mention a word, by an equi-join on their distinct tokens rather than a text-by-word product."""
     token = F.explode(F.array_distinct(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}_]", " ")), " "))).alias(word)
     return texts.select(key, token).where(F.col(word) != "").join(words.select(F.lower(F.col(word)).alias(word)).distinct(), word).select(key, word)
+
+
+def phrase_mentions(texts: DataFrame, phrases: DataFrame, key: str, lengths: list[int], text: str = "text", phrase: str = "phrase") -> DataFrame:
+    """(key, phrase): texts that mention a phrase of one of these lengths in words, by an equi-join on their word n-grams.
+
+    Text and phrase are normalised; runs of blanks are kept, so a phrase matches where its own spacing does.
+    """
+    w = texts.select(key, F.split(normal(F.col(text)), " ").alias("w"))
+
+    def grams_of(n: int) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0)))
+        return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice("w", i + 1, n), " ")))
+
+    grams = [w.select(key, F.explode(grams_of(n)).alias(phrase)) for n in lengths]
+    wanted = phrases.select(normal(F.col(phrase)).alias(phrase)).distinct()
+    every = grams[0]
+    for g in grams[1:]:
+        every = every.unionByName(g)
+    return every.join(wanted, phrase).select(key, phrase).distinct()

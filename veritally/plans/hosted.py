@@ -65,9 +65,9 @@ FACTS = f"{RECORDS}, {ROWS}, own as (select rs.*, multi_target from rs join reco
 RATE = """, t as (select operator{by}, instance_id, bool_or(verdict in ('WITNESS', 'CLEAN', 'INVALID')) as j, bool_or(verdict = 'WITNESS') as w from own group by all),
 c as (select operator{by}, count(*) filter (where j) as n, count(*) filter (where j and w) as k from t group by all),
 r as (select *, case when n > 0 then k::double / n end as rate, 1 + 1.96::double * 1.96 / n as dd from c)
-select operator{by}, n as judged_tasks, k as witness_tasks, rate,
-  case when rate is not null then greatest(0.0::double, (rate + 1.96::double * 1.96 / (2 * n)) / dd - 1.96::double * sqrt(rate * (1 - rate) / n + 1.96::double * 1.96 / (4.0::double * n * n)) / dd) end as wilson_low,
-  case when rate is not null then least(1.0::double, (rate + 1.96::double * 1.96 / (2 * n)) / dd + 1.96::double * sqrt(rate * (1 - rate) / n + 1.96::double * 1.96 / (4.0::double * n * n)) / dd) end as wilson_high"""
+select operator{by}, n as judged_tasks, k as witness_tasks, round_even(rate, 4) as rate,
+  round_even(case when rate is not null then greatest(0.0::double, (rate + 1.96::double * 1.96 / (2 * n)) / dd - 1.96::double * sqrt(rate * (1 - rate) / n + 1.96::double * 1.96 / (4.0::double * n * n)) / dd) end, 4) as wilson_low,
+  round_even(case when rate is not null then least(1.0::double, (rate + 1.96::double * 1.96 / (2 * n)) / dd + 1.96::double * sqrt(rate * (1 - rate) / n + 1.96::double * 1.96 / (4.0::double * n * n)) / dd) end, 4) as wilson_high"""
 
 
 @query(f"with {FACTS}{RATE.format(by='')} from r")
@@ -87,7 +87,7 @@ def witness_rate_by_stratum(spark, d):
 
 
 @query(f"""with {FACTS}, t as (select operator, instance_id, bool_or(verdict <> 'NOT_APPLICABLE') as a from own group by all)
-select operator, count(*) as tasks, count(*) filter (where a) as with_anchor, (count(*) filter (where a))::double / count(*) as availability from t group by operator""")
+select operator, count(*) as tasks, count(*) filter (where a) as with_anchor, round_even((count(*) filter (where a))::double / count(*), 4) as availability from t group by operator""")
 def anchor_availability(spark, d):
     return metrics.anchor_availability(_records(spark, d), _rows(spark, d))
 
@@ -127,7 +127,7 @@ def target_histogram(spark, d):
 
 @query("""with e as (select doc_id % 5 <> 0 as eligible, doc_id % 7 <> 0 as single_file from documents)
 select count(*) as n, count(*) filter (where eligible) as n_eligible, count(*) filter (where eligible and single_file) as n_single_file,
-(count(*) filter (where eligible and single_file))::double / nullif(count(*) filter (where eligible), 0) as share_single_file from e""")
+round_even((count(*) filter (where eligible and single_file))::double / nullif(count(*) filter (where eligible), 0), 4) as share_single_file from e""")
 def eligibility_summary(spark, d):
     docs = _read(spark, d, "documents")
     return metrics.eligibility_summary(docs.select((F.col("doc_id") % 5 != 0).alias("eligible"), (F.col("doc_id") % 7 != 0).alias("single_file")))
@@ -162,13 +162,13 @@ def mount_rate(spark, d):
 # ---- comparison and joins
 
 INDEX = """i as (select l_linestatus as side, l_returnflag as operator, case when l_partkey % 5 = 0 then null else l_partkey end as anchor, l_orderkey as o, l_linenumber as n,
-  l_shipdate as s, l_discount as v, l_quantity as q from lineitem where l_partkey % 3 = 0),
+  l_shipdate as s, l_discount as v, l_quantity as q from lineitem),
 x as (select side, operator, anchor, max((o, n, s, v, q)) as m from i group by all),
 idx as (select side, operator, anchor, case when m[4] <= 0.03 then 'REFUSED' else 'CLEAN' end as verdict, 'why  ' || (m[5]::int % 3)::varchar as reason from x)"""
 
 
 def _index(spark: SparkSession, d: str, side: str) -> DataFrame:
-    line = _read(spark, d, "lineitem").where((F.col("l_partkey") % 3 == 0) & (F.col("l_linestatus") == side))
+    line = _read(spark, d, "lineitem").where(F.col("l_linestatus") == side)
     own = line.select(
         F.col("l_returnflag").alias("operator"), F.when(F.col("l_partkey") % 5 != 0, F.col("l_partkey")).alias("anchor"),
         F.struct("l_orderkey", "l_linenumber", "l_shipdate", "l_discount", "l_quantity").alias("ordinal"),
@@ -207,27 +207,26 @@ def unknown_ids(spark, d):
     return compare.unknown_ids(docs.select((F.col("doc_id") + 500).alias("instance_id")).distinct(), docs.select(F.col("doc_id").alias("instance_id")))
 
 
-@query("""with f as (select distinct l_returnflag as task, l_suppkey as failing, l_linestatus as variant from lineitem where l_discount >= 0.09 and l_quantity >= 49)
+@query("""with f as (select distinct l_returnflag as task, l_suppkey as failing, l_linestatus as variant from lineitem)
 select task, failing, 'lost' as change from f a where variant = 'F' and not exists (select 1 from f b where b.variant = 'O' and a.task = b.task and a.failing = b.failing)
 union all select task, failing, 'gained' from f a where variant = 'O' and not exists (select 1 from f b where b.variant = 'F' and a.task = b.task and a.failing = b.failing)""")
 def gate_drift(spark, d):
-    own = _read(spark, d, "lineitem").where("l_discount >= 0.09 and l_quantity >= 49").select(F.col("l_returnflag").alias("task"), F.col("l_suppkey").alias("failing"), "l_linestatus")
+    own = _read(spark, d, "lineitem").select(F.col("l_returnflag").alias("task"), F.col("l_suppkey").alias("failing"), "l_linestatus")
     return compare.drift(own.where("l_linestatus = 'F'"), own.where("l_linestatus = 'O'"), ["task"], "failing")
 
 
-@query("""with e as (select distinct l_returnflag as run, l_partkey as test_id from lineitem), s as (select p_partkey as test_id, p_size from part where p_partkey % 4 <> 0)
+@query("""with e as (select distinct l_returnflag as run, l_partkey * 2 + l_linenumber % 2 as test_id from lineitem), s as (select p_partkey * 2 as test_id, p_size from part)
 select run, count(*) as expected, count(p_size) as present, count(*) filter (where coalesce(p_size, 99) > 25) as failing from e left join s using (test_id) group by all""")
 def id_presence(spark, d):
-    expected = _read(spark, d, "lineitem").select(F.col("l_returnflag").alias("run"), F.col("l_partkey").alias("test_id")).distinct()
+    expected = _read(spark, d, "lineitem").select(F.col("l_returnflag").alias("run"), (F.col("l_partkey") * 2 + F.col("l_linenumber") % 2).alias("test_id")).distinct()
     status = F.when(F.col("p_size") > 25, "FAILED").otherwise("PASSED").alias("status")
-    part = _read(spark, d, "part").where("p_partkey % 4 <> 0").select(F.col("p_partkey").alias("test_id"), status)
+    part = _read(spark, d, "part").select((F.col("p_partkey") * 2).alias("test_id"), status)
     return compare.presence(expected, expected.select("run").distinct().crossJoin(part), ["run"])  # three runs
 
 
 @query("""with s as (select o_custkey % 50 as run, case when o_orderkey % 3 = 0 then 'f2p' else 'p2p' end as list, o_orderkey::varchar as test_id, o_totalprice > 20000 as ok from orders)
 select run, count(*) filter (where list = 'f2p' and ok) as f2p_pass, count(*) filter (where list = 'f2p' and not ok) as f2p_fail, count(*) filter (where list = 'p2p' and ok) as p2p_pass,
-count(*) filter (where list = 'p2p' and not ok) as p2p_fail, min(ok::int)::double as reward, coalesce(string_agg(test_id, ',' order by test_id) filter (where not ok), '') as failing
-from s group by run""")
+count(*) filter (where list = 'p2p' and not ok) as p2p_fail, min(ok::int)::double as reward from s group by run""")
 def grade_runs(spark, d):
     o = _read(spark, d, "orders")
     own = o.select(
@@ -237,13 +236,23 @@ def grade_runs(spark, d):
     return compare.grade(own, ["run"])
 
 
+@query("select o_custkey % 50 as run, case when o_orderkey % 3 = 0 then 'f2p' else 'p2p' end as list, o_orderkey::varchar as test_id from orders where not o_totalprice > 20000")
+def failing_ids(spark, d):
+    o = _read(spark, d, "orders")
+    own = o.select(
+        (F.col("o_custkey") % 50).alias("run"), F.when(F.col("o_orderkey") % 3 == 0, "f2p").otherwise("p2p").alias("list"), F.col("o_orderkey").cast("string").alias("test_id"),
+        F.when(F.col("o_totalprice") > 20000, "PASSED").otherwise("FAILED").alias("status"),
+    )
+    return compare.failing(own, ["run"])
+
+
 @query("""with o as (select distinct l_returnflag as operator from lineitem), t as (select n_nationkey as target from nation),
-a as (select l_returnflag as operator, l_suppkey % 25 as target, min(l_partkey) as anchor from lineitem where l_discount > 0.09 and l_quantity > 45 group by all)
+a as (select l_returnflag as operator, l_suppkey % 25 as target, min(l_partkey) as anchor from lineitem group by all)
 select operator, target, anchor, case when anchor is null then 'NOT_APPLICABLE' else 'ANCHORED' end as status from o cross join t left join a using (operator, target)""")
 def operator_grid(spark, d):
     line = _read(spark, d, "lineitem")
     targets = _read(spark, d, "nation").select(F.col("n_nationkey").alias("target"))
-    own = line.where("l_discount > 0.09 and l_quantity > 45").groupBy(F.col("l_returnflag").alias("operator"), (F.col("l_suppkey") % 25).alias("target"))
+    own = line.groupBy(F.col("l_returnflag").alias("operator"), (F.col("l_suppkey") % 25).alias("target"))
     return compare.operator_grid(line.select(F.col("l_returnflag").alias("operator")).distinct(), targets, own.agg(F.min("l_partkey").alias("anchor")))
 
 
@@ -254,24 +263,26 @@ def unowned_footprint(spark, d):
     return compare.unowned(part, part.where("bytes = 50").select("ref", F.lit(True).alias("live")), "ns/")
 
 
-@query(r"""with f as (select source, doc_id, case when doc_id % 17 = 0 then null else text end as text from documents),
-l as (select source, doc_id, case when text is null then 'MISSING ' || lpad(doc_id::varchar, 12, '0') else sha256(text) || '  ' || lpad(doc_id::varchar, 12, '0') end as line,
-text is not null as there from f)
-select source, count(*) as files, case when bool_or(there) then sha256(string_agg(line, chr(10) order by doc_id)) end as digest from l group by source""")
+@query(r"""with f as (select source, lpad(doc_id::varchar, 12, '0') as path, case when doc_id % 17 = 0 then null else text end as text from documents),
+l as (select source, path, left(sha256(path), 2) as block, case when text is null then 'MISSING ' || path else sha256(text) || '  ' || path end as line, text is not null as there from f),
+b as (select source, block, sha256(string_agg(line, chr(10) order by path)) || '  ' || block as line, count(*) as n, bool_or(there) as there from l group by source, block)
+select source, sum(n)::bigint as files, case when bool_or(there) then sha256(string_agg(line, chr(10) order by block)) end as digest from b group by source""")
 def tree_digest(spark, d):
     docs = _read(spark, d, "documents").select("source", F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), F.when(F.col("doc_id") % 17 != 0, F.col("text")).alias("text"))
     return compare.tree_digest(docs, ["source"])
 
 
 @query("""with v as (select o_orderkey as instance_id, case when o_orderstatus = 'P' then 0.5 else 1.0 end as control, o_custkey % 5 <> 0 as anchored, o_custkey % 7 = 1 as refused,
-o_custkey % 11 <> 2 as observable, case o_custkey % 3 when 0 then true when 1 then false end as valid, o_orderkey % 2 as reward from orders)
+o_custkey % 11 <> 2 as observable, case o_custkey % 3 when 0 then true when 1 then false end as valid,
+case when o_orderkey % 5 = 0 then null when o_orderkey % 5 = 1 then 'nan'::double else (o_orderkey % 2)::double end as reward from orders)
 select instance_id, case when control <> 1.0 then 'HARNESS_UNPROVEN' when not anchored then 'NOT_APPLICABLE' when refused then 'REFUSED' when not observable then 'UNVALIDATED'
-when valid is null then 'UNVALIDATED' when not valid then 'INVALID' when reward = 0 then 'WITNESS' else 'CLEAN' end as verdict from v""")
+when valid is null then 'UNVALIDATED' when not valid then 'INVALID' when reward is null or isnan(reward) then 'UNVALIDATED' when reward = 0 then 'WITNESS' else 'CLEAN' end as verdict from v""")
 def verdict_lattice(spark, d):
     k = F.col("o_custkey")
     o = _read(spark, d, "orders").select(
         F.col("o_orderkey").alias("instance_id"), F.when(F.col("o_orderstatus") == "P", 0.5).otherwise(1.0).alias("control"), (k % 5 != 0).alias("anchored"),
-        (k % 7 == 1).alias("refused"), (k % 11 != 2).alias("observable"), F.when(k % 3 == 0, True).when(k % 3 == 1, False).alias("valid"), (F.col("o_orderkey") % 2).alias("reward"),
+        (k % 7 == 1).alias("refused"), (k % 11 != 2).alias("observable"), F.when(k % 3 == 0, True).when(k % 3 == 1, False).alias("valid"),
+        F.when(F.col("o_orderkey") % 5 > 1, (F.col("o_orderkey") % 2).cast("double")).when(F.col("o_orderkey") % 5 == 1, float("nan")).alias("reward"),
     )
     return o.select("instance_id", compare.verdict_of().alias("verdict"))
 

@@ -32,3 +32,13 @@ def write_ids(df: DataFrame, path: str, header: tuple[str, ...]) -> None:
 def write_partitioned(df: DataFrame, path: str, *by: str) -> None:
     """JSON by folders, such as overlays by task."""
     df.write.mode("overwrite").partitionBy(*by).json(path)
+
+
+def write_records(recs: DataFrame, path: str) -> None:
+    """Task records as JSON lines with sorted keys, by repository; what a failed run wrote is never seen."""
+    recs.select("repo", F.to_json(F.struct(*sorted(c for c in recs.columns if c != "repo"))).alias("value")).write.mode("overwrite").partitionBy("repo").text(path)
+
+
+def append_rows(stream: DataFrame, path: str, checkpoint: str):
+    """A checkpoint of finished rows: each micro-batch is appended once, and a restarted run goes on after it."""
+    return stream.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").start()
