@@ -14,8 +14,12 @@ from veritally.llm.common import hold
 
 WINDOW, LEAST_WINDOW = 48, 6
 RANK, EXTRA = 224, 32
-COMMON, LEAST = 0.005, 8
+COMMON, FEW, LEAST = 0.005, 50, 8
 COSINE, LCS, SURE, RARE = 0.6, 0.55, 0.8, 0.5
+#: Pieces of items that are met in one pass over the documents: at most 2048 * 48 terms, so 201 MB for a task's sums.
+PIECES = 2048
+#: Bytes of benchmark text that the driver takes.
+MOST_BYTES = 64 << 20
 _LETTERS = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 _BLOCK = 4096
 
@@ -25,89 +29,99 @@ def item_words(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").translate(_LETTERS).split()
 
 
-@dataclass(frozen=True)
-class Items:
-    """The benchmark: a stated query set, held by the driver and every task."""
-
-    ids: list[int]
-    words: list[list[bytes]]
-    vocabulary: dict[bytes, int]
-
-    @classmethod
-    def of(cls, rows: list[tuple[int, str]]) -> Items:
-        own = [(i, w) for i, t in sorted(rows, key=lambda r: (str(r[0]), r[1] or "")) if (w := item_words(t))]
-        return cls([i for i, _ in own], [w for _, w in own], {x: k for k, x in enumerate(sorted({x for _, w in own for x in w}))})
-
-    def flat(self) -> tuple[np.ndarray, np.ndarray]:
-        """(terms, item of each)."""
-        terms = [self.vocabulary[x] for w in self.words for x in w]
-        return np.array(terms, np.int64), np.repeat(np.arange(len(self.words)), [len(w) for w in self.words])
-
-
 def width(words: int) -> int:
-    """Words of the windows that an item of so many words is looked for in: it fills over half of one, up to all of it."""
+    """Words of the windows that a piece of so many words is looked for in: it fills over half of one, up to all of it."""
     w = LEAST_WINDOW
     while w < words:
         w *= 2
     return w
 
 
-def _entries(terms: np.ndarray, rows: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(rows present, where each begins, row number of each entry, terms), without common terms; rows come in order."""
-    keep = idf[terms] > 0
-    terms, rows = terms[keep], rows[keep]
-    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else np.zeros(0, np.int64)
-    return rows[first], first, np.repeat(np.arange(len(first)), np.diff(np.append(first, len(rows)))), terms
+@dataclass(frozen=True)
+class Items:
+    """Some of the benchmark's items: a stated query set, held by the driver and every task.
 
+    Items of over WINDOW words are looked for in pieces of equal length; of: each piece's item, begins: its first word there.
+    """
 
-def _project(terms: np.ndarray, rows: np.ndarray, idf: np.ndarray, weighted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows present, their TF-IDF vectors in the latent space); ``weighted``: the basis with its rows times idf."""
-    there, first, _, terms = _entries(terms, rows, idf)
-    return there, np.add.reduceat(weighted[terms], first, axis=0) if len(there) else np.zeros((0, weighted.shape[1]), np.float32)
+    words: list[list[bytes]]
+    vocabulary: dict[bytes, int]
+    of: np.ndarray
+    begins: np.ndarray
+    widths: np.ndarray
+    terms: np.ndarray
+    pieces: np.ndarray
+
+    @classmethod
+    def cut(cls, words: list[list[bytes]]) -> Items:
+        vocabulary = {x: k for k, x in enumerate(sorted({x for w in words for x in w}))}
+        of, begins, widths, terms, pieces = [], [], [], [], []
+        for k, w in enumerate(words):
+            n = -(-len(w) // WINDOW)
+            ends = [len(w) * i // n for i in range(n + 1)]
+            for lo, hi in zip(ends, ends[1:], strict=False):
+                pieces += [len(of)] * (hi - lo)
+                terms += [vocabulary[x] for x in w[lo:hi]]
+                of.append(k)
+                begins.append(lo)
+                widths.append(width(hi - lo))
+        return cls(words, vocabulary, *(np.array(x, np.int64) for x in (of, begins, widths, terms, pieces)))
+
+
+def _project(terms: np.ndarray, rows: np.ndarray, weighted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows present, the sums of their terms' rows of ``weighted``); rows come in order."""
+    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else np.zeros(0, np.int64)
+    return rows[first], np.add.reduceat(weighted[terms], first, axis=0) if len(first) else np.zeros((0, weighted.shape[1]), np.float32)
 
 
-def passages(docs: DataFrame, items: Items, widths: tuple[int, ...] = (WINDOW,)) -> DataFrame:
-    """(doc_id, ka, kb, first, width, terms): word windows of every whole text with the benchmark's words in them.
+def tokens(docs: DataFrame, items: Items) -> DataFrame:
+    """(ka, kb, terms): the benchmark's number of every word of every whole text, -1 for words that no item has.
 
-    Windows of each of the widths begin every half of it; windows without a benchmark word are left out, as their vector
-    is zero.
+    Texts without a word of the benchmark are left out, as all their vectors are zero.
     """
     sent = docs.sparkSession.sparkContext.broadcast(items.vocabulary)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         for b in it:
-            row, first, wide, terms = [], [], [], []
-            for i, t in enumerate(b.column(3)):
-                found = [known.get(x, -1) for x in item_words(t.as_py())]
-                ids = np.array(found, np.int32)
-                for w in widths:
-                    for a in range(0, max(1, len(ids) - w + w // 2), w // 2):
-                        own = ids[a : a + w]
-                        own = own[own >= 0]
-                        if len(own):
-                            row.append(i)
-                            first.append(a)
-                            wide.append(w)
-                            terms.append(own)
+            row, terms = [], []
+            for i, t in enumerate(b.column(2)):
+                own = item_words(t.as_py())
+                if not known.keys().isdisjoint(own):
+                    row.append(i)
+                    terms.append(np.fromiter((known.get(x, -1) for x in own), np.int32, len(own)))
             ends = np.cumsum([0, *map(len, terms)]).astype(np.int32)
-            values = pa.array(np.concatenate(terms) if terms else np.zeros(0, np.int32))
-            take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(k).take(take) for k in range(3)), pa.array(first, pa.int32()), pa.array(wide, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), values)],
-                ["doc_id", "ka", "kb", "first", "width", "terms"],
-            )
+            values, take = pa.array(np.concatenate(terms) if terms else np.zeros(0, np.int32)), pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.ListArray.from_arrays(pa.array(ends), values)], ["ka", "kb", "terms"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("ka"), F.xxhash64(F.lit(7), "text", "doc_id").alias("kb"), "text").where("text <> ''")
-    return keyed.mapInArrow(batches, f"doc_id {kind}, ka long, kb long, first int, width int, terms array<int>")
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("ka"), F.xxhash64(F.lit(7), "text", "doc_id").alias("kb"), "text").where("text <> ''")
+    return keyed.mapInArrow(batches, "ka long, kb long, terms array<int>")
+
+
+def _flat(b: pa.RecordBatch, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, document and place of each, words of each document) of a batch, for the terms that ``keep`` marks.
+
+    keep has a last entry, false, for the words that no item has.
+    """
+    col = b.column(b.schema.get_field_index("terms"))
+    sizes = np.diff(col.offsets.to_numpy()).astype(np.int64)
+    terms = col.flatten().to_numpy()
+    there = np.flatnonzero(keep[terms])
+    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[there]
+    return terms[there], row, there - (np.cumsum(sizes) - sizes)[row], sizes
+
+
+def _passages(b: pa.RecordBatch, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(terms, passage of each) of a batch: texts are cut into passages of WINDOW words."""
+    terms, row, place, sizes = _flat(b, keep)
+    n = -(-sizes // WINDOW)
+    return terms, (np.cumsum(n) - n)[row] + place // WINDOW
 
 
-def _flat(b: pa.RecordBatch, name: str = "terms") -> tuple[np.ndarray, np.ndarray]:
-    """(terms, row of each) of a batch."""
-    col = b.column(b.schema.get_field_index(name))
-    sizes = np.diff(col.offsets.to_numpy())
-    return col.flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct numbers."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
 def _tree_sum(parts: DataFrame, fan: int = 256) -> np.ndarray:
@@ -150,48 +164,54 @@ def latent_basis(held: DataFrame, items: Items, seed: int = 11) -> tuple[np.ndar
     """(idf, basis): inverse document frequencies over all passages and the leading right singular vectors.
 
     Randomised SVD of the TF-IDF matrix A of all passages, in one pass over them: it sums Y = A'(A R) for a random R,
-    from which the Nystroem form Y (R'Y)^-1 Y' of A'A gives singular vectors and values. The items are rows of A too,
+    from which the Nystroem form Y (R'Y)^-1 Y' of A'A gives singular vectors and values. The items' pieces are rows of A too,
     scaled so that they hold as much of its square sum as the corpus does: else the directions of an item that few
-    passages hold would be lost. Terms in over COMMON of all passages carry no weight, as stop words, but for the
-    LEAST rarest terms of each item, so that every item keeps some whatever the corpus is like.
+    passages hold would be lost. Terms in over COMMON of all passages (and in over FEW) carry no weight, as stop words, but for
+    the LEAST rarest terms of each piece, so that every piece keeps some whatever the corpus is like.
     """
     v = len(items.vocabulary)
 
+    every = np.arange(v + 1) < v
+
     def count(b: pa.RecordBatch, total: np.ndarray) -> None:
-        terms, rows = _flat(b)
-        total[:v] += np.bincount(np.unique(rows.astype(np.int64) * v + terms) % v, minlength=v)
-        total[v] += b.num_rows
+        terms, rows = _passages(b, every)
+        total[:v] += np.bincount(_distinct(rows * v + terms) % v, minlength=v)
+        total[v] += (np.diff(rows) > 0).sum() + (len(rows) > 0)
 
     df = _summed(held, v + 1, count)
     n, df = df[v], df[:v]
-    keep = df <= COMMON * n
-    for w in items.words:
-        own = np.array(sorted({items.vocabulary[x] for x in w}))
+    keep = df <= max(COMMON * n, FEW)
+    for k in range(len(items.of)):
+        own = np.unique(items.terms[items.pieces == k])
         keep[own[np.argsort(df[own], kind="stable")[:LEAST]]] = True
     idf = np.where(keep, np.log((n + 1) / (df + 1)) + 1, 0.0)
     wide = min(RANK + EXTRA, v)
     start = np.random.Generator(np.random.PCG64(seed)).standard_normal((v, wide)).astype(np.float32)
     weighted = start * idf[:, None].astype(np.float32)
+    some = np.append(idf > 0, False)
+
+    def add(terms: np.ndarray, rows: np.ndarray, out: np.ndarray) -> float:
+        """A'(A R) of these rows, added to out; returns their square sum."""
+        if not len(terms):
+            return 0.0
+        there, y = _project(terms, rows, weighted)
+        entry = np.searchsorted(there, rows)
+        by = np.argsort(terms, kind="stable")
+        which, begin = np.unique(terms[by], return_index=True)
+        out[which] += np.add.reduceat(y[entry[by]], begin, axis=0) * idf[which, None]
+        return float((idf[terms] ** 2).sum())
 
     def power(b: pa.RecordBatch, total: np.ndarray) -> None:
-        out = total[:-1].reshape(v, wide)
-        every, rows = _flat(b)
-        ends = np.searchsorted(rows, np.arange(0, b.num_rows + _BLOCK, _BLOCK))
+        terms, rows = _passages(b, some)
+        ends = np.searchsorted(rows, np.arange(0, (rows[-1] if len(rows) else 0) + _BLOCK + 1, _BLOCK))
         for lo, hi in zip(ends, ends[1:], strict=False):
-            there, first, entry, terms = _entries(every[lo:hi], rows[lo:hi], idf)
-            if len(there):
-                y = np.add.reduceat(weighted[terms], first, axis=0)
-                by = np.argsort(terms, kind="stable")
-                which, begin = np.unique(terms[by], return_index=True)
-                out[which] += np.add.reduceat(y[entry[by]], begin, axis=0) * idf[which, None]
-                total[-1] += (idf[terms] ** 2).sum()
-
-    words, rows = items.flat()
-    own = np.zeros((len(items.ids), v))
-    np.add.at(own, (rows, words), idf[words])
+            total[-1] += add(terms[lo:hi], rows[lo:hi], total[:-1].reshape(v, wide))
+
     summed = _summed(held, v * wide + 1, power)
-    own *= np.sqrt(summed[-1] / max((own**2).sum(), 1e-9))
-    y = summed[:-1].reshape(v, wide) + own.T @ (own @ start)
+    own = np.zeros((v, wide))
+    there = some[items.terms]
+    square = add(items.terms[there], items.pieces[there], own)
+    y = summed[:-1].reshape(v, wide) + own * (summed[-1] / max(square, 1e-9))
     small = start.T @ y
     values, vectors = np.linalg.eigh((small + small.T) / 2)
     lead = values > values.max() * 1e-7
@@ -200,34 +220,59 @@ def latent_basis(held: DataFrame, items: Items, seed: int = 11) -> tuple[np.ndar
 
 
 def candidates(held: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray, least: float = COSINE) -> DataFrame:
-    """(ka, kb, first, width, item, cosine): passages near an item in the latent space; those of WINDOW words meet every item, others
-    the items of their width.
+    """(ka, kb, first, piece, cosine): windows of whole texts near a piece of an item in the latent space.
 
-    The benchmark is a stated query set, met in blocks of passages. item counts from 0.
+    Each piece meets windows of its own width, which begin every half of it. Vectors are summed over blocks of words once,
+    half as long as the narrowest windows; those of wider windows are sums of them. The benchmark is a stated query
+    set, met in blocks of windows.
     """
     weighted = basis * idf[:, None].astype(np.float32)
-    there, y = _project(*items.flat(), idf, weighted)
-    wanted = np.zeros((len(items.ids), basis.shape[1]), np.float32)
+    own = idf[items.terms] > 0
+    there, y = _project(items.terms[own], items.pieces[own], weighted)
+    wanted = np.zeros((len(items.of), basis.shape[1]), np.float32)
     wanted[there] = y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)
-    widths = np.array([width(len(w)) for w in items.words], np.int32)
-    sent = held.sparkSession.sparkContext.broadcast((wanted, idf, weighted, widths))
+    sent = held.sparkSession.sparkContext.broadcast((wanted, np.append(idf > 0, False), weighted, items.widths))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, idf, weighted, widths = sent.value
-        for whole in it:
-            for lo in range(0, whole.num_rows, _BLOCK):
-                b = whole.slice(lo, _BLOCK)
-                there, y = _project(*_flat(b), idf, weighted)
-                cos = (y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)) @ wanted.T
-                own = b.column(b.schema.get_field_index("width")).to_numpy()[there]
-                at, item = np.nonzero((cos >= least) & ((own[:, None] == widths[None, :]) | (own[:, None] == WINDOW)))
-                take = pa.array(there[at])
-                yield pa.RecordBatch.from_arrays(
-                    [*(b.column(b.schema.get_field_index(c)).take(take) for c in ("ka", "kb", "first", "width")), pa.array(item.astype(np.int32)), pa.array(cos[at, item].astype(float))],
-                    ["ka", "kb", "first", "width", "item", "cosine"],
-                )
-
-    return held.mapInArrow(batches, "ka long, kb long, first int, width int, item int, cosine double")
+        wanted, some, weighted, widths = sent.value
+        kinds = sorted(set(widths.tolist()))
+        pieces = {w: np.flatnonzero(widths == w) for w in kinds}
+        block = kinds[0] // 2
+        most = kinds[-1] // block
+        for b in it:
+            terms, row, place, sizes = _flat(b, some)
+            blocks = -(-sizes // block) + most - 1  # empty ones behind each text, so that no window reaches into the next
+            begin = np.cumsum(blocks) - blocks
+            at = begin[row] + place // block
+            total = int(blocks.sum())
+            for lo in range(0, total if len(at) else 0, _BLOCK):
+                hi = min(lo + _BLOCK + most - 1, total)
+                a, z = np.searchsorted(at, [lo, hi])
+                if a == z:
+                    continue
+                there, y = _project(terms[a:z], at[a:z] - lo, weighted)
+                sums, have = np.zeros((hi - lo, weighted.shape[1]), np.float32), 1
+                sums[there] = y
+                of = np.searchsorted(begin, np.arange(lo, min(lo + _BLOCK, hi)), side="right") - 1
+                nth = np.arange(lo, lo + len(of)) - begin[of]
+                for w in kinds:
+                    while have * block < w:
+                        sums = sums[:-have] + sums[have:]
+                        have *= 2
+                    n = min(len(sums), len(of))
+                    size = np.sqrt(np.einsum("ij,ij->i", sums[:n], sums[:n]))
+                    starts = (nth[:n] % (have // 2) == 0) & ((nth[:n] == 0) | (nth[:n] * block < sizes[of[:n]] - w // 2)) & (size > 1e-6)
+                    k = np.flatnonzero(starts)
+                    cos = (sums[k] @ wanted[pieces[w]].T) / size[k, None]
+                    i, j = np.nonzero(cos >= least)
+                    if len(i):
+                        take = pa.array(of[k[i]])
+                        yield pa.RecordBatch.from_arrays(
+                            [b.column(0).take(take), b.column(1).take(take), pa.array((nth[k[i]] * block).astype(np.int32)), pa.array(pieces[w][j].astype(np.int32)), pa.array(cos[i, j].astype(float))],
+                            ["ka", "kb", "first", "piece", "cosine"],
+                        )
+
+    return held.mapInArrow(batches, "ka long, kb long, first int, piece int, cosine double")
 
 
 def common_subsequence(a: list[bytes], b: list[bytes]) -> int:
@@ -245,11 +290,12 @@ def common_subsequence(a: list[bytes], b: list[bytes]) -> int:
 
 
 def verify(docs: DataFrame, found: DataFrame, items: Items, idf: np.ndarray) -> DataFrame:
-    """(doc_id, item_id, first_word, lcs, cosine): candidates whose words bear them out, the best of each document and item.
+    """(doc_id, item, first_word, lcs, cosine): candidates whose words bear them out, the best of each document and item.
 
-    lcs is the longest common subsequence's share of the item, within the passage and a margin of the item's length.
-    A passage stands if lcs is at least SURE, or at least LCS with the answer - the item's last quarter, where a
-    question's answer stands - found to half or more, in each case with at least RARE of the item's uncommon words.
+    lcs is the longest common subsequence's share of the whole item, within the place where the found piece puts it and a
+    margin of up to WINDOW words. A passage stands if lcs is at least SURE, or at least LCS with the answer - the item's last
+    quarter, where a question's answer stands - found to half or more, in each case with at least RARE of the item's
+    uncommon words. item counts from 0.
     """
     rare = [{x for x in w if idf[items.vocabulary[x]] > 0} for w in items.words]
     sent = docs.sparkSession.sparkContext.broadcast((items, rare))
@@ -262,8 +308,10 @@ def verify(docs: DataFrame, found: DataFrame, items: Items, idf: np.ndarray) ->
                 w = item_words(t.as_py())
                 best: dict[int, tuple] = {}
                 for h in hits.as_py():
-                    k, own = h["item"], items.words[h["item"]]
-                    near = w[max(0, h["first"] - len(own)) : h["first"] + h["width"] + len(own)]
+                    k = int(items.of[h["piece"]])
+                    own, begin = items.words[k], h["first"] - int(items.begins[h["piece"]])
+                    margin = min(len(own), WINDOW)
+                    near = w[max(0, begin - margin) : begin + int(items.widths[h["piece"]]) + len(own) + margin]
                     here = set(near)
                     if len(rare[k] & here) < RARE * len(rare[k]):
                         continue
@@ -271,39 +319,57 @@ def verify(docs: DataFrame, found: DataFrame, items: Items, idf: np.ndarray) ->
                     answer = own[-max(1, len(own) // 4) :]
                     told = sum(x in here for x in answer) * 2 >= len(answer)
                     if share >= SURE or share >= LCS and told:
-                        best[k] = max(best.get(k, (0.0,)), (share, h["cosine"], -h["first"]))
+                        best[k] = max(best.get(k, (0.0,)), (share, h["cosine"], -max(begin, 0)))
                 for k, (share, cosine, first) in sorted(best.items()):
                     row.append(i)
-                    out.append((items.ids[k], -first, share, cosine))
+                    out.append((k, -first, share, cosine))
             cols = list(zip(*out, strict=True)) or [[], [], [], []]
-            kinds = (pa.int64(), pa.int32(), pa.float64(), pa.float64())
+            kinds = (pa.int32(), pa.int32(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(row, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "item_id", "first_word", "lcs", "cosine"]
+                [b.column(0).take(pa.array(row, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "item", "first_word", "lcs", "cosine"]
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    hits = found.groupBy("ka", "kb").agg(F.collect_list(F.struct("first", "width", "item", "cosine")).alias("hits"))  # within one document
+    once = found.groupBy("ka", "kb", "first", "piece").agg(F.max("cosine").alias("cosine"))  # repeated rows find the same windows
+    hits = once.groupBy("ka", "kb").agg(F.collect_list(F.struct("first", "piece", "cosine")).alias("hits"))  # within one document
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("ka"), F.xxhash64(F.lit(7), "text", "doc_id").alias("kb"))
     joined = keyed.join(hits.hint("shuffle_hash"), ["ka", "kb"]).select("doc_id", "text", "hits")
-    return joined.mapInArrow(batches, f"doc_id {kind}, item_id long, first_word int, lcs double, cosine double")
+    return joined.mapInArrow(batches, f"doc_id {kind}, item int, first_word int, lcs double, cosine double")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, first_word, lcs, cosine) for every document that holds a benchmark item or a paraphrase of it.
 
     Documents without one have no row. Null and empty texts and items hold nothing; repeated rows come back as often
-    as they came; an empty benchmark gives no rows. Other columns are ignored. The benchmark has to fit the driver:
-    it is the list of queries, not data that grows with the corpus.
+    as they came; an empty benchmark gives no rows; item_id may be of any type. Items may have any length: those of over WINDOW
+    words are found by their pieces and verified whole. Other columns are ignored. The benchmark is the list of queries, not
+    data that grows with the corpus: over MOST_BYTES of its text raise an error, and more than PIECES pieces take a further
+    pass over the documents.
     """
-    items = Items.of([(r[0], r[1]) for r in benchmark.select("item_id", "text").collect()])
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    if not items.ids:
-        return docs.sparkSession.createDataFrame([], f"doc_id {kind}, item_id long, first_word int, lcs double, cosine double")
-    held = hold(passages(docs, items), "passages")
-    idf, basis = latent_basis(held, items)
-    widths = tuple(sorted({WINDOW, *(width(len(w)) for w in items.words)}))
-    windows = held if widths == (WINDOW,) else passages(docs, items, widths)  # not held: windows of all widths are a multiple of the texts
-    return verify(docs, candidates(windows, items, idf, basis), items, idf)
+    spark = docs.sparkSession
+    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > MOST_BYTES:
+        raise ValueError(f"the benchmark has {size} bytes of text; it is sent to all tasks, so at most {MOST_BYTES} are taken")
+    rows = [(r[0], w) for r in sorted(benchmark.select("item_id", "text").collect(), key=lambda r: (str(r[0]), r[1] or "")) if (w := item_words(r[1]))]
+    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}"
+    out = spark.createDataFrame([], f"{kinds}, first_word int, lcs double, cosine double")
+    parts, n = [[]], 0
+    for r in rows:
+        more = -(-len(r[1]) // WINDOW)
+        if n and n + more > PIECES:
+            parts.append([])
+            n = 0
+        parts[-1].append(r)
+        n += more
+    for part in filter(None, parts):
+        items = Items.cut([w for _, w in part])
+        held = hold(tokens(docs, items), "tokens")
+        idf, basis = latent_basis(held, items)
+        found = verify(docs, candidates(held, items, idf, basis), items, idf)
+        names = spark.createDataFrame([(k, i) for k, (i, _) in enumerate(part)], f"item int, {kinds.split(', ', 1)[1]}")
+        own = found.join(F.broadcast(names), "item").select(*out.columns)  # at most PIECES items
+        out = own if len(parts) == 1 else out.unionByName(own)
+    return out
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
