@@ -192,3 +192,13 @@ def patch_origin(patches: DataFrame, key: str, patch: str = "patch", symbol: str
     out = patches.select(key).join(hits, key, "left")
     origin = F.when((F.col("n_added") > 0) & (F.col("n_context") > 0), "mixed").when(F.col("n_added") > 0, F.when(F.col("all_new"), "new_file").otherwise("introduced")).otherwise("pre_existing")
     return out.select(key, origin.alias("origin"), F.coalesce("kinds", F.lit("")).alias("kinds"))
+
+
+def witness_origins(witnesses: DataFrame, corpus: DataFrame, key: str = "instance_id", patch: str = "test_patch") -> DataFrame:
+    """witnesses plus origin and kinds: where each task's test patch refers to the witness's symbol.
+
+    witnesses: key, symbol. Each task's patch is looked through once for each of its symbols.
+    """
+    asked = witnesses.select(key, "symbol").distinct().join(corpus.select(key, F.col(patch).alias("patch")), key)
+    found = patch_origin(asked.withColumn("asked", F.struct(key, "symbol")), "asked")
+    return witnesses.join(found.select(F.col("asked")[key].alias(key), F.col("asked.symbol").alias("symbol"), "origin", "kinds"), [key, "symbol"])
