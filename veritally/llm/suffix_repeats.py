@@ -9,13 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritally.llm.common import hold
+from veritally.llm.common import hold, release
 
 LENGTH = 400
 GRAM = 64
+#: Stretches of so many bytes that two documents share are always noticed, by grams of so many: over 50 words of prose.
+PASSAGE, PASSAGE_GRAM = 255, 128
 HOT = 8192
-_BASE = 0x9E3779B97F4A7C15
+_BASE, _OTHER = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
+#: Any 256 numbers, for a second hash of bytes that shares nothing with the first.
+_BYTES = np.random.Generator(np.random.PCG64(3)).integers(0, 1 << 64, 256, np.uint64)
 _PLACES = 24
 _CHUNK = 4 << 20
 _powers: dict[int, np.ndarray] = {}
@@ -38,6 +42,16 @@ def prefix_hashes(raw: np.ndarray) -> np.ndarray:
     return out
 
 
+def window_hashes(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of every window of ``length`` bytes."""
+    out = []
+    for base, symbols in ((_BASE, raw.astype(np.uint64) + np.uint64(1)), (_OTHER, _BYTES[raw])):
+        s = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(symbols * powers(base, len(raw)), out=s[1:])
+        out.append(_mix((s[length:] - s[:-length]) * powers(pow(base, -1, 1 << 64), len(raw) - length + 1)).view(np.int64))
+    return out[0], out[1]
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(29))
@@ -197,12 +211,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("ka"), F.xxhash64(F.lit(7), "text", "doc_id").alias("kb"), raw.alias("raw"))
 
 
-def _anchors(keyed: DataFrame, length: int) -> DataFrame:
+def _anchors(keyed: DataFrame, length: int, gram: int = GRAM) -> DataFrame:
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             row, cols = [], []
             for i, t in enumerate(b.column(2)):
-                found = anchors_of(np.frombuffer(t.as_buffer(), np.uint8), length) if len(t.as_buffer()) >= length else None
+                found = anchors_of(np.frombuffer(t.as_buffer(), np.uint8), length, gram) if len(t.as_buffer()) >= length else None
                 if found:
                     row.append(np.full(len(found[0]), i))
                     cols.append(found)
@@ -238,7 +252,7 @@ def _segments(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             [b.column(0).take(take), b.column(1).take(take), *map(pa.array, cols), pa.array(seg, pa.binary())], ["ka", "kb", "kh", "n", "back", "lo", "seg"]
         )
 
-    lists = wanted.groupBy("ka", "kb").agg(F.collect_list(F.struct("kh", "n", "a", "lo", "hi")).alias("xs"))  # within one document
+    lists = wanted.groupBy("ka", "kb").agg(F.collect_set(F.struct("kh", "n", "a", "lo", "hi")).alias("xs"))  # within one document; repeated rows have the same
     joined = keyed.select("ka", "kb", "raw").join(lists.hint("shuffle_hash"), ["ka", "kb"])
     return joined.mapInArrow(batches, "ka long, kb long, kh long, n long, back long, lo long, seg binary")
 
@@ -283,27 +297,44 @@ def _sorted_groups(it: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
         yield search(held)
 
 
+def equal_runs(own: bytes, other: bytes, shift: int, first: int, end: int, length: int = LENGTH) -> list[tuple[int, int]]:
+    """(s, e) within first ... end of own: maximal stretches of ``length`` bytes or more that are equal to other's at s + shift."""
+    x, y = np.frombuffer(own, np.uint8)[first:end], np.frombuffer(other, np.uint8)[first + shift : end + shift]
+    edges = np.concatenate([[-1], np.flatnonzero(x != y), [len(x)]])
+    return [(first + int(a) + 1, first + int(z)) for a, z in zip(edges, edges[1:], strict=False) if z - a - 1 >= length]
+
+
 def _hot_windows(segments: DataFrame, length: int) -> DataFrame:
-    """(ka, kb, s, e) for anchors that very many places share: the windows themselves are counted, by 128-bit hashes."""
+    """(ka, kb, s, e) for anchors that very many places share.
+
+    Their windows are grouped by two independent 64-bit hashes. The smallest window of a group stands for it; each segment's
+    windows are compared with it byte by byte, in runs, and only equal bytes count, so hashes that collide never do.
+    """
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for i in range(b.num_rows):
-                raw = np.frombuffer(b.column(3)[i].as_buffer(), np.uint8)
-                s = prefix_hashes(raw)
-                n = len(raw) - length + 1
-                w = (s[length:] - s[:-length]) * powers(_INVERSE, n)
-                r = prefix_hashes(raw ^ np.uint8(0xA5))
-                v = _mix((r[length:] - r[:-length]) * powers(_INVERSE, n))
-                take = pa.array(np.full(n, i))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(take), b.column(1).take(take), pa.array(b.column(2)[i].as_py() + np.arange(n)), pa.array(w.view(np.int64)), pa.array(v.view(np.int64))],
-                    ["ka", "kb", "s", "w", "v"],
-                )
-
-    windows = hold(segments.select("ka", "kb", "lo", "seg").mapInArrow(batches, "ka long, kb long, s long, w long, v long"), "windows")
-    twice = windows.groupBy("w", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w", "v")
-    return windows.join(hold(twice, "repeated"), ["w", "v"]).select("ka", "kb", "s", (F.col("s") + length).alias("e"))
+                w, v = window_hashes(np.frombuffer(b.column(1)[i].as_buffer(), np.uint8), length)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.full(len(w), i))), pa.array(np.arange(len(w))), pa.array(w), pa.array(v)], ["id", "at", "w", "v"])
+
+    def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            cols: list[list] = [[], [], [], []]
+            for r in b.to_pylist():
+                for s, e in equal_runs(r["seg"], r["other"], r["shift"], r["first"], r["last"] + length, length):
+                    for ka, kb, lo in ((r["ka"], r["kb"], r["lo"] + s), (r["ra"], r["rb"], r["rlo"] + s + r["shift"])):
+                        for c, x in zip(cols, (ka, kb, lo, lo + e - s), strict=True):
+                            c.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["ka", "kb", "s", "e"])
+
+    hot = hold(segments.withColumn("id", F.monotonically_increasing_id()).select("id", "ka", "kb", "lo", "seg"), "hot")
+    windows = hold(hot.select("id", "seg").mapInArrow(batches, "id long, at long, w long, v long"), "windows")
+    heads = windows.groupBy("w", "v").agg(F.min(F.struct("id", "at")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = windows.join(hold(heads.select("w", "v", "head"), "heads"), ["w", "v"]).where("id <> head.id or at <> head.at")
+    runs = met.groupBy("id", F.col("head.id").alias("rid"), (F.col("head.at") - F.col("at")).alias("shift")).agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    runs = hold(runs, "runs")
+    sides = runs.join(hot, "id").join(hot.select(F.col("id").alias("rid"), F.col("ka").alias("ra"), F.col("kb").alias("rb"), F.col("lo").alias("rlo"), F.col("seg").alias("other")), "rid")
+    return sides.mapInArrow(compare, "ka long, kb long, s long, e long")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
@@ -313,20 +344,39 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     by a count over all documents; the bytes around the others are dealt out by gram. In each group the suffixes from
     the anchors and the reversed prefixes to them are merge-sorted; comparisons find the common extension by binary
     search over prefix polynomial hashes, and extensions of neighbours are checked byte by byte. Grams with over
-    ``hot`` places, which could fill a task, have each of their windows counted by Spark instead. Ranges may overlap.
+    ``hot`` places, which could fill a task, have their windows grouped by Spark instead, and compared byte by byte with one of
+    their group. Ranges may overlap.
     """
     keyed = _keyed(docs)
     anchors = hold(_anchors(keyed, length), "anchors")
     counted = anchors.groupBy("kh").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    wanted = anchors.join(hold(counted, "grams"), "kh")  # tables on both sides: the join can split a gram with very many places
+    grams = hold(counted, "grams")
+    wanted = anchors.join(grams, "kh")  # tables on both sides: the join can split a gram with very many places
     segments = hold(_segments(keyed, wanted, length), "segments")
+    release(anchors)
+    release(grams)
     cool = segments.where(F.col("n") <= hot).repartition("kh").sortWithinPartitions("kh")
     found = cool.mapInArrow(lambda it: _sorted_groups(it, length), "ka long, kb long, s long, e long")
     return found.unionByName(_hot_windows(segments.where(F.col("n") > hot), length))
 
 
+def shared_passages(docs: DataFrame, least: int = PASSAGE, gram: int = PASSAGE_GRAM) -> DataFrame:
+    """(ka, kb): documents that have a stretch of bytes in common with another document, however it is aligned.
+
+    Of every ``least`` bytes the smallest gram hash stands for them (winnowing), so two documents that share ``least`` bytes share
+    a hash; those that share one have at least ``gram`` bytes in common. Repeated rows are one document. Each document has few
+    hashes, and neither those of one hash nor the pairs of documents are ever gathered.
+    """
+    hashes = hold(_anchors(_keyed(docs), least, gram).select("ka", "kb", "kh"), "passages")
+    several = hashes.groupBy("kh").agg(F.min("ka").alias("a"), F.max("ka").alias("b")).where("a <> b").select("kh")
+    return hashes.join(hold(several, "shared"), "kh").select("ka", "kb").distinct()
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, spans (array of s, e: maximal removed runs) and kept (binary).
+    """One row per input row: doc_id, n_bytes, n_removed, spans (array of s, e: maximal removed runs), kept (binary), shares_passage.
+
+    shares_passage tells whether the document has a passage in common with another one (``shared_passages``), also where that is
+    too short to be removed, or loses anything.
 
     A null text counts as empty; texts shorter than ``length`` keep everything. A repeated row is another document, so
     it and its twin lose all that is ``length`` bytes or longer. What is kept need not be valid UTF-8. Other columns
@@ -336,7 +386,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             removed, spans, kept = [], [], []
-            for t, xs in zip(b.column(1), b.column(2), strict=True):
+            for t, xs in zip(b.column(2), b.column(3), strict=True):
                 raw, own = t.as_py(), sorted((x["s"], x["e"]) for x in xs.as_py() or ())
                 runs: list[list[int]] = []
                 for s, e in own:
@@ -349,10 +399,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
                 removed.append(len(raw) - len(kept[-1]))
                 spans.append([{"s": s, "e": e} for s, e in runs])
             kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
-            n = pa.array([len(t.as_buffer()) for t in b.column(1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), n, pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
-
-    lists = repeated_spans(docs, length, hot).groupBy("ka", "kb").agg(F.collect_list(F.struct("s", "e")).alias("xs"))
-    joined = _keyed(docs).join(lists.hint("shuffle_hash"), ["ka", "kb"], "left").select("doc_id", "raw", "xs")
+            n = pa.array([len(t.as_buffer()) for t in b.column(2)], pa.int64())
+            shares = pa.array([x.as_py() is True or n > 0 for x, n in zip(b.column(1), removed, strict=True)])
+            yield pa.RecordBatch.from_arrays([b.column(0), n, pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), shares], ["doc_id", "n_bytes", "n_removed", "spans", "kept", "shares_passage"])
+
+    lists = repeated_spans(docs, length, hot).groupBy("ka", "kb").agg(F.collect_set(F.struct("s", "e")).alias("xs"))
+    shared = shared_passages(docs).withColumn("shared", F.lit(True))
+    known = lists.join(shared, ["ka", "kb"], "full")
+    joined = _keyed(docs).join(known.hint("shuffle_hash"), ["ka", "kb"], "left").select("doc_id", "shared", "raw", "xs")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(batches, f"doc_id {kind}, n_bytes long, n_removed long, spans array<struct<s:long,e:long>>, kept binary")
+    return joined.mapInArrow(batches, f"doc_id {kind}, n_bytes long, n_removed long, spans array<struct<s:long,e:long>>, kept binary, shares_passage boolean")
