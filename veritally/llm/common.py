@@ -13,13 +13,15 @@ _OWN_FOLDERS: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     key = spark.sparkContext.applicationId
     if key not in _OWN_FOLDERS:
         _OWN_FOLDERS[key] = f"file://{tempfile.mkdtemp(prefix='veritally-')}"
@@ -42,6 +44,11 @@ def _remove_quietly(spark: SparkSession, path: str) -> None:
         pass
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Have a folder removed when the driver's process ends."""
+    atexit.register(_remove_quietly, spark, path)
+
+
 def hold(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage and survives lost executors.
 
@@ -52,7 +59,7 @@ def hold(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._held_at = path
-    atexit.register(_remove_quietly, spark, path)
+    remove_at_exit(spark, path)
     return out
 
 

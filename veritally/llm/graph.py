@@ -26,7 +26,7 @@ def components(edges: DataFrame, left: str = "a", right: str = "b", most_rounds:
     for _ in range(most_rounds):
         # large star: every larger neighbour of u is linked to the smallest of u's neighbourhood
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).union(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        low = both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m"))
+        low = hold(both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m")), "least")  # a table, so that the join can split a hub
         large = (
             both.where("y > x").join(low, "x").select(F.col("m").alias("v"), F.col("y").alias("u")).where("u <> v").distinct()
         )
@@ -45,6 +45,7 @@ def components(edges: DataFrame, left: str = "a", right: str = "b", most_rounds:
             F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"),
         ).first()
         release(e)
+        release(low)
         e = new
         # every node has one parent, and no parent has a parent: stars
         if now["n"] == now["k"] and before == (now["n"], now["s"]):

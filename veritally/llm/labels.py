@@ -24,7 +24,8 @@ def draw(
     learn: a condition on labels, for rows that may be learned from. The ids with the smallest hashes are drawn from
     labels alone; as they are bounded, they are broadcast, and no text is shuffled. A text of over ``most_bytes`` is
     left out of the sample (of the sample only: scores read whole texts), so the sample fits the driver at any size.
-    Rows with null id or label, and ids without a document, are left out; a repeated id counts once in the draw.
+    Rows with null id or label, and ids without a document, are left out; a repeated id counts once in the draw, and of
+    several texts under one id the smallest is taken.
     weight is how many ids of its class a drawn id stands for.
     """
     own = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
@@ -35,4 +36,5 @@ def draw(
     sizes = own.groupBy("label").agg((F.count(F.lit(1)) / F.least(F.count(F.lit(1)), F.lit(most_per_class))).alias("weight"))
     ids = tops[0].unionByName(tops[1]).join(F.broadcast(sizes), "label")  # two rows
     small = docs.where(F.octet_length("text") <= most_bytes).select("doc_id", "text")
-    return small.join(F.broadcast(ids), "doc_id").select("text", F.col("label").cast("int").alias("label"), "weight")
+    found = small.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "label", "weight")).alias("x"))  # one text of each id
+    return found.select("x.text", F.col("x.label").cast("int").alias("label"), "x.weight")

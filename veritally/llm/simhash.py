@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -30,9 +30,15 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     else:
         grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
         n = len(words) - shingle + 1
-    digest, seen = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for at in range(0, n, _BLOCK):
-        h = np.fromiter((digest(g, SEED) for g, _ in zip(grams, range(min(_BLOCK, n - at)), strict=False)), np.uint64)
+    digest = xxhash.xxh64_intdigest
+    parts = (np.fromiter((digest(g, SEED) for g, _ in zip(grams, range(min(_BLOCK, n - at)), strict=False)), np.uint64) for at in range(0, n, _BLOCK))
+    return majority(parts, n)
+
+
+def majority(parts: Iterable[np.ndarray], n: int) -> int:
+    """64 bits, each set where over half of the n hashes have it; the hashes come in blocks."""
+    seen = np.zeros(64, np.int64)
+    for h in parts:
         seen += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(seen * 2 > n).tobytes(), "big")
 
@@ -90,12 +96,11 @@ def near_duplicates(
     return own.join(classes, "fp")
 
 
-TABLES, BITS, BEFORE = 10, 28, 3
 BANDS, ROWS = 24, 6
-#: Bits of all tables' that a candidate may differ in: 97 are expected at a Jaccard similarity of 0.8, 120 where two sets have
-#: four shingles and five, 320 of unrelated texts. What is closer is verified by its shingles.
-APART = 160
-#: Keys of one block of a crowded variant.
+#: Of BANDS * ROWS MinHash values, cut to 8 bits: 116 are expected to agree at a Jaccard similarity of 0.8, with a deviation of
+#: 4.8; pairs of a crowded bucket that agree in fewer than this are not verified by their shingles.
+ALIKE = 90
+#: Keys of one block of a crowded bucket.
 _CROWD = 512
 _ODD = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
 
@@ -107,58 +112,71 @@ def shingles(text: str | None, shingle: int = 5) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64, len(grams)))
 
 
-def signature(base: np.ndarray) -> np.ndarray:
-    """TABLES fingerprints of 64 bits over the shingles' hashes, each from hashes of its own, as signed integers."""
-    out = np.empty(TABLES, np.uint64)
-    for t in range(TABLES):
-        h = (base ^ np.uint64(t * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-        h ^= h >> np.uint64(29)
-        seen = np.zeros(64, np.int64)
-        for at in range(0, len(h), _BLOCK):
-            seen += np.unpackbits(h[at : at + _BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out[t] = int.from_bytes(np.packbits(seen * 2 > len(h)).tobytes(), "big")
-    return out.view(np.int64)
-
-
-def bands(base: np.ndarray) -> np.ndarray:
-    """BANDS hashes of ROWS MinHash values each over the shingles' hashes, as signed integers."""
+def minima(base: np.ndarray) -> np.ndarray:
+    """BANDS * ROWS MinHash values over the shingles' hashes."""
     low = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
     for at in range(0, len(base), 1024):
         np.minimum(low, (base[at : at + 1024, None] * _ODD).min(axis=0), out=low)
-    rows = low.reshape(BANDS, ROWS)
-    return np.fromiter((xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)), np.uint64, BANDS).view(np.int64)
+    return low
 
 
-def meetings(variants: DataFrame, before: int = BEFORE) -> DataFrame:
-    """(a, b): each key of a variant, b, with the variant's smallest key and with the ``before`` keys ahead of it, once each.
+def bands(low: np.ndarray) -> np.ndarray:
+    """BANDS hashes of ROWS MinHash values each, as signed integers."""
+    return np.fromiter((xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(low.reshape(BANDS, ROWS))), np.uint64, BANDS).view(np.int64)
+
+
+def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """(doc_id, hash, key, size, fp, low, bands) of every row: hash stands for its text, key for its set of shingles, size for how
+    many they are; fp is the SimHash over them, low their MinHash values cut to bytes."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            if not b.num_rows:
+                continue
+            key, size, fp, low, many = [], [], [], [], []
+            for t in b.column(1):
+                own = shingles(t.as_py(), shingle)
+                least = minima(own)
+                key.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+                size.append(len(own))
+                fp.append(majority((own[at : at + _BLOCK] for at in range(0, len(own), _BLOCK)), len(own)))
+                low.append((least >> np.uint64(32)).astype(np.uint8).tobytes())
+                many.append(bands(least))
+            ends = pa.array(np.arange(0, len(many) * BANDS + 1, BANDS, dtype=np.int32))
+            signed = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (key, fp))
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(many)))
+            keys, prints = signed
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(2), keys, pa.array(size, pa.int32()), prints, pa.array(low, pa.binary()), lists],
+                ["doc_id", "hash", "key", "size", "fp", "low", "bands"],
+            )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    shape = f"doc_id {kind}, hash long, key long, size int, fp long, low binary, bands array<long>"
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(batches, shape)
 
-    One link to the smallest key alone would fail wherever that key is there by chance: two similar keys behind it
-    would never be compared. Up to two keys more than ``before`` in a variant are all compared with each other; beyond
-    that the number of pairs is linear in the keys, and the rest is left to ``crossings``.
-    """
-    by = Window.partitionBy("variant").orderBy("key")
-    ahead = F.array(F.first("key").over(by), *(F.lag("key", i).over(by) for i in range(1, before + 1)))
-    met = variants.select("key", ahead.alias("ahead")).where("ahead[0] <> key")
-    return met.select(F.explode(F.array_distinct("ahead")).alias("a"), F.col("key").alias("b")).where("a is not null").distinct()
+
+def stars(crowd: DataFrame) -> DataFrame:
+    """(a, b): each key of a bucket, b, with the bucket's smallest. crowd: (bucket, key, least)."""
+    return crowd.where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b"))
 
 
 def crossings(crowd: DataFrame, keys: DataFrame) -> DataFrame:
-    """(a, b), a < b: all pairs of a variant's keys that are in different components and near enough to be verified.
+    """(a, b), a < b: all pairs of a bucket's keys that are in different components and near enough to be verified.
 
-    crowd: (variant, key, root); keys: (key, sig, size). A variant whose keys are in one component has no pair left to
-    tell. The others are dealt out in blocks of _CROWD keys or so, and each two blocks are compared on the signatures.
+    crowd: (bucket, key, root); keys: (key, low, size). A bucket whose keys are in one component has no pair left to
+    tell. The others are dealt out in blocks of _CROWD keys or so, and each two blocks are compared on the MinHash values.
     """
-    per = crowd.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("least"), F.max("root").alias("most"))
+    per = crowd.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("least"), F.max("root").alias("most"))
     blocks = F.ceil(F.col("n") / _CROWD).cast("int").alias("blocks")
-    left = crowd.join(per.where("least < most").select("variant", blocks), "variant").join(keys.select("key", "sig", "size"), "key")
+    left = crowd.join(per.where("least < most").select("bucket", blocks), "bucket").join(keys.select("key", "low", "size"), "key")
     own = left.withColumn("block", F.expr("cast(pmod(xxhash64(key), blocks) as int)"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("variant", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "root", "size", "sig")
+    dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "root", "size", "low")
 
     def near(group: pa.Table) -> pa.Table:
         block, key, root, size = (group.column(c).to_numpy() for c in ("block", "key", "root", "size"))
-        sig = np.stack(group.column("sig").to_numpy(zero_copy_only=False)).view(np.uint64)
+        low = np.frombuffer(b"".join(group.column("low").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         one, two = np.flatnonzero(block == i), np.flatnonzero(block == j)
         found = []
@@ -166,27 +184,28 @@ def crossings(crowd: DataFrame, keys: DataFrame) -> DataFrame:
             x = one[at : at + _CROWD]
             for to in range(0, len(two), _CROWD):
                 y = two[to : to + _CROWD]
-                apart = sum(np.bitwise_count(sig[x, t][:, None] ^ sig[y, t][None, :]).astype(np.int32) for t in range(TABLES))
+                alike = np.zeros((len(x), len(y)), np.uint8)
+                for t in range(BANDS * ROWS):
+                    alike += low[x, t][:, None] == low[y, t][None, :]
                 small, large = np.minimum(size[x][:, None], size[y][None, :]), np.maximum(size[x][:, None], size[y][None, :])
-                fit = (apart <= APART) & (5 * small >= 4 * large) & (root[x][:, None] != root[y][None, :])
+                fit = (alike >= ALIKE) & (5 * small >= 4 * large) & (root[x][:, None] != root[y][None, :])
                 p, q = np.nonzero(fit & (key[x][:, None] < key[y][None, :]) if i == j else fit)
                 found.append(np.stack([np.minimum(key[x[p]], key[y[q]]), np.maximum(key[x[p]], key[y[q]])]))
         pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
         return pa.table({"a": pairs[0], "b": pairs[1]})
 
-    return dealt.groupBy("variant", "i", "j").applyInArrow(near, "a long, b long").distinct()
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(near, "a long, b long").distinct()
 
 
 def verified(docs: DataFrame, keys: DataFrame, pairs: DataFrame, shingle: int = 5) -> DataFrame:
     """(a, b): the pairs of keys whose shingle sets have a Jaccard similarity of 0.8 or more.
 
-    keys: (key, who, sig, size) with who the doc_id and hash of one text. Sizes and signatures tell which pairs can reach it;
-    only their texts are cut into shingles again.
+    keys: (key, who, size) with who the doc_id and hash of one text. Sizes tell which pairs can reach it; only their texts are
+    cut into shingles again.
     """
-    for side, sig, size in (("a", "x", "m"), ("b", "y", "n")):
-        pairs = pairs.join(keys.select(F.col("key").alias(side), F.col("sig").alias(sig), F.col("size").alias(size)), side)
-    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d)
-    near = hold(pairs.where((apart <= APART) & (5 * F.least("m", "n") >= 4 * F.greatest("m", "n"))).select("a", "b", "m", "n"), "pairs")
+    for side, size in (("a", "m"), ("b", "n")):
+        pairs = pairs.join(keys.select(F.col("key").alias(side), F.col("size").alias(size)), side)
+    near = hold(pairs.where(5 * F.least("m", "n") >= 4 * F.greatest("m", "n")).select("a", "b", "m", "n"), "pairs")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -203,57 +222,59 @@ def verified(docs: DataFrame, keys: DataFrame, pairs: DataFrame, shingle: int =
     return hold(both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.col("m") + F.col("n"))).select("a", "b"), "verified")
 
 
+def _classes(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, hash, low_id, who): each row with its component's smallest doc_id, and with the doc_id and hash of the text that
+    stands for the component."""
+    own = hold(sketches(docs, shingle), "sketches")
+    firsts = (F.first(c).alias(c) for c in ("size", "fp", "low", "bands"))
+    who = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("who")
+    keys = hold(own.groupBy("key").agg(F.min("doc_id").alias("low_id"), who, *firsts), "keys")
+
+    # fingerprints within two bits meet in a variant; a variant has at most as many of them as a ball has members
+    by_fp = hold(keys.groupBy("fp").agg(F.min("key").alias("key")), "prints")
+    met = links(by_fp.select("fp"))
+    for side in ("a", "b"):
+        met = met.join(by_fp.select(F.col("fp").alias(side), F.col("key").alias(f"{side}_key")), side)
+    met = met.select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b"))
+
+    rows = keys.select("key", F.explode(F.concat("bands", F.array("fp"))).alias("bucket"))
+    several = hold(rows.groupBy("bucket").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    crowd = hold(rows.join(several, "bucket"), "crowd")  # tables on both sides, so that the join can split a bucket with very many keys
+    linked = verified(docs, keys, stars(crowd).union(met).distinct(), shingle)
+    roots = components(linked)
+    rest = crowd.where("n > 2").join(roots.withColumnRenamed("node", "key"), "key", "left")
+    more = hold(crossings(rest.select("bucket", "key", F.coalesce("root", "key").alias("root")), keys), "crossings")
+    if not more.isEmpty():
+        roots = components(linked.union(verified(docs, keys, more, shingle)))
+    joined = keys.select("key", "low_id", "who").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    stands = joined.groupBy("root").agg(F.min("low_id").alias("low_id"), F.min("who").alias("who"))
+    named = joined.select("key", "root").join(stands, "root").select("key", "low_id", "who")
+    return own.select("doc_id", "hash", "key").join(hold(named, "classes"), "key").drop("key")
+
+
 def similar(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """One row per input row: doc_id, component_id, by links at a Jaccard similarity of 0.8 or more of word shingles.
 
-    A fingerprint of 64 bits and radius 2 only sees copies that are all but equal: at a similarity of 0.8, 15 % of the
-    bits differ. So each document has TABLES fingerprints; BITS of each are a key of its own, whose ball of one bit is
-    emitted; documents that share a variant in any table meet at 2 differing bits of that key. Documents also meet in any
-    of BANDS bands of ROWS MinHash values. A pair at 0.8 meets in the tables with probability 0.87, in the bands with
-    0.9993, in either with 0.9999, by the model of random bits and hashes. All pairs that meet are compared unless links
-    already join them: ``meetings`` tells the first ones, ``crossings`` the rest. ``verified`` decides on the shingles.
+    Documents meet in two ways. Each SimHash fingerprint emits all variants within one bit, and those that share a
+    variant meet: these are the texts at two bits or fewer. At a similarity of 0.8 some 15 % of the bits differ, so
+    fingerprints alone would miss nearly all such pairs; documents therefore also meet in any of BANDS bands of ROWS
+    MinHash values, which a pair at 0.8 does with probability 0.9993. Keys of both are 64 bits, so chance meetings stay
+    rare at any size. Of a bucket, each key is compared with the smallest; where that leaves a bucket in several components,
+    ``crossings`` compares all pairs across them. ``verified`` decides on the shingles. Null and empty texts are alike.
     """
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            if not b.num_rows:
-                continue
-            sets = [shingles(t.as_py(), shingle) for t in b.column(1)]
-            lists = []
-            for of, width in ((signature, TABLES), (bands, BANDS)):
-                values = np.concatenate([of(x) for x in sets])
-                lists.append(pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, width, dtype=np.int32)), pa.array(values)))
-            key = np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets), np.uint64, len(sets)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(key), pa.array([len(x) for x in sets], pa.int32()), *lists], ["doc_id", "hash", "key", "size", "sig", "bands"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    shape = f"doc_id {kind}, hash long, key long, size int, sig array<long>, bands array<long>"
-    own = hold(docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(batches, shape), "signatures")
-    firsts = (F.first(c).alias(c) for c in ("size", "sig", "bands"))
-    by_key = hold(own.groupBy("key").agg(F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "hash")).alias("who"), *firsts), "keys")
-    masks = F.array(F.lit(0).cast("long"), *(F.lit(1 << i).cast("long") for i in range(BITS)))
-    tables = by_key.select("key", F.posexplode("sig").alias("t", "fp"))
-    cut = F.col("fp").bitwiseAND(F.lit((1 << BITS) - 1).cast("long"))
-    variants = tables.select("key", "t", cut.alias("cut"), F.explode(masks).alias("mask"))
-    variants = variants.select("key", (F.col("cut").bitwiseXOR(F.col("mask")) * TABLES + F.col("t")).alias("variant"))
-    variants = variants.union(by_key.select("key", F.explode("bands").alias("variant")))
-    crowd = hold(variants.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("variant"))).where("n > 1"), "crowd")
-    links = verified(docs, by_key, meetings(crowd), shingle)
-    roots = components(links)
-    rest = crowd.where(F.col("n") > BEFORE + 2).join(roots.withColumnRenamed("node", "key"), "key", "left")
-    more = hold(crossings(rest.select("variant", "key", F.coalesce("root", "key").alias("root")), by_key), "crossings")
-    if not more.isEmpty():
-        roots = components(links.union(verified(docs, by_key, more, shingle)))
-    joined = by_key.select("key", "low").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    lows = joined.groupBy("root").agg(F.min("low").alias("component_id"))
-    return own.select("doc_id", "key").join(hold(joined.join(lows, "root").select("key", "component_id"), "classes"), "key").drop("key")
+    return _classes(docs, shingle).select("doc_id", F.col("low_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """The rows of docs whose doc_id names its component in ``similar``: one document of each group, columns unchanged.
+    """One document of each component of ``similar``, columns unchanged: the one with the smallest doc_id, a null one last.
 
-    Repeated rows of one doc_id count as one document. Rows with a null doc_id cannot be told apart and all stay.
+    Of several texts under that doc_id, the one with the smallest hash stays; the others go, as they are near copies of it. Texts
+    of one doc_id that are no near copies all stay. Rows alike in doc_id and text count as one document.
     """
-    lost = similar(docs, shingle).where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    classes = hold(_classes(docs, shingle), "members")
+    lost = classes.where(~(F.col("doc_id").eqNullSafe(F.col("who.doc_id")) & F.col("hash").eqNullSafe(F.col("who.hash")))).select(F.col("doc_id").alias("_w"), F.col("hash").alias("_h")).distinct()
+    own = docs.withColumn("__text_hash", F.xxhash64("text"))
+    kept = own.join(lost, own["doc_id"].eqNullSafe(lost["_w"]) & (own["__text_hash"] == lost["_h"]), "left_anti")
+    if not classes.groupBy("doc_id", "hash").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "__text_hash"])
+    return kept.select(*docs.columns)
