@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import base64
+import functools
+import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -18,34 +21,46 @@ CAPACITY = 2048
 END = 0
 
 
-def encoder(path: str, pattern: str | None = None) -> Callable[[str], list[int]]:
+#: Runs of white space from this length on are left to the tokenizers library: tiktoken's split backtracks over them and overflows.
+_RUN = re.compile(r"\s{512}")
+
+
+def encoder(path: str, pattern: str | None = None, exact: str | None = None) -> Callable[[str], list[int]]:
     """Text to ids, by the tokenizers library for a .json file, by tiktoken for a file of ranks.
 
-    A tiktoken file needs the split pattern of its vocabulary. Strings of special tokens are ordinary text.
+    A tiktoken file needs the split pattern of its vocabulary. exact: the .json file of the same vocabulary, for the texts that
+    tiktoken does not take: those with long runs of white space, and those that hold the string of an added token, which the
+    library gives its own id.
     """
     if path.endswith(".json"):
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
         return lambda text: t.encode(text, add_special_tokens=False).ids
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    if exact is None:
+        return fast
+    with open(exact, encoding="utf-8") as f:
+        added = [x["content"] for x in json.load(f)["added_tokens"]]
+    slow = functools.cache(lambda: encoder(exact))  # loaded for the first such text
+    return lambda text: slow()(text) if _RUN.search(text) or any(x in text for x in added) else fast(text)
 
 
 def token_pieces(
-    docs: DataFrame, path: str, pattern: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, path: str, pattern: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", exact: str | None = None
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids and the end id, cut where longer than capacity.
 
-    The first piece takes the remainder, all later ones are full. Null and empty texts are the end id alone.
+    The first piece takes the remainder, all later ones are full. Null and empty texts are the end id alone;
+    texts of any length are taken whole, runs of white space of any length included.
     """
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, pattern)
+        encode = encoder(path, pattern, exact)
         for b in it:
             row, piece, start, length, crc = [], [], [], [], []
             for i, t in enumerate(b.column(1)):
@@ -211,6 +226,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.mapInArrow(places, f"{schema}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, path: str, pattern: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, pattern: str | None = None, capacity: int = CAPACITY, exact: str | None = None) -> DataFrame:
     """All documents packed: one row per piece with doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(hold(token_pieces(docs, path, pattern, capacity), "pieces"), capacity)
+    return pack(hold(token_pieces(docs, path, pattern, capacity, exact=exact), "pieces"), capacity)
