@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-
+import re
+import string
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from veritally.llm.license_texts import TEXTS
+
 K = 3
 SLACK = 3
 LEAST_COVERED = 0.5
@@ -16,40 +19,20 @@ LEAST_COVERED = 0.5
 #: Phrases that give their label wherever their words stand consecutively.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Sentences of well-known licenses and notices, lower case, with the label that each gives.
-TEMPLATES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
-    ("mit", "released under the mit license"),
-    ("mit", "licensed under the mit license"),
-    ("apache-2.0", "licensed under the apache license version 2 0"),
-    ("apache-2.0", "you may obtain a copy of the license at http www apache org licenses license 2 0"),
-    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", "licensed under the terms of the gnu lesser general public license"),
-    ("agpl", "licensed under the terms of the gnu affero general public license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
-    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-)
+#: Bodies, notices and sentences of licenses as lower-case words, with the label that each gives.
+TEMPLATES = tuple((label, " ".join(re.findall("[0-9a-z]+", text.lower()))) for label, text in TEXTS)
 
 _SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def words(text: str = "text") -> Column:
-    """Lower-case words: runs of digits, letters and anything beyond ASCII. Null and empty texts have none.
+def _lower(text: Column) -> Column:
+    """The text with A-Z, and no other letters, in lower case; a null text is empty."""
+    return F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
 
-    Case is folded for all letters; folding beyond ASCII changes no boundary and can make none of the words looked for
-    but through the Kelvin sign.
-    """
-    return F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), _SPLIT, -1), lambda w: w != "")
+
+def words(text: str = "text") -> Column:
+    """Words with A-Z in lower case: runs of digits, letters and anything beyond ASCII. Null and empty texts have none."""
+    return F.filter(F.split(_lower(F.col(text)), _SPLIT, -1), lambda w: w != "")
 
 
 def _apart(docs: DataFrame) -> DataFrame:
@@ -99,7 +82,7 @@ def license_spans(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
 
 def base_places(w: Column, text: Column) -> Column:
     """Array of (first word, label) of all base phrases, looked for only where the text has their longest word."""
-    low = F.lower(text)
+    low = _lower(text)
     out = []
     for phrase, label in BASE_PHRASES.items():
         parts = phrase.split()
