@@ -16,61 +16,78 @@ def _keys(docs: DataFrame) -> DataFrame:
     return docs.withColumn("ka", F.xxhash64("doc_id", "text")).withColumn("kb", F.xxhash64(F.lit(7), "text", "doc_id"))
 
 
+def _trimmed(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\r"))
+
+
 def _masked(line: Column) -> Column:
-    """The line without white space around it, each token with a digit as <*>.
+    """A trimmed line with each token that has a digit as <*>.
 
-    A match begins at a token's beginning only and never backtracks, so a token of any length takes linear time.
+    A match begins at a token's beginning only and never backtracks, so a token of any length takes linear time. Lines without
+    a digit are left alone.
     """
-    return F.regexp_replace(F.btrim(line, F.lit(" \t\r")), "(?<![^ \t])[^ \t0-9]*+[0-9][^ \t]*+", "<*>")
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, "(?<![^ \t])[^ \t0-9]*+[0-9][^ \t]*+", "<*>")).otherwise(line)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(ka, kb, doc_id, line, m) of every line that holds more than blanks, tabs and returns; line counts from 0."""
     cut = docs.select("ka", "kb", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
-    return cut.select("ka", "kb", "doc_id", "line", _masked(F.col("raw")).alias("m")).where("m <> ''")
+    cut = cut.select("ka", "kb", "doc_id", "line", _trimmed(F.col("raw")).alias("t")).where("t <> ''")  # masking leaves no line empty
+    return cut.select("ka", "kb", "doc_id", "line", _masked(F.col("t")).alias("m"))
 
 
 def _tokens(m: str = "m") -> Column:
-    return F.split(m, "[ \t]+", -1)
+    """The tokens of a line; a split at single blanks needs no pattern, so other lines are brought to that first."""
+    single = F.when(F.col(m).rlike("\t|  "), F.regexp_replace(m, "[ \t]+", " ")).otherwise(F.col(m))
+    return F.split(single, " ", -1)
 
 
 def line_templates(docs: DataFrame, depth: int = DEPTH, agree: float = AGREE) -> DataFrame:
     """(ka, kb, doc_id, line, t1, t2): the template of every line, as 128 bits.
 
     A line falls through the tree by its number of tokens and its first ``depth`` tokens to a leaf; tokens with a
-    digit are variable from the start. In a leaf with several different lines, the commonest token of each position
-    (ties: the smallest) makes the leaf's pattern, over distinct lines; a line that agrees with it in at least
-    ``agree`` of its positions has the leaf's template, with the other positions variable. Any other line is its own
-    template. Votes are aggregations, so the order of lines does not matter.
+    digit are variable from the start. A leaf holds several groups of lines. The different lines of a leaf vote: each
+    token counts how many of them have it at its position. Of a line of n tokens, up to (1 - ``agree``) * n may be variable:
+    with the votes of its tokens in order, the smallest beyond so many is the size of the line's group, and the tokens with
+    fewer votes than that are the group's variable fields. So lines of one group come to one template, whatever other groups
+    share their leaf; a line without such fields is its own template. Votes are aggregations, so the order of lines does
+    not matter.
     """
     n = F.size("w")
     lines = _lines(docs).withColumn("w", _tokens())
     lines = lines.select(
         "ka", "kb", "doc_id", "line",
         F.xxhash64("m").alias("h1"), F.xxhash64(F.lit(1), "m").alias("h2"),
-        F.xxhash64(n, F.slice("w", 1, depth)).alias("leaf"),
+        F.xxhash64(n, F.slice("w", 1, depth)).alias("leaf"), F.floor(F.lit(round(1 - agree, 6)) * n).cast("int").alias("free"),
     )
     lines = hold(lines, "lines")
-    several = lines.groupBy("leaf").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("leaf")
+    several = lines.where("free > 0").groupBy("leaf").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("leaf")
     several = hold(several, "leaves")  # a table of its own, so that a join with it can split a leaf with very many lines
     # one document for each different line of those leaves lends the words
     member = lines.join(several, "leaf").groupBy("leaf", "h1", "h2").agg(F.min(F.struct("ka", "kb", "line")).alias("at"))
     wanted = member.groupBy("at.ka", "at.kb").agg(F.collect_list(F.struct(F.col("at.line").alias("line"), "leaf", "h1", "h2")).alias("wanted"))
     texts = docs.select("ka", "kb", "text").join(wanted.hint("shuffle_hash"), ["ka", "kb"])
     one = texts.select(F.split("text", "\n", -1).alias("raw"), F.explode(F.array_distinct("wanted")).alias("x"))
-    words = one.select("x.leaf", "x.h1", "x.h2", _masked(F.get("raw", F.col("x.line"))).alias("m")).distinct()
-    words = words.select("leaf", "h1", "h2", F.posexplode(_tokens()).alias("at", "word"))
-    words = hold(words, "words")
-    votes = words.groupBy("leaf", "at", "word").agg(F.count(F.lit(1)).alias("n"))
-    pattern = votes.groupBy("leaf", "at").agg(F.min(F.struct((-F.col("n")).alias("n"), "word"))["word"].alias("common"))
-    match = words.join(hold(pattern, "patterns"), ["leaf", "at"]).groupBy("leaf", "h1", "h2").agg(
-        F.avg(F.when(F.col("word") == F.col("common"), 1.0).otherwise(0.0)).alias("share")
-    )
-    match = match.where(F.col("share") >= agree).select("leaf", "h1", "h2", F.lit(True).alias("general"))
-    named = lines.join(match, ["leaf", "h1", "h2"], "left")
-    t1 = F.when(F.col("general"), F.col("leaf")).otherwise(F.col("h1"))
-    t2 = F.when(F.col("general"), F.lit(0).cast("long")).otherwise(F.col("h2"))
-    return named.select("ka", "kb", "doc_id", "line", t1.alias("t1"), t2.alias("t2"))
+    words = one.select("x.leaf", "x.h1", "x.h2", _masked(_trimmed(F.get("raw", F.col("x.line")))).alias("m")).distinct()
+    words = words.select("leaf", "h1", "h2", _tokens().alias("w"))
+    words = hold(words.select("leaf", "h1", "h2", F.size("w").alias("size"), F.posexplode("w").alias("at", "word")), "words")
+    votes = words.groupBy("leaf", "at", "word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # tokens that no other line has at their place are only counted, as they are variable in any group
+    voted = words.join(hold(votes, "votes"), ["leaf", "at", "word"])
+    own = voted.groupBy("leaf", "h1", "h2", "size").agg(F.collect_list(F.struct("at", "word", "n")).alias("w"))  # a line's own tokens
+    own = own.withColumn("alone", F.col("size") - F.size("w"))
+    free = F.floor(F.lit(round(1 - agree, 6)) * F.col("size"))
+    # one-row explodes, so that the group's size and the arrays are made once rather than for each token
+    group = F.explode(F.array(F.get(F.sort_array("w.n"), (free - F.col("alone")).cast("int")))).alias("group")
+    own = own.where(F.col("alone") <= free).select("leaf", "h1", "h2", "size", "w", group)
+    kept = F.explode(F.array(F.filter("w", lambda x: x["n"] >= F.col("group")))).alias("kept")
+    own = own.select("leaf", "h1", "h2", "size", kept).where(F.size("kept") < F.col("size"))
+    # a template is its number of tokens and the fixed ones with their places
+    fixed = F.sort_array(F.transform(F.filter("kept", lambda x: x["word"] != "<*>"), lambda x: F.struct(x["at"].alias("at"), x["word"].alias("word"))))
+    fixed = own.select("leaf", "h1", "h2", "size", F.explode(F.array(fixed)).alias("fixed"))
+    general = fixed.select("leaf", "h1", "h2", F.xxhash64("size", "fixed").alias("g1"), F.xxhash64(F.lit(1), "size", "fixed").alias("g2"))
+    named = lines.join(general, ["leaf", "h1", "h2"], "left")
+    return named.select("ka", "kb", "doc_id", "line", F.coalesce("g1", "h1").alias("t1"), F.coalesce("g2", "h2").alias("t2"))
 
 
 def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, agree: float = AGREE) -> DataFrame:
@@ -110,19 +127,18 @@ leaves as (select *, len(w) as n, w[1:3] as head from full_lines),
 distinct_lines as (select distinct n, head, m, w from leaves),
 words as (select n, head, m, unnest(w) as word, generate_subscripts(w, 1) as pos from distinct_lines),
 votes as (select n, head, pos, word, count(*) as c from words group by all),
-pattern as (select n, head, pos, word as common from votes qualify row_number() over (partition by n, head, pos order by c desc, word) = 1),
-several as (select n, head from distinct_lines group by all having count(*) > 1),
+voted as (select *, (list_sort(list(c) over (partition by n, head, m)))[floor(n / 5)::int + 1] as own from words join votes using (n, head, pos, word)),
 general as (
-  select n, head, m from words join pattern using (n, head, pos) join several using (n, head)
-  group by all having avg(case when word = common then 1.0::double else 0.0::double end) >= 0.8
+  select n, head, m, string_agg(case when c < own then '<*>' else word end, ' ' order by pos) as template
+  from voted group by n, head, m having bool_or(c < own)
 ),
 templates as (
-  select doc_id, line, leaves.n as n, leaves.head as head, case when general.m is null then leaves.m end as own
+  select doc_id, line, coalesce(chr(10) || general.template, leaves.m) as own
   from leaves left join general on leaves.n = general.n and leaves.head = general.head and leaves.m = general.m
 ),
 ranked as (
-  select *, row_number() over (partition by n, head, own order by doc_id, line) as r,
-    min(doc_id) over (partition by n, head, own) as a, max(doc_id) over (partition by n, head, own) as b
+  select *, row_number() over (partition by own order by doc_id, line) as r,
+    min(doc_id) over (partition by own) as a, max(doc_id) over (partition by own) as b
   from templates
 ),
 gone as (select doc_id, line from ranked where a <> b and r > 1),
