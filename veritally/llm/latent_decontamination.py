@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,10 @@ PIECES = 2048
 MOST_BYTES = 64 << 20
 _LETTERS = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 _BLOCK = 4096
+#: Words of the texts that a task works on at a time; a longer text is taken alone.
+_WORDS = 1 << 19
+#: Weighted terms that are projected at a time.
+_TERMS = 1 << 16
 
 
 def item_words(text: str | None) -> list[bytes]:
@@ -83,21 +88,41 @@ def tokens(docs: DataFrame, items: Items) -> DataFrame:
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
+
+        def out(b: pa.RecordBatch, row: list[int], terms: list[np.ndarray]) -> pa.RecordBatch:
+            ends, take = np.cumsum([0, *map(len, terms)]).astype(np.int32), pa.array(row, pa.int64())
+            values = pa.array(np.concatenate(terms))
+            return pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.ListArray.from_arrays(pa.array(ends), values)], ["ka", "kb", "terms"])
+
         for b in it:
-            row, terms = [], []
+            row, terms, n = [], [], 0
             for i, t in enumerate(b.column(2)):
                 own = item_words(t.as_py())
-                if not known.keys().isdisjoint(own):
+                ids = np.fromiter(map(known.get, own, repeat(-1)), np.int32, len(own))
+                if len(ids) and ids.max() >= 0:
                     row.append(i)
-                    terms.append(np.fromiter((known.get(x, -1) for x in own), np.int32, len(own)))
-            ends = np.cumsum([0, *map(len, terms)]).astype(np.int32)
-            values, take = pa.array(np.concatenate(terms) if terms else np.zeros(0, np.int32)), pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.ListArray.from_arrays(pa.array(ends), values)], ["ka", "kb", "terms"])
+                    terms.append(ids)
+                    n += len(ids)
+                if n >= _WORDS:
+                    yield out(b, row, terms)
+                    row, terms, n = [], [], 0
+            if row:
+                yield out(b, row, terms)
 
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("ka"), F.xxhash64(F.lit(7), "text", "doc_id").alias("kb"), "text").where("text <> ''")
     return keyed.mapInArrow(batches, "ka long, kb long, terms array<int>")
 
 
+def _some(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of texts with _WORDS words or so."""
+    ends = b.column(b.schema.get_field_index("terms")).offsets.to_numpy()
+    lo = 0
+    while lo < b.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + _WORDS, side="right")) - 1)
+        yield b.slice(lo, hi - lo)
+        lo = hi
+
+
 def _flat(b: pa.RecordBatch, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(terms, document and place of each, words of each document) of a batch, for the terms that ``keep`` marks.
 
@@ -145,9 +170,9 @@ def _summed(held: DataFrame, size: int, of) -> np.ndarray:
 
         total, some = np.zeros(size), False
         for b in it:
-            if b.num_rows:
+            for x in _some(b):
                 some = True
-                of(b, total)
+                of(x, total)
         if some:
             cuts = range(0, size, 8192)
             part = TaskContext.get().partitionId()
@@ -203,7 +228,8 @@ def latent_basis(held: DataFrame, items: Items, seed: int = 11) -> tuple[np.ndar
 
     def power(b: pa.RecordBatch, total: np.ndarray) -> None:
         terms, rows = _passages(b, some)
-        ends = np.searchsorted(rows, np.arange(0, (rows[-1] if len(rows) else 0) + _BLOCK + 1, _BLOCK))
+        cuts = np.searchsorted(rows, rows[np.arange(0, len(terms), _TERMS)]) if len(terms) else []  # a passage is never cut
+        ends = [*dict.fromkeys(cuts), len(terms)]
         for lo, hi in zip(ends, ends[1:], strict=False):
             total[-1] += add(terms[lo:hi], rows[lo:hi], total[:-1].reshape(v, wide))
 
@@ -239,7 +265,7 @@ def candidates(held: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray
         pieces = {w: np.flatnonzero(widths == w) for w in kinds}
         block = kinds[0] // 2
         most = kinds[-1] // block
-        for b in it:
+        for b in (x for whole in it for x in _some(whole)):
             terms, row, place, sizes = _flat(b, some)
             blocks = -(-sizes // block) + most - 1  # empty ones behind each text, so that no window reaches into the next
             begin = np.cumsum(blocks) - blocks
