@@ -70,6 +70,16 @@ def test_line_templates_generalise_and_keep_the_first(spark):
     assert got[4] == ("within\nwithin", 2, 0)
 
 
+def test_a_leaf_holds_several_groups(spark):
+    one = [f"job on node was started by {w} at the front desk today" for w in ("ann", "bob", "cid", "dan", "eve", "fay")]
+    two = [f"job on node ended with state {w} after its last retry there" for w in ("red", "tan", "sky", "ash")]
+    other = ["job on node alpha beta gamma delta epsilon zeta eta theta iota"]
+    texts = [x for pair in zip(one, two + other, strict=False) for x in pair] + one[5:]
+    got = {r["doc_id"]: r for r in line_templates.drop_recurring_lines(documents(spark, texts)).collect()}
+    kept = [t for i, t in enumerate(texts) if not got[i]["n_dropped"]]
+    assert kept == [one[0], two[0], *other]
+
+
 def test_long_tokens_and_many_lines_take_linear_time(spark):
     many = "\n".join(f"line {'x' * (i % 7 + 1)} {'y' * (i % 11 + 1)} {'z' * (i % 13 + 1)}" for i in range(60_000))
     texts = ["a" * 400_000, "b" * 200_000 + "7 tail", many, many + "\nown words at the end"]
@@ -162,6 +172,47 @@ def test_repeats_are_those_of_brute_force(spark, length, hot, seed):
     assert [got[i] for i in range(len(texts))] == brute_repeats(texts, length)
 
 
+def test_repeated_rows_take_linear_time(spark):
+    rng = random.Random(17)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(3000))
+    docs = spark.range(2000).select(F.lit(5).cast("long").alias("doc_id"), F.lit(text).alias("text")).union(documents(spark, [text[:399], "x" + text[700:1200]]).select("doc_id", "text"))
+    for hot in (8192, 500):
+        got = {(r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"])) for r in suffix_repeats.remove_repeats(docs, hot=hot).collect()}
+        assert got == {(5, 3000, 3000, 1), (0, 399, 0, 0), (1, 501, 500, 1)}
+
+
+def test_shared_passages_are_those_of_over_fifty_words(spark):
+    rng = random.Random(23)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    say = lambda n: " ".join(word() for _ in range(n))
+    texts, want = [], []
+    for k in range(120):
+        own = say(rng.randint(60, 300))
+        if k % 3 == 0:
+            passage = say(55)
+        if k % 3 < 2:
+            own = f"{say(rng.randint(0, 60))} {passage} {own}"
+        texts.append(own)
+        want.append(k % 3 < 2)
+    texts += [None, "", "x" * 200]
+    got = {r["doc_id"]: r["shares_passage"] for r in suffix_repeats.remove_repeats(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [*want, False, False, False]
+
+
+def test_equal_runs_are_those_of_bytes():
+    own, other = b"abcdefghij", b"xxabcdXfghij"
+    assert suffix_repeats.equal_runs(own, other, 2, 0, 10, 4) == [(0, 4), (5, 10)]
+    assert suffix_repeats.equal_runs(own, other, 2, 0, 10, 5) == [(5, 10)]
+    assert suffix_repeats.equal_runs(own, other, 2, 1, 10, 4) == [(5, 10)]
+
+
+def test_window_hashes_are_independent():
+    a = np.frombuffer(b"\x01\x04" * 1000, np.uint8)
+    b = np.frombuffer(b"\x04\x01" * 1000, np.uint8)
+    (w, v), (x, y) = suffix_repeats.window_hashes(a, 400), suffix_repeats.window_hashes(b, 400)
+    assert w[0] != x[0] and v[0] != y[0] and w[1] == x[0] and v[1] == y[0]
+
+
 def test_suffix_sort_orders_and_measures_like_plain_sorting():
     rng = random.Random(5)
     texts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 40))) for _ in range(60)]
@@ -206,28 +257,106 @@ def test_rules_are_those_of_brute_force(spark):
     assert np.mean(good) > 0.8
 
 
-def test_probabilities_sum_to_one(spark):
-    docs = documents(spark, [t for t in driver_texts()[:40]])
-    counts = perplexity.gram_counts(docs)
-    by_hand = Counter()
-    for t in driver_texts()[:40]:
-        by_hand.update(perplexity.gram_codes(perplexity.code_points(t)).tolist())
-    assert {r["code"]: r["n"] for r in counts.collect()} == by_hand
-    model = perplexity.model_arrays(perplexity.kneser_ney(counts), counts)["en"]
-    for context in (0, 5 * 1024 + 33, 20 * 1024 + 9 * 32 + 3, 31 * 1024 + 31 * 32 + 31):
-        p = np.exp(model.log_p((context * 32 + np.arange(32)).astype(np.uint32)))
-        assert p.sum() == pytest.approx(1, abs=1e-3)
+def plain_model(texts, least_share, least_count):
+    """Modified Kneser-Ney over byte n-grams by dictionaries of byte strings; returns p(n-gram's last byte | the bytes before it)."""
+    order = perplexity.ORDER
+    raw = {order: Counter()}
+    for t in texts:
+        b = b"\0" * (order - 1) + t.encode().lower()
+        raw[order].update(b[i : i + order] for i in range(len(b) - order + 1))
+    n = {order: dict(raw[order])}
+    for k in range(order - 1, 0, -1):
+        raw[k], n[k] = Counter(), Counter()
+        for g, c in raw[k + 1].items():
+            raw[k][g[1:]] += c
+            n[k][g[1:]] += 1
+    floor = max(sum(raw[order].values()) * least_share, least_count)
+    d = {k: perplexity.discounts([sum(c == i for c in n[k].values()) for i in (1, 2, 3, 4)]) for k in n}
+    total, mass = Counter(), Counter()
+    for k in n:
+        for g, c in n[k].items():
+            total[k, g[:-1]] += c
+            if raw[k][g] >= floor:
+                mass[k, g[:-1]] += c - d[k][min(c, 3) - 1]
+
+    def p(g):
+        if not g:
+            return 1 / 256
+        k, c = len(g), n[len(g)].get(g, 0)
+        own = (c - d[k][min(c, 3) - 1]) / total[k, g[:-1]] if c and raw[k][g] >= floor else 0
+        back = 1 - mass[k, g[:-1]] / total[k, g[:-1]] if mass[k, g[:-1]] else 1
+        return own + back * p(g[1:])
+
+    return p
+
+
+@pytest.mark.parametrize("least_share, least_count", [(0, 1), (1e-4, 1), (0, 3), (2e-3, 3)])
+def test_model_is_that_of_a_plain_one_and_sums_to_one(spark, least_share, least_count):
+    texts = [t for t in driver_texts()[:12] if t]
+    docs = documents(spark, texts)
+    counts = perplexity.gram_counts(docs, F.lit(0))
+    model = perplexity.kneser_ney(counts, least_share, least_count)[0]
+    p = plain_model(texts, least_share, least_count)
+    for t in [texts[0][:400], texts[3][-300:], "nothing like it: zqxj \u00e9\u4e2d", ""]:
+        b = b"\0" * (perplexity.ORDER - 1) + t.encode().lower()
+        want = [math.log(p(b[i : i + perplexity.ORDER])) for i in range(len(b) - perplexity.ORDER + 1)]
+        got = model.log_perplexity(t)
+        letters = sum(c >= 128 or chr(c).isalnum() for c in b[perplexity.ORDER - 1 :])
+        assert got is None if not want else got == pytest.approx(-np.sum(want) / letters, rel=1e-5)
+    for context in (b"\0\0\0\0", b"n th", b"zzzz"):
+        code = int.from_bytes(context, "big") * 256
+        assert np.exp(model.log_p(np.uint64(code) + np.arange(256, dtype=np.uint64)).astype(float)).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_bands_are_by_language_of_any_name_and_alphabet(spark):
+    rng = random.Random(12)
+    alphabets = {"en": "abcdefghijklmnop", "xx": "\u03b1\u03b2\u03b3\u03b4\u03b5\u03b6\u03b7\u03b8", "zh": "".join(map(chr, range(0x4E00, 0x4E40)))}
+    words = {k: ["".join(rng.choices(a, k=rng.randint(2, 6))) for _ in range(80)] for k, a in alphabets.items()}
+    rows = []
+    for lang, own in words.items():
+        rows += [(lang, " ".join(rng.choices(own, k=rng.randint(80, 200)))) for _ in range(150)]
+    bad = {
+        len(rows): ("en", " ".join("".join(rng.choices(alphabets["en"], k=5)) for _ in range(120))),  # noise in the right alphabet
+        len(rows) + 1: ("xx", " ".join(rng.choices(words["zh"], k=120))),  # the wrong language
+        len(rows) + 2: ("zh", " ".join("".join(rng.choices(alphabets["zh"], k=4)) for _ in range(120))),
+        len(rows) + 3: ("xx", " ".join(rng.choices(words["en"], k=120))),
+    }
+    rows += bad.values()
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in perplexity.quality_rules(docs).collect()}
+    assert not any(got[i]["kept"] for i in bad), [(got[i]["log_ppl"], sorted(r["log_ppl"] for r in got.values() if r["model"] == got[i]["model"])[::30]) for i in bad]
+    assert np.mean([r["kept"] for i, r in got.items() if i not in bad]) > 0.98
+    again = {r["doc_id"]: r["kept"] for r in perplexity.quality_rules(docs.repartition(7)).collect()}
+    assert again == {i: r["kept"] for i, r in got.items()}
 
 
 # ---- op5
 
 
 def test_ids_are_those_of_the_tokenizers_library():
-    fast, slow = packing.encoder(RANKS, public_tokenizers.PATTERN), packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    exact = public_tokenizers.path("byte_bpe_50k.json")
+    fast, slow = packing.encoder(RANKS, public_tokenizers.PATTERN, exact), packing.encoder(exact)
     for t in [*driver_texts(), "", " ", "a  b\n\n c", "<|endoftext|> x", "日本語 🙂 é", "x" * 500, "1234567 ''s 's"]:
         assert fast(t) == slow(t)
 
 
+def test_ids_of_long_runs_and_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(3)
+    exact = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(exact)  # as it comes
+    texts = [" " * 1_000_000, "\n" * 1_000_000, " \t\n" * 300_000 + "end", "a" * 1_000_000, "".join(rng.choices("abc", k=100_000)), "#" * 1_000_000, "7" * 100_000]
+    texts += ["a <|endoftext|> b", "\u3000" * 5000, ("x" + " " * 400) * 50, " " * 511 + "y", " " * 512 + "y"]
+    got = packing.token_pieces(documents(spark, texts), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, exact=exact)
+    got = {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in got.collect()}
+    for i, t in enumerate(texts):
+        ids = np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        first = (len(ids) - 1) % 2048 + 1
+        ends = [0, *range(first, len(ids) + 1, 2048)]
+        assert [got[i, k] for k in range(len(ends) - 1)] == [(a, b - a, zlib.crc32(ids[a:b].tobytes())) for a, b in zip(ends, ends[1:], strict=False)]
+
+
 def test_plan_places_every_piece_without_gaps():
     rng = random.Random(1)
     for case in range(150):
@@ -346,21 +475,78 @@ def test_exact_benchmark_passages_of_the_driver_are_found(spark, duck):
 def test_items_of_any_length_are_found_also_next_to_each_other(spark):
     rng = random.Random(31)
     vocabulary = [f"w{i}" for i in range(3000)]
-    items = [(k, rng.choices(vocabulary, k=n)) for k, n in enumerate([6, 8, 12, 15, 15, 15, 20, 40, 90, 175, 250, 400])]
+    items = [(f"item {k}", rng.choices(vocabulary, k=n)) for k, n in enumerate([6, 8, 12, 15, 15, 15, 20, 40, 90, 175, 250, 400, 1000])]
     prose = lambda n: rng.choices(vocabulary, k=n)  # noqa: E731 - the benchmark's own words
     texts, leaks = [], set()
-    for k, w in items:
+    for k, (name, w) in enumerate(items):
         texts.append(prose(rng.randint(0, 300)) + w + prose(300))
-        leaks.add((k, k))
+        leaks.add((k, name))
     texts.append(prose(70) + items[3][1] + items[4][1] + items[5][1] + prose(70))
-    leaks |= {(len(items), k) for k in (3, 4, 5)}
+    leaks |= {(len(items), f"item {k}") for k in (3, 4, 5)}
     texts += [prose(500) for _ in range(60)]
     docs = documents(spark, [" ".join(w) for w in texts])
-    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id string, text string")
     got = {(r["doc_id"], r["item_id"]) for r in latent_decontamination.contaminated(docs, bench).collect()}
     assert got == leaks
 
 
+@pytest.mark.parametrize("others", [3000, 45])
+def test_recall_of_verbatim_and_paraphrased_items(spark, others):
+    """Items of 20 to 1000 words, verbatim and with one word in eight replaced; also in a small corpus."""
+    rng = random.Random(37)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    items = [(k, rng.choices(vocabulary, k=n)) for k, n in enumerate([20, 40, 60, 80, 100, 120, 140, 160, 180, 250, 500, 1000])]
+    prose = lambda n: rng.choices(vocabulary, k=n)
+    texts, leaks = [], set()
+    for k, w in items:
+        for told in (w, [x if rng.random() > 1 / 8 else rng.choice(vocabulary) for x in w]):
+            leaks.add((len(texts), k))
+            texts.append(prose(rng.randint(0, 200)) + told + prose(rng.randint(0, 200)))
+    texts += [prose(rng.randint(5, 80)) for _ in range(others)]
+    docs = documents(spark, [" ".join(w) for w in texts])
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in latent_decontamination.contaminated(docs, bench).collect()}
+    assert got <= leaks and len(got) >= 0.95 * len(leaks)
+
+
+def test_recall_against_every_item_met_with_every_document(spark):
+    """Recall over every hundredth document of the driver, against the longest common subsequence of all of them with all items."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 100 = 0 or text like '%the%'").limit(400)
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    got = {(r["doc_id"], r["item_id"]) for r in latent_decontamination.contaminated(docs, bench).collect()}
+    items = [(r["item_id"], latent_decontamination.item_words(r["text"])) for r in bench.collect()]
+    want = set()
+    for d in docs.collect():
+        w = latent_decontamination.item_words(d["text"])
+        for k, own in items:
+            for at in range(0, max(1, len(w)), len(own)):
+                near = w[at : at + 3 * len(own)]
+                if latent_decontamination.common_subsequence(own, near) >= 0.8 * len(own):
+                    want.add((d["doc_id"], k))
+    assert len(want & got) >= 0.9 * len(want) and len(got - want) <= 2
+
+
+def test_repeated_rows_find_items_in_linear_time(spark):
+    rng = random.Random(5)
+    item = " ".join(f"w{rng.randint(0, 500)}" for _ in range(30))
+    docs = spark.range(1500).select(F.lit(3).cast("long").alias("doc_id"), F.lit(f"before it {item} after it").alias("text"))
+    got = latent_decontamination.contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert [(r["doc_id"], r["item_id"]) for r in got.collect()] == [(3, 1)] * 1500
+
+
+def test_a_large_benchmark_is_met_in_parts_and_a_huge_one_refused(spark, monkeypatch):
+    rng = random.Random(6)
+    items = [(k, " ".join(f"w{rng.randint(0, 900)}" for _ in range(60))) for k in range(9)]
+    docs = documents(spark, [t for _, t in items])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(latent_decontamination, "PIECES", 4)
+    got = {(r["doc_id"], r["item_id"]) for r in latent_decontamination.contaminated(docs, bench).collect()}
+    assert got == {(k, k) for k in range(9)}
+    monkeypatch.setattr(latent_decontamination, "MOST_BYTES", 100)
+    with pytest.raises(ValueError, match="bytes of text"):
+        latent_decontamination.contaminated(docs, bench)
+
+
 def test_common_subsequence():
     def plain(a, b):
         row = [0] * (len(b) + 1)
@@ -428,14 +614,10 @@ def test_chains_of_fingerprints_link(spark):
         assert union(n, got) == union(n, pairs)
 
 
-def test_meetings_name_all_pairs_of_a_few_keys_and_no_more_than_a_few_of_each_key(spark):
-    few = [(k, 1) for k in (30, 10, 50, 20, 40)]
-    many = [(k, 2) for k in range(100, 400)] + [(7, 3)]
-    got = [(r["a"], r["b"]) for r in simhash.meetings(spark.createDataFrame(few + many, "key long, variant long")).collect()]
-    assert len(got) == len(set(got)) and all(a < b for a, b in got)
-    assert {p for p in got if p[1] < 100} == set(combinations((10, 20, 30, 40, 50), 2))
-    hot = {p for p in got if p[1] >= 100}
-    assert hot == {(a, b) for b in range(101, 400) for a in {100, *range(max(100, b - 3), b)}}
+def test_stars_link_each_key_of_a_bucket_to_its_smallest(spark):
+    rows = [(k, 1, 10) for k in (30, 10, 50)] + [(k, 2, 100) for k in range(100, 400)]
+    got = [(r["a"], r["b"]) for r in simhash.stars(spark.createDataFrame(rows, "key long, bucket long, least long")).collect()]
+    assert sorted(got) == sorted([(10, 30), (10, 50)] + [(100, k) for k in range(101, 400)])
 
 
 def test_similar_links_all_pairs_from_a_jaccard_of_four_fifths_and_none_below(spark):
@@ -455,19 +637,42 @@ def test_similar_links_all_pairs_from_a_jaccard_of_four_fifths_and_none_below(sp
     assert [got[i] for i in range(len(texts))] == want
 
 
-def test_crossings_name_all_similar_pairs_of_a_crowded_variant(spark):
+def test_crossings_name_all_similar_pairs_of_a_crowded_bucket(spark):
     rng = np.random.Generator(np.random.PCG64(5))
-    sigs = rng.integers(-(1 << 63), 1 << 63, (1500, simhash.TABLES), np.int64)
+    lows = rng.integers(0, 256, (1500, simhash.BANDS * simhash.ROWS), np.uint8)
     pairs = {(10, 1400), (11, 700), (300, 301)}
     for a, b in pairs:
-        sigs[b] = sigs[a] ^ 7
-    sigs[1200] = sigs[1201] = sigs[3]
-    keys = spark.createDataFrame([(k, [int(x) for x in s], 150 if k == 1200 else 100) for k, s in enumerate(sigs)], "key long, sig array<long>, size int")
+        lows[b] = lows[a]
+        lows[b, : simhash.BANDS * simhash.ROWS - simhash.ALIKE] += 1
+    lows[1200] = lows[1201] = lows[3]
+    keys = spark.createDataFrame([(k, x.tobytes(), 150 if k == 1200 else 100) for k, x in enumerate(lows)], "key long, low binary, size int")
     crowd = [(1, k, 3 if k == 1201 else k) for k in range(1500)] + [(2, k, 0) for k in range(1500)]
-    got = simhash.crossings(spark.createDataFrame(crowd, "variant long, key long, root long"), keys).collect()
+    got = simhash.crossings(spark.createDataFrame(crowd, "bucket long, key long, root long"), keys).collect()
     assert sorted((r["a"], r["b"]) for r in got) == sorted(pairs)
 
 
+def test_a_bucket_of_unrelated_centres_loses_no_pair(spark):
+    """Texts that share a long head, under 0.8, meet in many buckets; the pairs at 0.8 and more among them are all linked."""
+    rng = random.Random(8)
+    words = lambda n: [f"w{rng.getrandbits(40)}" for _ in range(n)]
+    head, texts = words(260), []
+    for _ in range(150):
+        own = head + words(140)
+        texts += [" ".join(own), " ".join(own[:370] + words(30))]
+    sets = [set(simhash.shingles(t).tolist()) for t in texts]
+    want = union(len(texts), [(i, j) for i, j in combinations(range(len(texts)), 2) if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want and len(set(want)) == 150
+
+
+def test_the_driver_s_near_copies_are_those_of_brute_force(spark):
+    texts = driver_texts()
+    sets = [set(simhash.shingles(t).tolist()) for t in texts]
+    want = union(len(texts), [(i, j) for i, j in combinations(range(len(texts)), 2) if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_components(spark):
     rng = random.Random(6)
     pairs = [(i, i + 1) for i in range(0, 40)] + [(rng.randint(50, 150), rng.randint(50, 150)) for _ in range(60)] + [(200, x) for x in range(201, 260)] + [(7, 7)]
@@ -495,6 +700,34 @@ def test_shards_hold_every_row_in_gapless_random_order(spark):
         assert len(own) < 5 or [d for _, d in own] != sorted(d for _, d in own)
 
 
+def test_shards_are_those_of_plain_rendezvous_hashing(spark):
+    """Spark's xxhash64 of a long and an int is XXH64 of the int's bytes, seeded by XXH64 of the long's bytes, seeded by 42."""
+    import struct
+
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    ids = [*range(200), -5, 1 << 60]
+    df = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    got = {r[0]: (r[1], r[2]) for r in df.select("doc_id", sharding.shard_of(F.col("doc_id"), 8), sharding.shard_of(F.col("doc_id"), 9)).collect()}
+    for i in ids:
+        own = xxhash.xxh64_intdigest(struct.pack("<q", i), 42)
+        weights = [(signed(xxhash.xxh64_intdigest(struct.pack("<i", s), own)), s) for s in range(9)]
+        assert got[i] == (max(weights[:8])[1], max(weights)[1])
+        assert got[i][1] in (got[i][0], 8)
+
+
+def test_repeated_rows_are_spread_over_buckets(spark, tmp_path):
+    row = "".join(random.Random(2).choices("abcdef ", k=900))
+    docs = spark.range(4000, numPartitions=16).select(F.when(F.col("id") < 3900, F.lit(7)).otherwise(F.col("id")).cast("long").alias("doc_id"), F.lit(row).alias("text"))
+    docs = docs.union(documents(spark, [None, ""], [None, (1 << 53) + 1]).select("doc_id", "text"))
+    written = sharding.slots(sharding.write_shards(docs, f"{tmp_path}/s", bucket_bytes=1 << 18)).collect()
+    assert len(written) == 4002
+    hot = Counter((r["shard"], r["bucket"]) for r in written if r["doc_id"] == 7)
+    assert len(hot) > 4 and max(hot.values()) < 1300
+    for s in {r["shard"] for r in written}:
+        own = sorted(r["slot"] for r in written if r["shard"] == s)
+        assert own == list(range(len(own)))
+
+
 def test_shuffle_is_repeatable_and_depends_on_the_seed(spark):
     docs = documents(spark, [str(i) for i in range(200)])
 
@@ -532,6 +765,22 @@ def test_scores_of_the_driver(spark, name, modulus, held):
         assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7)
 
 
+def test_draw_takes_one_text_of_a_repeated_id(spark):
+    docs = documents(spark, ["b text", "a text", "a text"] * 300, [1] * 900)
+    known = spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int")
+    assert [(r["text"], r["label"]) for r in labels.draw(docs, known, "toxic").collect()] == [("a text", 1)]
+
+
+def test_the_queries_own_models_stand_odd_and_empty_tables(spark, tmp_path):
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, rows in (("odd", [(1, "a b", None, None, None), (1, "a b", None, None, None), (2, "", None, None, None), (3, None, None, None, None), (None, "x", None, None, None)]), ("none", [])):
+        spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, 1, 1), (None, None, None)][: 4 * bool(rows)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        for query in (queries.op2_toxicity, queries.op9_compression_quality):
+            got = query(spark, f"{tmp_path}/{name}").collect()
+            assert len(got) == len(rows) and all(0 <= r["score"] <= 1 and r["held_out"] in (True, False) for r in got)
+
+
 def test_draw_leaves_held_out_rows_and_is_bounded(spark):
     docs = documents(spark, [f"t{i}" for i in range(300)])
     own = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(None, 1), (5, None)], "doc_id long, toxic int")
@@ -543,6 +792,17 @@ def test_draw_leaves_held_out_rows_and_is_bounded(spark):
 # ---- op10
 
 
+def test_only_ascii_letters_fold_and_whole_bodies_count(spark):
+    body = license_scan.TEMPLATES[0][1].upper()
+    texts = ["ALL Rights reserved", "All r\u0130ghts reserved", "this wor\u212a is licensed under the GNU General Public License version 3", body, " ".join(body.split()[:60]), "\u212a \u0130 x"]
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(documents(spark, texts)).collect()}
+    assert [got[i]["base_labels"] for i in range(6)] == ["reserved", "", "gpl", "", "", ""]
+    assert got[3]["labels"] == "mit" and got[3]["score"] == 1.0 and got[5]["n_words"] == 3
+    spans = {r["template"]: r["covered"] for r in license_scan.license_spans(documents(spark, [texts[2]])).collect()}
+    grams = license_scan.TEMPLATES.index(("gpl", "this work is licensed under the gnu general public license version 3"))
+    assert spans[grams] == pytest.approx(8 / 10)
+
+
 def test_license_spans_survive_edits(spark):
     texts = [
         "x Released, under the MIT License. y",
@@ -606,3 +866,10 @@ def test_keep_one(spark):
     t = " ".join(f"word{i}" for i in range(400))
     docs = documents(spark, [t, t, t + " tail", "other text of its own here", None, None], [5, 3, 9, 1, 7, 8]).union(documents(spark, [t], [3]))
     assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == [1, 3, 7]
+
+
+def test_keep_one_keeps_unlike_texts_of_one_id(spark):
+    t = " ".join(f"word{i}" for i in range(400))
+    docs = documents(spark, [t, "a text that is not like it", t + " tail", t, "null id", "null id"], [1, 1, 1, None, None, None])
+    got = sorted((r["doc_id"] or 0, r["text"][:6]) for r in simhash.keep_one(docs).collect())
+    assert got == [(0, "null i"), (1, "a text"), (1, "word0 ")]

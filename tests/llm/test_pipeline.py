@@ -43,3 +43,72 @@ def test_stages_on_odd_tables(spark, tmp_path, rows):
         assert all(r[c] == c for r in docs.collect() for c in extra), name
     packed = pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
     assert {r["doc_id"] for r in packed} == ({1, 2, None, 5} if rows == "odd" else set())
+
+
+def test_run_is_that_of_brute_force(spark):
+    """run() over the driver's smallest documents against every stage done plainly: scores one by one, SQL lines, all pairs, all items."""
+    from itertools import combinations
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from veritally.llm import labels, latent_decontamination, line_templates, simhash, toxicity
+
+    duck = oracle.connect()
+    docs = dict(duck.sql("select doc_id, text from documents").fetchall())
+    known = spark.read.parquet(f"{oracle.SF}/labels.parquet")
+    model = toxicity.fit(labels.draw(spark.read.parquet(f"{oracle.SF}/documents.parquet"), known, "toxic", ~labels.held_out(3, 1), most_per_class=1200))
+
+    def plain_score(text):
+        keep = 1 - (1 - np.exp(-model.leak))
+        for a, b in toxicity.sentences(text):
+            z = model.bias + sum(model.weights.get(w, 0.0) for w in toxicity.words(text[a:b]))
+            keep *= 1 - 1 / (1 + np.exp(-z))
+        return 1 - keep
+
+    docs = {i: t for i, t in docs.items() if plain_score(t or "") < toxicity.THRESHOLD}
+
+    duck.execute("create table own (doc_id bigint, text varchar)")
+    duck.executemany("insert into own values (?, ?)", list(docs.items()))
+    lines = duck.sql(line_templates.ORACLE_SQL.replace("from documents", "from own")).fetchall()
+    docs = {i: t for i, _, n, t in lines if not (n and not t.strip(" "))}
+
+    ids = sorted(docs)
+    sets = {i: set(simhash.shingles(docs[i]).tolist()) for i in ids}
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in combinations(ids, 2):
+        if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    docs = {i: docs[i] for i in ids if find(i) == i}
+
+    items = [latent_decontamination.item_words(t) for (t,) in duck.sql("select text from benchmark").fetchall()]
+
+    def leaks(text):
+        w = latent_decontamination.item_words(text)
+        return any(
+            latent_decontamination.common_subsequence(own, w[at : at + 3 * len(own)]) >= 0.8 * len(own) for own in items if own for at in range(0, max(1, len(w)), len(own))
+        )
+
+    docs = {i: t for i, t in docs.items() if not leaks(t)}
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in docs.items()}
+    got, places = {}, {}
+    for r in pipeline.run(spark, oracle.SF).collect():
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert got == want
+    for own in places.values():
+        end = 0
+        for offset, length in sorted(own):
+            assert offset == end
+            end += length
+        assert end <= 2048

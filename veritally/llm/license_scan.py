@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import string
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,8 +25,12 @@ _SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def _lower(text: Column) -> Column:
-    """The text with A-Z, and no other letters, in lower case; a null text is empty."""
-    return F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    """The text with A-Z in lower case; a null text is empty.
+
+    Letters beyond ASCII are folded as well, which makes no difference to words of ASCII letters: none of them becomes one, but for the
+    Kelvin sign, which is set aside first.
+    """
+    return F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u0138")))
 
 
 def words(text: str = "text") -> Column:

@@ -67,8 +67,10 @@ def line_templates(docs: DataFrame, depth: int = DEPTH, agree: float = AGREE) ->
     member = lines.join(several, "leaf").groupBy("leaf", "h1", "h2").agg(F.min(F.struct("ka", "kb", "line")).alias("at"))
     wanted = member.groupBy("at.ka", "at.kb").agg(F.collect_list(F.struct(F.col("at.line").alias("line"), "leaf", "h1", "h2")).alias("wanted"))
     texts = docs.select("ka", "kb", "text").join(wanted.hint("shuffle_hash"), ["ka", "kb"])
-    one = texts.select(F.split("text", "\n", -1).alias("raw"), F.explode(F.array_distinct("wanted")).alias("x"))
-    words = one.select("x.leaf", "x.h1", "x.h2", _masked(_trimmed(F.get("raw", F.col("x.line")))).alias("m")).distinct()
+    split = texts.select("wanted", F.explode(F.array(F.split("text", "\n", -1))).alias("raw"))  # a one-row explode, so that a text is split once
+    line = F.transform(F.array_distinct("wanted"), lambda x: F.struct(x["leaf"].alias("leaf"), x["h1"].alias("h1"), x["h2"].alias("h2"), F.get("raw", x["line"]).alias("t")))
+    one = split.select(F.explode(line).alias("x"))
+    words = one.select("x.leaf", "x.h1", "x.h2", _masked(_trimmed(F.col("x.t"))).alias("m")).distinct()
     words = words.select("leaf", "h1", "h2", _tokens().alias("w"))
     words = hold(words.select("leaf", "h1", "h2", F.size("w").alias("size"), F.posexplode("w").alias("at", "word")), "words")
     votes = words.groupBy("leaf", "at", "word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -62,7 +62,7 @@ def op9_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the bytes that strings of 400 bytes cover which also start elsewhere."""
     out = suffix_repeats.remove_repeats(_read(spark, sf_dir, "documents"), length=400)
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "shares_passage")
 
 
 def op4_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +76,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")  # the same vocabulary as byte_bpe_50k.json, as ranks
-    packed = packing.pack_documents(_read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    packed = packing.pack_documents(_read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, exact=public_tokenizers.path("byte_bpe_50k.json"))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
