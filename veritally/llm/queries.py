@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veritally.llm import (
     compression_quality,
+    fill_in_middle,
     labels,
     latent_decontamination,
     license_scan,
@@ -15,6 +16,8 @@ from veritally.llm import (
     perplexity,
     sharding,
     simhash,
+    source_divergence,
+    spotsigs,
     suffix_repeats,
     toxicity,
 )
@@ -95,6 +98,25 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(_read(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cuts of every document, with digests of its output and of the text rebuilt from that."""
+    out = fill_in_middle.transform(_read(spark, sf_dir, "documents"))
+    own = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(own, 256).alias("restored_sha256"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of sources of a language with its divergence, and each group's most telling terms."""
+    return source_divergence.audit(_read(spark, sf_dir, "documents"))
+
+
+def op13_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how like they are to it and to the next document's."""
+    out = spotsigs.edited_likeness(_read(spark, sf_dir, "documents"))
+    prints = [F.array_join(c, " ").alias(n) for c, n in (("signatures", "fingerprint"), ("edited_signatures", "edited_fingerprint"))]
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *prints, "near_edited", "near_next")
+
+
 QUERIES = {
     "op1_line_templates": op1_line_templates,
     "op2_toxicity": op2_toxicity,
@@ -106,6 +128,15 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_compression_quality": op9_compression_quality,
     "op10_license_scan": op10_license_scan,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_spotsigs": op13_spotsigs,
 }
 
-ORACLE_SQL = {"op1_line_templates": line_templates.ORACLE_SQL, "op10_license_scan": license_scan.ORACLE_SQL}
+ORACLE_SQL = {
+    "op1_line_templates": line_templates.ORACLE_SQL,
+    "op10_license_scan": license_scan.ORACLE_SQL,
+    "op11_fill_in_middle": fill_in_middle.ORACLE_SQL,
+    "op12_source_divergence": source_divergence.ORACLE_SQL,
+    "op13_spotsigs": spotsigs.ORACLE_SQL,
+}
