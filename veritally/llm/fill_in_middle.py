@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, IntegerType, StringType, StructField, StructType
 
 from veritally.llm.common import hold
 
@@ -20,6 +19,8 @@ HELD_BYTES = 32 << 20
 INDEX = (
     StructType().add("n", "long").add("size", "long").add("low_bits", "integer").add("low", "binary").add("high", "binary").add("counts", "binary").add("marked", "boolean")
 )
+_KINDS = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.bool_())
+_MARKS = tuple(m.encode() for m in MARKERS)
 
 
 def elias_fano(text: bytes) -> tuple[int, int, int, bytes, bytes, bytes]:
@@ -55,29 +56,39 @@ def select(i: int, low_bits: int, low: bytes, high: bytes, counts: bytes) -> int
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (key, salt, text) without those whose bytes the task has seen lately; it keeps at most HELD_BYTES of texts and one more."""
+    """(key, salt, text, INDEX): rows of (key, salt, text) with their boundary lists, but for texts whose bytes the task has seen lately.
+
+    The task keeps at most HELD_BYTES of texts and one more, and gives out some 8 MB of them at a time.
+    """
     seen: dict[tuple, bytes] = {}
     held = 0
+    schema = pa.schema([("key", pa.binary()), ("salt", pa.int32()), ("text", pa.binary()), *zip(INDEX.names, _KINDS, strict=True)])
+    rows: list[tuple] = []
+
+    def given() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        rows.clear()
+        # bytes of a valid text
+        return out.set_column(2, "text", out.column(2).view(pa.string()))
+
+    size = 0
     for batch in batches:
-        keep = []
-        for i, (key, salt, text) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:2]), batch.column(2).cast(pa.binary()).to_pylist(), strict=True)):
+        texts = batch.column(2).cast(pa.binary())
+        for i, (key, salt) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:2]), strict=True)):
+            text = texts[i].as_py()
             if seen.get((key, salt)) == text:
                 continue
-            keep.append(i)
             if held > HELD_BYTES:
                 seen, held = {}, 0
             seen[key, salt] = text
             held += len(text)
-        yield batch.take(pa.array(keep, pa.int64()))
-
-
-@F.pandas_udf(INDEX)
-def _index(texts: pd.Series) -> pd.DataFrame:
-    rows = []
-    for text in texts:
-        raw = text.encode("utf-8", "surrogatepass")
-        rows.append((*elias_fano(raw), any(m in text for m in MARKERS)))
-    return pd.DataFrame(rows, columns=INDEX.names)
+            rows.append((key, salt, text, *elias_fano(text), any(m in text for m in _MARKS)))
+            size += len(text)
+            if size > 8 << 20:
+                yield given()
+                size = 0
+    if rows:
+        yield given()
 
 
 def text_index(docs: DataFrame, digest: Column | None = None) -> tuple[DataFrame, DataFrame]:
@@ -86,7 +97,7 @@ def text_index(docs: DataFrame, digest: Column | None = None) -> tuple[DataFrame
     index: key, salt, text and the columns of INDEX. members: doc_id, key, salt. Texts of one key (by default SHA-256) are compared as bytes while they
     are grouped, and two different ones stop the job, so a document that meets a key has that key's text exactly. A text that makes up more than
     1 / SHARES of all rows has an index row for each such share of its documents; there are fewer than SHARES such texts, which is the bound of
-    their broadcast list. Copies in one task are dropped before texts move, and each text moves once.
+    their broadcast list. Copies in one task are dropped and lists made before texts move, and each text moves once.
     """
     key = F.unhex(F.sha2("text", 256)) if digest is None else digest
     keyed = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("key", key)
@@ -96,11 +107,12 @@ def text_index(docs: DataFrame, digest: Column | None = None) -> tuple[DataFrame
     common = F.broadcast(hold(common.select("key", F.ceil(F.col("count") * SHARES / F.lit(max(1, total))).cast("int").alias("salts")), "common"))
     salt = F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("salts"))).cast("int").alias("salt")
     members = ids.join(common, "key", "left").select("doc_id", "key", salt)
-    rows = keyed.join(common, "key", "left").select("key", salt, "text").mapInArrow(_once, "key binary, salt int, text string")
+    rows = keyed.join(common, "key", "left").select("key", salt, "text")
+    rows = rows.mapInArrow(_once, StructType([StructField("key", BinaryType()), StructField("salt", IntegerType()), StructField("text", StringType()), *INDEX.fields]))
     # the smallest and the largest text of a key tell whether all are one; the exchange by key and salt serves the join too
-    grouped = rows.repartition("key", "salt").groupBy("key", "salt").agg(F.min("text").alias("text"), F.max("text").alias("other"))
-    same = F.when(F.col("text") == F.col("other"), F.col("text")).otherwise(F.raise_error(F.lit("two different texts have one digest")))
-    return grouped.select("key", "salt", same.alias("text")).withColumn("x", _index("text")).select("key", "salt", "text", "x.*"), members
+    grouped = rows.repartition("key", "salt").groupBy("key", "salt").agg(F.min(F.struct("text", *INDEX.names)).alias("x"), F.max("text").alias("other"))
+    same = F.when(F.col("x.text") == F.col("other"), F.col("x.text")).otherwise(F.raise_error(F.lit("two different texts have one digest")))
+    return grouped.select("key", "salt", same.alias("text"), *(f"x.{c}" for c in INDEX.names)), members
 
 
 def _draws(seed: int) -> list[Column]:
