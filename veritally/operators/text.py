@@ -1,4 +1,4 @@
-"""Unified diffs, scopes and test logs as rows."""
+"""Unified diffs, scopes and mentions as rows."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veritally.functions.expressions import names_symbol, normal, patched_files, production_python
+from veritally.functions.expressions import normal, patched_files, production_python
 
 
 def classify(corpus: DataFrame, patch: str = "patch") -> DataFrame:
@@ -71,95 +71,6 @@ def touching(hunks: DataFrame, spans: DataFrame, keys: list[str], width: int = 2
     return a.join(s, [*keys, "block"]).where("not (b < first or a > last)").select(*keys, "symbol").distinct()
 
 
-def failure_sections(logs: DataFrame, key: str, log: str = "log") -> DataFrame:
-    """(key, pos, header, body): failure blocks of a log, pos in the order in which headers first appear.
-
-    Underscore-ruled blocks run to the next one; of equal headers the last body counts. Blocks headed ERROR: or FAIL:
-    run to a line of ten or more = and count only where no block has their header yet, the first of equal ones.
-    """
-    lines = logs.select(key, F.posexplode(F.split(log, "\r?\n")).alias("n", "text"))
-    w = Window.partitionBy(key).orderBy("n")
-    ruled = F.when(F.col("text").rlike(r"^_{3,}\s+.+?\s+_{3,}$"), F.trim(F.regexp_extract("text", r"^_{3,}\s+(.+?)\s+_{3,}$", 1)))
-    named = F.when(F.col("text").rlike(r"^(ERROR|FAIL):\s+.+?\s*$"), F.trim(F.regexp_extract("text", r"^(?:ERROR|FAIL):\s+(.+?)\s*$", 1)))
-    stop = F.min(F.when(F.col("text").rlike("^={10,}$"), F.col("n"))).over(w.rowsBetween(1, Window.unboundedFollowing))
-    lines = lines.withColumn("ruled", ruled).withColumn("named", named).withColumn("stop", stop)
-    lines = lines.withColumn("block", F.last(F.when(F.col("ruled").isNotNull(), F.col("n")), True).over(w))
-    body = lambda *by: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), "\n")
-    heads = lines.where("ruled is not null").select(key, F.col("n").alias("block"), F.col("ruled").alias("header"))
-    inner = lines.where("block is not null and ruled is null").groupBy(key, "block").agg(body().alias("body"))
-    first = heads.join(inner, [key, "block"], "left").groupBy(key, "header").agg(
-        F.max_by(F.coalesce("body", F.lit("")), "block").alias("body"), F.min("block").alias("n")
-    )
-    first = first.withColumn("kind", F.lit(1))
-    heads = lines.where("named is not null").groupBy(key, F.col("named").alias("header")).agg(F.min(F.struct("n", "stop")).alias("at"))
-    heads = heads.select(key, "header", F.col("at.n").alias("n"), F.col("at.stop").alias("stop"))
-    # bodies of named blocks: their lines follow directly, within one log
-    text = lines.select(key, F.col("n").alias("m"), "text")
-    second = heads.join(text, key, "left").where("m > n and (stop is null or m < stop)").groupBy(key, "header", "n").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("m", "text"))), lambda x: x["text"]), "\n").alias("body")
-    )
-    second = heads.select(key, "header", "n").join(second, [key, "header", "n"], "left").withColumn("body", F.coalesce("body", F.lit(""))).withColumn("kind", F.lit(2))
-    both = first.select(key, "header", "body", "kind", "n").unionByName(second.select(key, "header", "body", "kind", "n"))
-    kept = both.withColumn("r", F.row_number().over(Window.partitionBy(key, "header").orderBy("kind"))).where("r = 1")
-    pos = F.row_number().over(Window.partitionBy(key).orderBy("kind", "n"))
-    return kept.select(key, pos.alias("pos"), "header", "body")
-
-
-def section_for(sections: DataFrame, tests: DataFrame, key: str) -> DataFrame:
-    """(key, test_id, header, body): the block that explains a failing test, null where none does.
-
-    In order: the test's own block, a block of its exact id, a block whose name after the last colon of a .py label
-    is the test's, a collection error of its file, a module that failed to import among its components. The first
-    header within a level wins. The join is within one log.
-    """
-    both = tests.select(key, "test_id").distinct().join(sections, key, "left")
-    tail = F.element_at(F.split("test_id", "::"), -1)
-    base = F.substring_index(tail, "[", 1)
-    dotted = F.element_at(F.split("header", r"\."), -1)
-    colon = F.trim(F.element_at(F.split("header", ":"), -1))
-    path = F.substring_index("test_id", "::", 1)
-    dots = F.flatten(F.transform(F.regexp_extract_all("test_id", F.lit(r"\(([^)]*)\)"), F.lit(1)), lambda x: F.split(x, r"\.")))
-    parts = F.concat(dots, F.split(path, "/"))
-    module = F.substring_index("header", " ", 1)
-    level = (
-        F.when((F.col("header") == tail) | (dotted == tail) | (F.substring_index(dotted, "[", 1) == base), 1)
-        .when(F.col("header") == F.col("test_id"), 2)
-        .when(F.contains("header", F.lit(".py:")) & ((colon == tail) | (F.substring_index(colon, "[", 1) == base)), 3)
-        .when((path != F.col("test_id")) & (path != "") & F.startswith("header", F.lit("ERROR collecting")) & F.contains("header", path), 4)
-        .when(
-            F.contains("header", F.lit("_FailedTest")) & (module != "") & (F.array_contains(parts, module) | F.array_contains(parts, F.regexp_replace(module, r"\.py$", ""))), 5
-        )
-    )
-    best = both.withColumn("level", level).groupBy(key, "test_id").agg(F.min(F.when(F.col("level").isNotNull(), F.struct("level", "pos", "header", "body"))).alias("x"))
-    return best.select(key, "test_id", "x.header", "x.body")
-
-
-def classify_failures(sections: DataFrame, tests: DataFrame, key: str, symbol: str = "symbol") -> DataFrame:
-    """(key, coupled, broke, unparsed, all_reference): all failing ids of a log by what their block says.
-
-    tests: key, test_id, symbol. An id without a block is unparsed, which is no verdict. Every failing id is used.
-    """
-    found = section_for(sections, tests, key).join(tests, [key, "test_id"])
-    kind = F.when(F.col("body").isNull(), "unparsed").when(names_symbol(F.col("body"), F.col(symbol)), "coupled").otherwise("broke")
-    lists = [F.sort_array(F.collect_set(F.when(F.col("kind") == k, F.col("test_id")))).alias(k) for k in ("coupled", "broke", "unparsed")]
-    out = found.withColumn("kind", kind).groupBy(key).agg(*lists)
-    return out.withColumn("all_reference", (F.size("broke") == 0) & (F.size("unparsed") == 0))
-
-
-def swallowed(statuses: DataFrame, graded: DataFrame, key: str) -> DataFrame:
-    """(key, graded_id, merged_key, position, true_status): ids lost inside a status line that holds ' ... '.
-
-    statuses: key, name, status. graded: key, graded_id. An id that has its own status is not lost.
-    """
-    merged = statuses.where(F.contains("name", F.lit(" ... "))).select(key, F.col("name").alias("merged_key"), "status")
-    absent = graded.join(statuses.select(key, F.col("name").alias("graded_id")), [key, "graded_id"], "left_anti")
-    both = absent.join(merged, key).where(F.contains("merged_key", F.col("graded_id")) & (F.col("merged_key") != F.col("graded_id")))
-    last = F.endswith("merged_key", F.col("graded_id"))
-    return both.select(
-        key, "graded_id", "merged_key", F.when(last, "last").otherwise("earlier").alias("position"), F.when(last, F.col("status")).alias("true_status")
-    )
-
-
 def single_word_mentions(texts: DataFrame, words: DataFrame, key: str, text: str = "text", word: str = "word") -> DataFrame:
     """(key, word): texts that mention a word, by an equi-join on their distinct tokens rather than a text-by-word product."""
     token = F.explode(F.array_distinct(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}_]", " ")), " "))).alias(word)

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritally.operators.text import section_for, swallowed
-
 
 def in_scope(anchors: DataFrame, scope: DataFrame, key: str = "instance_id", unscoped: DataFrame | None = None) -> DataFrame:
     """Anchors whose function, or else name, is a symbol of their task's scope.
@@ -67,35 +65,6 @@ def phase_two(contract: Column, expected_failing: Column) -> Column:
     )
 
 
-def sections_for(sections: DataFrame, tests: DataFrame, key: str) -> DataFrame:
-    """(key, test_id, body): ``section_for``, and where it finds nothing all blocks of the test's sub-tests, in order.
-
-    A sub-test's header is its test's id, a blank and its parameters in brackets.
-    """
-    own = section_for(sections, tests, key)
-    missing = own.where("body is null").select(key, "test_id")
-    under = missing.join(sections, key).where(F.startswith("header", F.concat("test_id", F.lit(" ("))))
-    parts = F.sort_array(F.collect_list(F.struct("pos", F.col("body").alias("b"))))  # one test's sub-tests in one log
-    joined = under.groupBy(key, "test_id").agg(F.array_join(F.transform(parts, lambda x: x["b"]), "\n").alias("parts"))
-    return own.join(joined, [key, "test_id"], "left").select(key, "test_id", F.coalesce("body", "parts").alias("body"))
-
-
-def swallow_totals(statuses: DataFrame, graded: DataFrame, key: str) -> DataFrame:
-    """One row of totals: logs, logs with absent graded ids, absent ids, logs with merged lines, swallowed ids, and those that passed.
-
-    A zero of swallowed ids tells nothing unless graded ids were absent, so the opportunities stand beside it.
-    """
-    absent = graded.join(statuses.select(key, F.col("name").alias("graded_id")), [key, "graded_id"], "left_anti").distinct()
-    lost = swallowed(statuses, graded, key).groupBy(key, "graded_id").agg(F.max(F.coalesce("true_status", F.lit("")) == "PASSED").alias("passed"))
-    per = graded.select(key).distinct().join(absent.groupBy(key).agg(F.count(F.lit(1)).alias("absent")), key, "left")
-    per = per.join(lost.groupBy(key).agg(F.count(F.lit(1)).alias("lost"), F.count_if("passed").alias("false_failures")), key, "left").fillna(0)
-    return per.agg(
-        F.count(F.lit(1)).alias("logs"), F.count_if(F.col("absent") > 0).alias("logs_with_absent"), F.coalesce(F.sum("absent"), F.lit(0).cast("long")).alias("absent_ids"),
-        F.count_if(F.col("lost") > 0).alias("logs_with_swallowed"), F.coalesce(F.sum("lost"), F.lit(0).cast("long")).alias("swallowed_ids"),
-        F.coalesce(F.sum("false_failures"), F.lit(0).cast("long")).alias("false_failures"),
-    )
-
-
 def gate_grid(variants: DataFrame, solutions: DataFrame, cells: DataFrame, keys: tuple[str, ...] = ("task",)) -> DataFrame:
     """Every variant by solution of a task, with its cell; one that was not run stays with nulls.
 

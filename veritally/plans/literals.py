@@ -113,73 +113,6 @@ def span_overlap(spark, d):
     return text.touching(lines.select("path", F.col("line").alias("a"), (F.col("line") + 3).alias("b")), spans, ["path"])
 
 
-LOGS = [
-    ("p", "start\n____ test_one ____\nE  has no attribute 'sym'\n____ test_two[x] ____\nE  ValueError\n____ test_one ____\nE  again has no attribute 'sym'\n____ ERROR collecting tests/test_m.py ____\nE cannot import name 'sym'"),
-    ("u", "x\n======================\nERROR: test_a (mod.Case)\n-----\nNameError: name 'sym' is not defined\n======================\nFAIL: test_b (mod.Case)\nAssertionError\n======================\nERROR: test_a (mod.Case)\nlater\n======================\nERROR: ledger (unittest.loader._FailedTest)\nImportError: cannot import name 'sym'"),
-    ("s", "____ algebra/core/test_x.py:test_bug ____\nname 'sym' is not defined"),
-    ("n", "nothing here"),
-]
-SECTIONS = rf"""logs(id, log) as (values {_values(LOGS)}), l as (select id, unnest(string_split(log, chr(10))) as t, generate_subscripts(string_split(log, chr(10)), 1) as n from logs),
-m as (select *, case when regexp_matches(t, '^_{{3,}}\s+.+?\s+_{{3,}}$') then trim(regexp_extract(t, '^_{{3,}}\s+(.+?)\s+_{{3,}}$', 1)) end as ruled,
-  case when regexp_matches(t, '^(ERROR|FAIL):\s+.+?\s*$') then trim(regexp_extract(t, '^(?:ERROR|FAIL):\s+(.+?)\s*$', 1)) end as named from l),
-b as (select *, last_value(case when ruled is not null then n end ignore nulls) over (partition by id order by n) as block,
-  min(case when regexp_matches(t, '^={{10,}}$') then n end) over (partition by id order by n rows between 1 following and unbounded following) as stop from m),
-one as (select id, block, max(ruled) as header, coalesce(string_agg(t, chr(10) order by n) filter (where ruled is null), '') as body from b where block is not null group by all),
-first as (select id, header, max_by(body, block) as body, min(block) as n, 1 as kind from one group by all),
-heads as (select id, named as header, min(n) as n, min_by(stop, n) as stop from b where named is not null group by all),
-second as (select h.id, h.header, coalesce((select string_agg(x.t, chr(10) order by x.n) from l x where x.id = h.id and x.n > h.n and (h.stop is null or x.n < h.stop)), '') as body, h.n, 2 as kind from heads h),
-every as (select * from first union all select * from second s where not exists (select 1 from first f where f.id = s.id and f.header = s.header)),
-sections as (select id, (row_number() over (partition by id order by kind, n))::int as pos, header, body from every)"""
-
-
-def _sections(spark):
-    return text.failure_sections(spark.createDataFrame(LOGS, "id string, log string"), "id")
-
-
-@query(f"with {SECTIONS} select id, pos, header, body from sections")
-def failure_sections(spark, d):
-    return _sections(spark)
-
-
-TESTS = [
-    ("p", "tests/test_m.py::test_one", "sym"), ("p", "tests/test_m.py::test_two[x]", "sym"), ("p", "tests/test_m.py::test_gone", "sym"), ("p", "tests/test_q.py::test_gone", "sym"),
-    ("u", "test_a (mod.Case)", "sym"), ("u", "test_b (mod.Case)", "sym"), ("u", "test_post (books.ledger.PostingTests)", "sym"), ("s", "test_bug", "sym"), ("n", "test_none", "sym"),
-]
-ATTRIBUTED = rf"""tests(id, test_id, symbol) as (values {_values(TESTS)}), j as (select t.id, test_id, symbol, pos, header, body, string_split(test_id, '::')[-1] as tail,
-  string_split(header, '.')[-1] as dotted, trim(string_split(header, ':')[-1]) as colon, split_part(test_id, '::', 1) as path, split_part(header, ' ', 1) as module from tests t left join sections s on s.id = t.id),
-v as (select *, case when header = tail or dotted = tail or split_part(dotted, '[', 1) = split_part(tail, '[', 1) then 1 when header = test_id then 2
-  when contains(header, '.py:') and (colon = tail or split_part(colon, '[', 1) = split_part(tail, '[', 1)) then 3
-  when path <> test_id and path <> '' and starts_with(header, 'ERROR collecting') and contains(header, path) then 4
-  when contains(header, '_FailedTest') and module <> '' and (list_contains(string_split(regexp_extract(test_id, '\(([^)]*)\)', 1), '.'), module) or list_contains(string_split(path, '/'), module)) then 5 end as level from j),
-best as (select id, test_id, symbol, min_by(header, level * 1000 + pos) as header, min_by(body, level * 1000 + pos) as body from v group by all)"""
-
-
-@query(f"with {SECTIONS}, {ATTRIBUTED} select id, test_id, header, body from best")
-def section_for(spark, d):
-    return text.section_for(_sections(spark), spark.createDataFrame(TESTS, "id string, test_id string, symbol string"), "id")
-
-
-@query(f"""with {SECTIONS}, {ATTRIBUTED}, k as (select id, test_id, case when body is null then 'unparsed' when contains(body, 'has no attribute ''sym''') or contains(body, 'name ''sym'' is not defined')
-or contains(body, 'cannot import name ''sym''') then 'coupled' else 'broke' end as kind from best)
-select id, coalesce(string_agg(test_id, '|' order by test_id) filter (where kind = 'coupled'), '') as coupled, coalesce(string_agg(test_id, '|' order by test_id) filter (where kind = 'broke'), '') as broke,
-coalesce(string_agg(test_id, '|' order by test_id) filter (where kind = 'unparsed'), '') as unparsed, bool_and(kind = 'coupled') as all_reference from k group by id""")
-def classify_failures(spark, d):
-    out = text.classify_failures(_sections(spark), spark.createDataFrame(TESTS, "id string, test_id string, symbol string"), "id")
-    return out.select("id", *(F.array_join(c, "|").alias(c) for c in ("coupled", "broke", "unparsed")), "all_reference")
-
-
-STATUSES = [("r", "test_a (m.C) ... test_b (m.C)", "PASSED"), ("r", "test_c (m.C)", "FAILED"), ("q", "test_a (m.C)", "PASSED")]
-GRADED = [("r", "test_a (m.C)"), ("r", "test_b (m.C)"), ("r", "test_c (m.C)"), ("q", "test_a (m.C)"), ("q", "test_z (m.C)")]
-
-
-@query(f"""with s(run, name, status) as (values {_values(STATUSES)}), g(run, graded_id) as (values {_values(GRADED)})
-select g.run, graded_id, name as merged_key, case when ends_with(name, graded_id) then 'last' else 'earlier' end as position, case when ends_with(name, graded_id) then status end as true_status
-from g join s on s.run = g.run and contains(name, ' ... ') and contains(name, graded_id) and name <> graded_id
-where not exists (select 1 from s x where x.run = g.run and x.name = graded_id)""")
-def swallowed_ids(spark, d):
-    return text.swallowed(spark.createDataFrame(STATUSES, "run string, name string, status string"), spark.createDataFrame(GRADED, "run string, graded_id string"), "run")
-
-
 LABELS = [(1, "rename:src/a.py:f", "x  y\n z"), (2, "reverse:<no anchor>", None), (3, "bare", " a "), (4, "<control>", "ok")]
 
 

@@ -41,13 +41,6 @@ def document_eligibility(spark, d):
     return out.select("doc_id", F.array_join("files_touched", ",").alias("files"), "eligible", "single_file", "n_fail_to_pass", "n_pass_to_pass")
 
 
-@query(f"""with {TEXTS} select doc_id, 1::int as pos, 'test_' || doc_id as header, sha256(text) as body from own where text is not null""")
-def document_sections(spark, d):
-    log = F.concat(F.lit("start\n____ test_"), F.col("doc_id").cast("string"), F.lit(" ____\n"), "text").alias("log")
-    out = text.failure_sections(_own(spark, d).select("doc_id", log).where("log is not null"), "doc_id")
-    return out.select("doc_id", "pos", "header", F.sha2("body", 256).alias("body"))
-
-
 @query(rf"""with {TEXTS}, w as (select o_orderkey as instance_id, o_custkey % 100 as doc_id, case when o_orderkey % 2 = 0 then 'the' else 'scum' end as symbol from orders)
 select instance_id, case when regexp_matches(text, '\b' || symbol || '\b') then 'introduced' else 'pre_existing' end as origin from w join own using (doc_id) where text is not null""")
 def witness_origins(spark, d):

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veritally.functions import expressions as X
-from veritally.operators import text, verdicts
+from veritally.operators import logs, text, verdicts
 from veritally.plans.hosted import ROWS, _read, _rows, query
-from veritally.plans.literals import _values
 
 
 @query("""with a as (select l_orderkey as instance_id, l_partkey as anchor, case when l_linenumber % 2 = 0 then 'f' || l_suppkey % 20 end as func, 'f' || l_suppkey % 7 as name from lineitem),
@@ -101,20 +100,7 @@ def swallow_totals(spark, d):
     merged = F.when(k % 3 == 0, F.concat(name(k), F.lit(" ... "), name(k + 1))).otherwise(name(k))
     statuses = o.select("run", merged.alias("name"), F.when(k % 2 == 0, "PASSED").otherwise("FAILED").alias("status"))
     graded = o.select("run", name(k + k % 2).alias("graded_id")).union(o.select("run", name(k + 1))).distinct()
-    return verdicts.swallow_totals(statuses, graded, "run")
-
-
-BLOCKS = [
-    ("a", 1, "test_x (m.C) (key='1')", "first"), ("a", 2, "test_x (m.C) (key='2')", "second"), ("a", 3, "test_y (m.C)", "own"), ("a", 4, "test_y (m.C) (key='1')", "under"),
-    ("b", 1, "test_x (m.CC) (key='1')", "other class"),
-]
-UNDER = [("a", "test_x (m.C)"), ("a", "test_y (m.C)"), ("a", "test_z (m.C)"), ("b", "test_x (m.C)")]
-
-
-@query(f"""with b(id, pos, header, body) as (values {_values(BLOCKS)}), t(id, test_id) as (values {_values(UNDER)})
-select id, test_id, coalesce((select min(body) from b where b.id = t.id and header = test_id), (select string_agg(body, chr(10) order by pos) from b where b.id = t.id and starts_with(header, test_id || ' ('))) as body from t""")
-def subtest_sections(spark, d):
-    return verdicts.sections_for(spark.createDataFrame(BLOCKS, "id string, pos int, header string, body string"), spark.createDataFrame(UNDER, "id string, test_id string"), "id")
+    return logs.swallow_totals(statuses, graded, "run")
 
 
 PHRASE = r"trim(regexp_extract(lower(regexp_replace(text, '[^\p{L}\p{N}_]', ' ', 'g')), '[^ ]+ +[^ ]+ +[^ ]+'))"
