@@ -1,7 +1,7 @@
 import pytest
 
 from tests import oracle
-from veritally.plans import hosted, literals, logs, records, sources, texts, verdicts  # noqa: F401
+from veritally.plans import hosted, literals, logs, records, rules, texts, trees, verdicts  # noqa: F401
 
 
 @pytest.fixture(scope="module")

@@ -1,11 +1,11 @@
-"""Text, gate and fixture queries: operators over literals and the driver's texts, with SQL for the same rows."""
+"""Text and gate queries over the driver's tables, with SQL for the same rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from veritally.functions import expressions as X
-from veritally.operators import compare, gates, judge, text
+from veritally.operators import compare, gates, text
 from veritally.plans.hosted import _read, query
 
 
@@ -17,68 +17,6 @@ def mention_join(spark, d):
     return text.single_word_mentions(_read(spark, d, "documents"), words, "doc_id")
 
 
-def _values(rows: list[tuple]) -> str:
-    def show(x) -> str:
-        return "null" if x is None else str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, int | float) else "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
-
-    return ", ".join("(" + ", ".join(map(show, r)) + ")" for r in rows)
-
-
-PHRASES = [
-    (1, "AttributeError: module m has no attribute 'sym'", "sym"),
-    (2, "<module 'm'> does not have the attribute 'sym'", "sym"),
-    (3, "NameError: name 'sym' is not defined", "sym"),
-    (4, "ImportError: cannot import name 'sym' from m", "sym"),
-    (5, "ModuleNotFoundError: No module named x, module 'sym'", "sym"),
-    (6, "module 'sym' is fine", "sym"),
-    (7, "ValueError: other", "sym"),
-    (8, None, "sym"),
-]
-
-
-@query(f"""with p(id, body, name) as (values {_values(PHRASES)}) select id, contains(body, 'has no attribute ''' || name || '''') or contains(body, 'does not have the attribute ''' || name || '''')
-or contains(body, 'name ''' || name || ''' is not defined') or contains(body, 'cannot import name ''' || name || '''')
-or (contains(body, 'module ''' || name || '''') and contains(body, 'No module named')) as names from p""")
-def names_symbol(spark, d):
-    return spark.createDataFrame(PHRASES, "id int, body string, name string").select("id", X.names_symbol(F.col("body"), F.col("name")).alias("names"))
-
-
-DIFFS = [
-    ("a", "diff --git a/src/m.py b/src/m.py\n--- a/src/m.py\n+++ b/src/m.py\n@@ -10,4 +10,5 @@ def before():\n keep\n-old\n+new\n+more\n keep\n@@ -30,2 +31,2 @@\n-x\n+y\n z"),
-    ("b", "diff --git a/one.py b/one.py\nnew file mode 100644\n--- /dev/null\n+++ b/one.py\n@@ -0,0 +1,2 @@\n+first\n+second\ndiff --git a/two.py b/two.py\n--- a/two.py\n+++ b/two.py\n@@ -5,3 +5,2 @@\n a\n-b\n c"),
-    ("c", "diff --git a/gone.py b/dev/null\n--- a/gone.py\n+++ /dev/null\n@@ -1,1 +0,0 @@\n-only"),
-    ("d", ""),
-]
-
-
-@query(rf"""with p(id, patch) as (values {_values(DIFFS)}), l as (select id, unnest(string_split(patch, chr(10))) as t, generate_subscripts(string_split(patch, chr(10)), 1) as n from p),
-f as (select id, n, case when regexp_extract(t, '^diff --git a/(.+?) b/(.+)$', 2) = '/dev/null' then regexp_extract(t, '^diff --git a/(.+?) b/(.+)$', 1)
-else regexp_extract(t, '^diff --git a/(.+?) b/(.+)$', 2) end as file from l where t like 'diff --git a/%'),
-u as (select id, file, min(n) as n from f group by all) select id, string_agg(file, ',' order by n) as files, count(*)::int as n_files from u group by id""")
-def patched_files(spark, d):
-    out = spark.createDataFrame(DIFFS, "id string, patch string").withColumn("f", X.patched_files(F.col("patch"))).where("size(f) > 0")
-    return out.select("id", F.array_join("f", ",").alias("files"), F.size("f").alias("n_files"))
-
-
-@query(rf"""with p(id, patch) as (values {_values(DIFFS)}), l as (select id, unnest(string_split(patch, chr(10))) as t from p),
-f as (select distinct id, case when regexp_extract(t, '^diff --git a/(.+?) b/(.+)$', 2) = '/dev/null' then regexp_extract(t, '^diff --git a/(.+?) b/(.+)$', 1)
-else regexp_extract(t, '^diff --git a/(.+?) b/(.+)$', 2) end as file from l where t like 'diff --git a/%')
-select id, count(file)::int as n_files, (count(file) filter (where file like '%.py'))::int as n_targets, count(file) = 1 as single_file, count(file) filter (where file like '%.py') > 0 as eligible
-from p left join f using (id) group by id""")
-def classify_patches(spark, d):
-    return text.classify(spark.createDataFrame(DIFFS, "id string, patch string")).select("id", "n_files", "n_targets", "single_file", "eligible")
-
-
-@query(rf"""with p(id, patch) as (values {_values(DIFFS)}), l as (select id, unnest(string_split(patch, chr(10))) as t, generate_subscripts(string_split(patch, chr(10)), 1) as n from p),
-m as (select *, last_value(case when t like 'diff --git a/%' then regexp_extract(t, '^diff --git a/(.+?) b/(.+)$', 2) end ignore nulls) over w as path,
-count(case when t like '@@ -%' then 1 end) over w as hunk, last_value(case when t like '@@ -%' then regexp_extract(t, '^@@ -[0-9]+(?:,[0-9]+)? \+([0-9]+)', 1)::int end ignore nulls) over w as start,
-case when regexp_matches(t, '^(\+\+\+|---|diff --git |@@ -[0-9])') then '' else t[1:1] end as sign from l window w as (partition by id order by n)),
-c as (select *, coalesce(sum((sign in ('+', ' '))::int) over (partition by id, hunk order by n rows between unbounded preceding and 1 preceding), 0) as before from m)
-select distinct id, path, (start + before)::int as line from c where sign in ('+', '-') and start is not null and path is not null""")
-def changed_lines(spark, d):
-    return text.changed_lines(spark.createDataFrame(DIFFS, "id string, patch string"), "id")
-
-
 PATHS = """case doc_id % 6 when 0 then 'src/' || source || '/m' || doc_id || '.py' when 1 then 'Tests/' || source || '.py' when 2 then 'src/test_' || doc_id || '.py'
 when 3 then '.tox/' || source || '.py' when 4 then 'docs.py' else 'lib/' || source || '_test.py' end"""
 
@@ -113,57 +51,6 @@ def span_overlap(spark, d):
     return text.touching(lines.select("path", F.col("line").alias("a"), (F.col("line") + 3).alias("b")), spans, ["path"])
 
 
-LABELS = [(1, "rename:src/a.py:f", "x  y\n z"), (2, "reverse:<no anchor>", None), (3, "bare", " a "), (4, "<control>", "ok")]
-
-
-@query(rf"""with l(id, label, reason) as (values {_values(LABELS)}) select id, split_part(label, ':', 1) as operator,
-nullif(case when contains(label, ':') then substr(label, instr(label, ':') + 1) else '' end, '<no anchor>') as anchor, trim(regexp_replace(coalesce(reason, ''), '\s+', ' ', 'g')) as reason
-from l where label <> '<control>'""")
-def log_labels(spark, d):
-    own = spark.createDataFrame(LABELS, "id int, label string, reason string").where("label <> '<control>'")
-    return own.select("id", X.label_operator(F.col("label")).alias("operator"), X.label_anchor(F.col("label")).alias("anchor"), X.same_words(F.col("reason")).alias("reason"))
-
-
-ANSWERS = [(1, 'Text {"score": 7}', 7), (2, '{"score": true}', None), (3, '{"score": 7.0}', None), (4, '{"score": 11}', None), (5, "none", None), (6, '{"score": ', None), (7, "", None), (8, '{"why": "x", "score": 0}', 0),
-    (9, '{"detail": {"score": 3}, "score": 7}', 7), (10, '{"detail": {"score": 3}}', None), (11, 'a {"score": 4} b } c', None), (12, '{"score": "7"}', None), (13, '{"score": -1}', None), (14, '"score": 5', None), (15, None, None),
-    (16, '[{"score": 6}]', 6)]
-
-
-@query(f"with a(id, answer, want) as (values {_values(ANSWERS)}) select id, want::int as score from a")
-def judge_answers(spark, d):
-    return spark.createDataFrame(ANSWERS, "id int, answer string, want int").select("id", X.judge_score(F.col("answer")).alias("score"))
-
-
-MUTANTS = [("train", f"m{i}", 0.0) for i in range(4)] + [("held_out", "h0", 0.0), ("held_out", "h1", 1.0), ("held_out", "h2", 0.0)]
-
-
-@query(f"""with m(bucket, name, reward) as (values {_values(MUTANTS)}), e as (select * from m union all select 'pooled', name, reward from m)
-select bucket, count(*) as mutants, count(*) filter (where reward > 0) as survivors, (count(*) filter (where reward > 0))::double / count(*) as survival from e group by bucket""")
-def mutation_survival(spark, d):
-    return gates.mutation_survival(spark.createDataFrame(MUTANTS, "bucket string, name string, reward double"))
-
-
-CELLS = [
-    (task, variant, solution, solution.startswith("mut"), reward, present, named, failing)
-    for task, over in (("pass", {}), ("coupled", {("repaired", "mut1"): (0.0, 5, True, "t1")}), ("survivor", {("repaired", "mut1"): (1.0, 5, False, "")}), ("absent", {("repaired", "mut1"): (0.0, 3, False, "t1")}), ("drift", {("repaired", "mut1"): (0.0, 5, False, "t2")}))
-    for variant in ("original", "repaired")
-    for solution in ("gold", "gold_renamed", "mut1")
-    for reward, present, named, failing in [over.get((variant, solution), (0.0 if solution == "mut1" or (variant, solution) == ("original", "gold_renamed") else 1.0, 5, False, "t1" if solution == "mut1" else ""))]
-]
-
-
-@query(f"""with c(task, variant, solution, is_mutant, reward, present, names_symbol, failing) as (values {_values(CELLS)})
-select task, bool_or(variant = 'repaired' and solution = 'gold_renamed' and reward = 1) as c1,
-bool_and(reward = 0) filter (where variant = 'repaired' and is_mutant) and not bool_or(is_mutant and names_symbol) and
-  min(present) filter (where variant = 'repaired' and is_mutant) >= max(present) filter (where variant = 'repaired' and solution = 'gold') as c2,
-bool_or(variant = 'repaired' and solution = 'gold' and reward = 1) as g1,
-max(failing) filter (where is_mutant and variant = 'original') = max(failing) filter (where is_mutant and variant = 'repaired') as c3,
-c1 and c2 and g1 and c3 as passes from c group by task""")
-def gate_verdict(spark, d):
-    cells = spark.createDataFrame(CELLS, "task string, variant string, solution string, is_mutant boolean, reward double, present int, names_symbol boolean, failing string")
-    return gates.gate_verdict(cells.withColumn("failing", F.filter(F.split("failing", ","), lambda x: x != "")))
-
-
 @query("""with r as (select o_orderkey % 97 as task, o_custkey % 4 = 0 as refused, o_custkey % 3 as old, o_custkey % 3 + (o_orderkey % 5 = 0)::int as new, o_orderkey % 2 = 0 as changed from orders)
 select case when refused or old <> new then 'void' when old = new and changed then 'stands' else 'undetermined' end as bucket, count(*) as rows, count(distinct task) as tasks from r group by all""")
 def blast_buckets(spark, d):
