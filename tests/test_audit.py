@@ -125,26 +125,8 @@ def test_records_round_trip_and_report(spark, tmp_path):
 def test_source_tree(spark, tmp_path):
     for name in ("src/m.py", "src/test_m.py", "tests/x.py", ".hidden/y.py", "setup.txt"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
-        (tmp_path / name).write_text("x = 1\n")
-    assert [r["path"] for r in readers.source_tree(spark, str(tmp_path)).collect()] == ["src/m.py"]
-
-
-def test_streaming_twins(spark, tmp_path):
-    from veritally.operators import events as batch
-    from veritally.streaming import events as stream
-
-    rows = [(i % 3, i, i, float(5 if i % 30 < 27 else 100), i % 5 > 0) for i in range(120)]
-    df = spark.createDataFrame(rows, "run long, sec long, event_id long, seconds double, refused boolean").withColumn("ts", F.timestamp_seconds("sec"))
-    df.repartition(1).sortWithinPartitions("ts").write.parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    for name, s, b, cols in (
-        ("burns", stream.burns(source), batch.burns(df), ["run", "event_id", "slowest"]),
-        ("backoffs", stream.backoffs(source), batch.backoffs(df), ["run", "event_id", "consecutive", "sleep_s"]),
-    ):
-        q = s.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).start()
-        q.processAllAvailable()
-        q.stop()
-        assert sorted(map(tuple, spark.table(name).select(cols).collect())) == sorted(map(tuple, b.select(cols).collect()))
+        (tmp_path / name).write_text("x = 1\ny = 2\n")
+    assert [tuple(r) for r in readers.source_tree(spark, str(tmp_path)).collect()] == [("src/m.py", "x = 1\ny = 2\n")]
 
 
 def test_event_log_is_appended_and_read(spark, tmp_path):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -17,6 +17,36 @@ def expect(df: DataFrame, holds: Column, message: str) -> DataFrame:
     return df.withColumn(first, checked.cast(df.schema[first].dataType))
 
 
+class Watch:
+    """Conditions that are counted while a result is made, so that a guard costs no job of its own.
+
+    ``on`` attaches them to a DataFrame's plan; once that has been run by an action, ``settle`` raises if any row broke one. Null is not true.
+    """
+
+    def __init__(self, **holds: Column):
+        self.holds = holds
+        self.seen = Observation()
+
+    def on(self, df: DataFrame) -> DataFrame:
+        """df, whose next run is watched; once for a watch."""
+        broken = [F.count_if(~F.coalesce(c, F.lit(False))).alias(name) for name, c in self.holds.items()]
+        return df.observe(self.seen, F.count(F.lit(1)).alias("rows"), *broken)
+
+    def settle(self) -> dict[str, int]:
+        """The counts of the run: rows, and how many broke each condition; an error if any did."""
+        counts = self.seen.get
+        if bad := {n: c for n, c in counts.items() if n != "rows" and c}:
+            raise ExpectationError(f"broken by rows: {bad} of {counts['rows']}")
+        return counts
+
+
+def watched_ids(rows: DataFrame, corpus: DataFrame, key: str = "instance_id") -> tuple[DataFrame, Watch]:
+    """rows joined to the corpus, and a watch that tells after one run whether an id was not in it."""
+    known = rows.join(corpus.withColumn("_known", F.lit(True)), key, "left")
+    watch = Watch(known_ids=F.col("_known"))
+    return watch.on(known).drop("_known"), watch
+
+
 def expect_none(bad: DataFrame, message: str) -> None:
     """An error with examples if there is any row."""
     if rows := bad.limit(5).collect():

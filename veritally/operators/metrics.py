@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from veritally.functions.expressions import rounded, wilson
 from veritally.schemas import JUDGED, WITNESS_SIDES
@@ -54,6 +55,39 @@ def witness_rate_by_stratum(records: DataFrame, rows: DataFrame) -> DataFrame:
     return _rates(_per_task(own, "stratum"), "stratum").join(F.broadcast(sizes), "stratum")  # two rows
 
 
+def sensitivity(records: DataFrame, rows: DataFrame, groups: dict[str, Column]) -> DataFrame:
+    """(operator, subset, grouping, value, judged_tasks, witness_tasks, rate, wilson_low, wilson_high, median): how far a rate hangs on a part of its tasks.
+
+    groups: Columns of records by name. For each operator there are all its tasks (subset all), those of each group (only) and those of all other groups
+    (without), which are the totals minus the group's; so one scan and one aggregation by grouping sets serve all subsets. median is that of the
+    groups' own rates, of those with any judged task, beside each row of a grouping. Nothing is put together across operators.
+    """
+    named = [F.col(c) for c in groups]
+    own = controlled(records).select("instance_id", *(F.coalesce(c.cast("string"), F.lit("null")).alias(n) for n, c in groups.items()))
+    tasks = _per_task(rows.join(own, "instance_id"), *groups)
+    sets = [[F.col("operator")]] + [[F.col("operator"), c] for c in named]
+    judged, witness = F.count_if("judged").alias("judged"), F.count_if(F.col("judged") & F.col("witness")).alias("witness")
+    counts = tasks.groupingSets(sets, "operator", *named).agg(judged, witness, F.grouping_id().alias("gid"))
+    whole = (1 << len(groups)) - 1  # operator leads, so a group's bit is 0 where it is kept
+    kept = [(n, whole & ~(1 << (len(groups) - 1 - i))) for i, n in enumerate(groups)]
+    grouping, value = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for n, gid in kept:
+        grouping, value = F.when(F.col("gid") == gid, n).otherwise(grouping), F.when(F.col("gid") == gid, F.col(n)).otherwise(value)
+    counts = counts.select("operator", grouping.alias("grouping"), value.alias("value"), "judged", "witness")
+    all_tasks = Window.partitionBy("operator")
+    total = lambda c: F.max(F.when(F.col("grouping").isNull(), F.col(c))).over(all_tasks)
+    share = F.try_divide(F.col("witness").cast("double"), F.col("judged"))
+    median = F.when(F.col("grouping").isNotNull(), F.percentile(share, F.lit(0.5)).over(Window.partitionBy("operator", "grouping")))
+    counts = counts.withColumns({"all_judged": total("judged"), "all_witness": total("witness"), "median": median})
+    part = lambda name, j, w: F.struct(F.lit(name).alias("subset"), j.alias("judged_tasks"), w.alias("witness_tasks"))
+    one = F.array(part("only", F.col("judged"), F.col("witness")), part("without", F.col("all_judged") - F.col("judged"), F.col("all_witness") - F.col("witness")))
+    first = F.array(part("all", F.col("judged"), F.col("witness")))
+    out = counts.select("operator", "grouping", "value", "median", F.explode(F.when(F.col("grouping").isNull(), first).otherwise(one)).alias("x")).select("operator", "x.*", "grouping", "value", "median")
+    low, high = wilson(F.col("witness_tasks"), F.col("judged_tasks"))
+    rate = rounded(F.try_divide(F.col("witness_tasks").cast("double"), F.col("judged_tasks")))
+    return out.select("operator", "subset", "grouping", "value", "judged_tasks", "witness_tasks", rate.alias("rate"), low.alias("wilson_low"), high.alias("wilson_high"), "median")
+
+
 def anchor_availability(records: DataFrame, rows: DataFrame) -> DataFrame:
     """By operator over controlled tasks: tasks with a row, those with an anchor, and the share."""
     tasks = _per_task(rows.join(controlled(records).select("instance_id"), "instance_id"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veritally import schemas
 from veritally.operators import metrics
-from veritally.plans.hosted import RECORDS, ROWS, _read, _records, _rows, query
+from veritally.plans.hosted import FACTS, RECORDS, ROWS, _read, _records, _rows, query
 from veritally.sources import readers
 
 
@@ -68,3 +68,36 @@ def eligible_listing(spark, d):
 def coerced_lists(spark, d):
     docs = _read(spark, d, "documents").select("doc_id", F.to_json(F.array("lang", "source")).alias("text"))
     return docs.select("doc_id", F.size(readers.string_list(F.col("text"))).cast("long").alias("n_ids"))
+
+
+_CUT = "case when instance_id % 9 = 0 then 'no JSON object' when instance_id % 9 = 1 then 'no instance_id' when instance_id % 9 = 2 then 'empty' end"
+
+
+@query(f"with {RECORDS} select instance_id, {_CUT} as broken from records")
+def json_quarantine(spark, d):
+    """Every record's text with some cut in half, without an id, or empty: what is whole and what is told as broken."""
+    k, value = F.col("instance_id"), F.col("value")
+    texts = _json(spark, d).withColumn("instance_id", F.get_json_object("value", "$.instance_id").cast("long"))
+    half = F.substr(value, F.lit(1), F.floor(F.length(value) / 2).cast("int"))
+    hurt = F.when(k % 9 == 0, half).when(k % 9 == 1, F.replace(value, F.lit('"instance_id":'), F.lit('"other_id":'))).when(k % 9 == 2, F.lit(" ")).otherwise(value)
+    whole, broken = readers.split_records(texts.select(k.alias("own_id"), hurt.alias("value")))
+    told = broken.select(F.col("own_id").alias("instance_id"), "broken")
+    return whole.select(F.col("instance_id").cast("long").alias("instance_id"), F.lit(None).cast("string").alias("broken")).unionByName(told)
+
+
+_SETS = f"""{FACTS}, f as (select operator, instance_id, repo, case when own.multi_target then 'multi' else 'single' end as targets, bool_or(verdict in ('WITNESS', 'CLEAN', 'INVALID')) as j, bool_or(verdict = 'WITNESS') as w
+  from own join (select instance_id, repo from records) using (instance_id) group by all),
+g as (select operator, repo, targets, count(*) filter (where j) as n, count(*) filter (where j and w) as k from f group by grouping sets ((operator), (operator, repo), (operator, targets))),
+h as (select operator, case when repo is not null then 'repo' when targets is not null then 'targets' end as grouping, coalesce(repo, targets) as value, n, k from g),
+m as (select operator, grouping, median(case when n > 0 then k::double / n end) as median from h where grouping is not null group by all),
+s as (select operator, case when grouping is null then 'all' else 'only' end as subset, grouping, value, n, k from h
+  union all select h.operator, 'without', h.grouping, h.value, t.n - h.n, t.k - h.k from h join h t on t.operator = h.operator and t.grouping is null where h.grouping is not null),
+r as (select s.*, m.median, case when n > 0 then k::double / n end as rate, 1 + 1.96::double * 1.96 / n as dd from s left join m using (operator, grouping))"""
+
+
+@query(f"""with {_SETS} select operator, subset, grouping, value, n as judged_tasks, k as witness_tasks, round_even(rate, 4) as rate,
+round_even(greatest(0, case when n > 0 then (rate + 1.96::double * 1.96 / (2 * n) - 1.96::double * sqrt(rate * (1 - rate) / n + 1.96::double * 1.96 / (4 * n * n))) / dd end), 4) as wilson_low,
+round_even(least(1, case when n > 0 then (rate + 1.96::double * 1.96 / (2 * n) + 1.96::double * sqrt(rate * (1 - rate) / n + 1.96::double * 1.96 / (4 * n * n))) / dd end), 4) as wilson_high, median from r""")
+def rate_sensitivity(spark, d):
+    groups = {"repo": F.col("repo"), "targets": F.when(F.col("multi_target"), "multi").otherwise("single")}
+    return metrics.sensitivity(_records(spark, d), _rows(spark, d), groups)

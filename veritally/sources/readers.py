@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from veritally import schemas
 from veritally.functions.expressions import production_python
@@ -14,6 +15,32 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.RECORD).option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
 
 
+def split_records(texts: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
+    """(records, broken): JSON texts as records, and the rows of those that are none, with ``broken`` saying what they are.
+
+    A text is broken that is no JSON object (cut off, a list, a bare value, empty) or has no instance_id; none of them becomes a row of nulls. Other
+    columns of texts stay in both.
+    """
+    bad = StructType.fromDDL(schemas.RECORD).add("_broken", "string")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
+    others = [c for c in texts.columns if c != value]
+    parsed = texts.withColumn("_x", F.from_json(value, bad, options))
+    why = F.when(F.coalesce(value, F.lit("")).rlike(r"^\s*$"), "empty").when(F.col("_x").isNull() | F.col("_x._broken").isNotNull() | ~F.col(value).rlike(r"^\s*\{"), "no JSON object")
+    parsed = parsed.withColumn("broken", why.when(F.col("_x.instance_id").isNull(), "no instance_id"))
+    whole = parsed.where("broken is null").select(*others, *(f"_x.{f.name}" for f in bad.fields[:-1]))
+    return whole, parsed.where("broken is not null").select(*others, value, "broken")
+
+
+def checked_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(records, broken) of a folder of record files, each with its ``file``; a file that is cut off or empty is told in broken with its text."""
+    texts = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/*.json")
+    status = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(fs_path) or []
+    # readers pass over files without bytes, so those are taken from the listing
+    none = spark.createDataFrame([(s.getPath().toString(), "") for s in status if s.isFile() and s.getLen() == 0], "file string, value string")
+    return split_records(texts.unionByName(none))
+
+
 def eligible(spark: SparkSession, path: str) -> DataFrame:
     """Eligible tasks of a JSON-lines listing; a missing file is an error."""
     return spark.read.schema(schemas.ELIGIBLE).json(path).where("eligible")
@@ -42,7 +69,7 @@ def corpus(spark: SparkSession, path: str, lists: tuple[str, ...] = ("FAIL_TO_PA
 
 def source_tree(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of production Python files below a folder; test, doc and hidden parts are left out."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.py").text(path)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.py").text(path, wholetext=True)
     inner = F.expr(f"substr(input_file_name(), instr(input_file_name(), '{path.rstrip('/')}') + {len(path.rstrip('/')) + 1})")
     return raw.select(inner.alias("path"), F.col("value").alias("text")).where(production_python(F.col("path")))
 
