@@ -181,24 +181,6 @@ def test_repeated_rows_take_linear_time(spark):
         assert got == {(5, 3000, 3000, 1), (0, 399, 0, 0), (1, 501, 500, 1)}
 
 
-def test_shared_passages_are_those_of_over_fifty_words(spark):
-    rng = random.Random(23)
-    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
-    say = lambda n: " ".join(word() for _ in range(n))
-    texts, want = [], []
-    for k in range(120):
-        own = say(rng.randint(60, 300))
-        if k % 3 == 0:
-            passage = say(55)
-        if k % 3 < 2:
-            own = f"{say(rng.randint(0, 60))} {passage} {own}"
-        texts.append(own)
-        want.append(k % 3 < 2)
-    texts += [None, "", "x" * 200]
-    got = {r["doc_id"]: r["shares_passage"] for r in suffix_repeats.remove_repeats(documents(spark, texts)).collect()}
-    assert [got[i] for i in range(len(texts))] == [*want, False, False, False]
-
-
 def test_equal_runs_are_those_of_bytes():
     own, other = b"abcdefghij", b"xxabcdXfghij"
     assert suffix_repeats.equal_runs(own, other, 2, 0, 10, 4) == [(0, 4), (5, 10)]

@@ -67,7 +67,8 @@ def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, st
 def fit(labelled: DataFrame, dictionary_bytes: int = 1 << 16, text_col: str = "text", label_col: str = "label") -> CompressionModel:
     """Dictionaries and calibration from a bounded sample of labelled rows, such as ``labels.draw`` returns.
 
-    labelled may have a weight column: how many rows of its class a row stands for. Two thirds of each class build its dictionary, the rest calibrates, so the line is fitted on texts that the
+    labelled may have a weight column: how many rows of its class a row stands for. Two thirds of each class build its dictionary (of their pieces the first
+    100 * ``dictionary_bytes`` / 512, as the builder takes some hundred times a dictionary's size), the rest calibrates, so the line is fitted on texts that the
     dictionaries have not seen. Rows with null or empty text or null label are left out. With too few rows of a class
     for a dictionary, the model is constant at the share of good rows (0.5 without any rows).
     """

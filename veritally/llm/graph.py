@@ -31,7 +31,8 @@ def components(edges: DataFrame, left: str = "a", right: str = "b", most_rounds:
             both.where("y > x").join(low, "x").select(F.col("m").alias("v"), F.col("y").alias("u")).where("u <> v").distinct()
         )
         # small star: u and its smaller neighbours are linked to the smallest of them
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = hold(large, "large")
+        low2 = hold(large.groupBy("u").agg(F.min("v").alias("m")), "low")  # tables on both sides, as above
         small = (
             large.join(low2, "u")
             .select(F.col("m").alias("v"), F.explode(F.array("u", "v")).alias("u"))
@@ -46,6 +47,8 @@ def components(edges: DataFrame, left: str = "a", right: str = "b", most_rounds:
         ).first()
         release(e)
         release(low)
+        release(large)
+        release(low2)
         e = new
         # every node has one parent, and no parent has a parent: stars
         if now["n"] == now["k"] and before == (now["n"], now["s"]):

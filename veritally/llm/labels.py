@@ -26,7 +26,8 @@ def draw(
     left out of the sample (of the sample only: scores read whole texts), so the sample fits the driver at any size.
     Rows with null id or label, and ids without a document, are left out; a repeated id counts once in the draw, and of
     several texts under one id the smallest is taken.
-    weight is how many ids of its class a drawn id stands for.
+    weight is how many ids of its class a drawn id stands for; the quality classifier is calibrated by it, the toxicity model learns from the balanced
+    sample as it is, so that its scores are those of two equally common classes.
     """
     own = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
     if learn is not None:

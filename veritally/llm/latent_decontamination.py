@@ -358,6 +358,7 @@ def verify(docs: DataFrame, found: DataFrame, items: Items, idf: np.ndarray) ->
     kind = docs.schema["doc_id"].dataType.simpleString()
     once = found.groupBy("ka", "kb", "first", "piece").agg(F.max("cosine").alias("cosine"))  # repeated rows find the same windows
     hits = once.groupBy("ka", "kb").agg(F.collect_list(F.struct("first", "piece", "cosine")).alias("hits"))  # within one document
+    hits = hold(hits, "hits")  # a table, so that the join can split the copies of one row
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("ka"), F.xxhash64(F.lit(7), "text", "doc_id").alias("kb"))
     joined = keyed.join(hits.hint("shuffle_hash"), ["ka", "kb"]).select("doc_id", "text", "hits")
     return joined.mapInArrow(batches, f"doc_id {kind}, item int, first_word int, lcs double, cosine double")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from veritally.llm.common import hold
 from veritally.llm.license_texts import TEXTS
 
 K = 3
@@ -122,6 +123,7 @@ def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
     Other columns are ignored.
     """
     spans = license_spans(docs, templates).groupBy("ka", "kb").agg(F.collect_set("label").alias("found"), F.max("covered").alias("best"))
+    spans = hold(spans, "spans")  # a table, so that the join can split the copies of one row
     rows = docs.select(
         "doc_id", F.xxhash64("doc_id", "text").alias("ka"), F.xxhash64(F.lit(7), "text", "doc_id").alias("kb"), "text", F.array(words()).alias("x")
     )

@@ -50,7 +50,8 @@ def line_templates(docs: DataFrame, depth: int = DEPTH, agree: float = AGREE) ->
     token counts how many of them have it at its position. Of a line of n tokens, up to (1 - ``agree``) * n may be variable:
     with the votes of its tokens in order, the smallest beyond so many is the size of the line's group, and the tokens with
     fewer votes than that are the group's variable fields. So lines of one group come to one template, whatever other groups
-    share their leaf; a line without such fields is its own template. Votes are aggregations, so the order of lines does
+    share their leaf; a line without such fields is its own template. As a fifth of fewer than five tokens is none, lines of under five tokens have no variable
+    field but tokens with digits, nor have the first ``depth`` tokens of any line, by which it falls. Votes are aggregations, so the order of lines does
     not matter.
     """
     n = F.size("w")
@@ -106,7 +107,7 @@ def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, agree: float = AGR
     first = F.min(F.struct("doc_id", "line", "ka", "kb")).alias("first")
     shared = lines.groupBy("t1", "t2").agg(first, F.min("ka").alias("a"), F.max("ka").alias("b")).where("a <> b").select("t1", "t2", "first")
     gone = lines.join(hold(shared, "shared"), ["t1", "t2"]).where("not (ka = first.ka and kb = first.kb and line = first.line)")
-    gone = gone.groupBy("ka", "kb").agg(F.collect_set("line").alias("gone"))
+    gone = hold(gone.groupBy("ka", "kb").agg(F.collect_set("line").alias("gone")), "gone")  # a table, so that the join can split the copies of one row
     out = keyed.join(gone.hint("shuffle_hash"), ["ka", "kb"], "left")
     # the one-row explode keeps the split from being done anew for every line; array_except hashes, so time is linear in lines
     out = out.select("row", "text", "gone", F.explode(F.array(F.split("text", "\n", -1))).alias("raw"))

@@ -30,7 +30,7 @@ def write_shards(
 
     First pass: rows are scattered by seeded hashes of id and text into buckets of about ``bucket_bytes``, each within one
     shard; the number of buckets follows the shard's bytes. A row that is repeated so often that its copies would fill a
-    bucket is dealt out by its input partition too; copies are alike, so it does not matter which of them lies where. At most
+    bucket is dealt out by its place among the rows too; copies are alike, so it does not matter which of them lies where. At most
     MOST_HEAVY rows can have a 1 / MOST_HEAVY of all bytes each, which is the bound of their list. Second pass: each bucket is
     put in a fixed order, Fisher-Yates shuffled with its own seed, and written, so a task that runs again writes the same rows.
     Columns: doc_id, text, shard, bucket, place (within the bucket), size (UTF-8 bytes plus 1). A null text has no
@@ -48,7 +48,7 @@ def write_shards(
     share = max(bucket_bytes / 4, sum(total.values()) / MOST_HEAVY)
     heavy = rows.groupBy("_h").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("k")).where((F.col("n") >= share) & (F.col("k") > 1)).select("_h", F.lit(1).alias("_heavy"))
     buckets = F.array(*(F.lit(max(1, math.ceil(total.get(s, 0) / bucket_bytes))) for s in range(shards)))
-    draw = F.when(F.col("_heavy").isNull(), F.col("_h")).otherwise(F.xxhash64("_h", F.spark_partition_id()))
+    draw = F.when(F.col("_heavy").isNull(), F.col("_h")).otherwise(F.xxhash64("_h", F.shiftright(F.monotonically_increasing_id(), 4)))
     spread = rows.join(F.broadcast(heavy), "_h", "left")  # at most MOST_HEAVY rows
     scattered = spread.withColumn("bucket", F.pmod(draw, F.get(buckets, F.col("shard"))).cast("int")).select(*rows.columns[:-1], "bucket")
 

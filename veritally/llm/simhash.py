@@ -91,7 +91,8 @@ def near_duplicates(
     by_fp = own.groupBy("fp").agg(F.min("doc_id").alias("low"))
     roots = components(links(by_fp.select("fp"), radius))
     joined = by_fp.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lows = joined.groupBy("root").agg(F.min("low").alias("component_id"))
+    joined = hold(joined, "roots")
+    lows = hold(joined.groupBy("root").agg(F.min("low").alias("component_id")), "lows")  # tables on both sides, so that the join can split a large component
     classes = joined.join(lows, "root").select("fp", "component_id")
     return own.join(classes, "fp")
 
@@ -169,7 +170,8 @@ def crossings(crowd: DataFrame, keys: DataFrame) -> DataFrame:
     """
     per = crowd.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("least"), F.max("root").alias("most"))
     blocks = F.ceil(F.col("n") / _CROWD).cast("int").alias("blocks")
-    left = crowd.join(per.where("least < most").select("bucket", blocks), "bucket").join(keys.select("key", "low", "size"), "key")
+    open_ = hold(per.where("least < most").select("bucket", blocks), "open")  # a table, so that the join can split a bucket
+    left = crowd.join(open_, "bucket").join(keys.select("key", "low", "size"), "key")
     own = left.withColumn("block", F.expr("cast(pmod(xxhash64(key), blocks) as int)"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "root", "size", "low")
@@ -247,7 +249,8 @@ def _classes(docs: DataFrame, shingle: int) -> DataFrame:
     if not more.isEmpty():
         roots = components(linked.union(verified(docs, keys, more, shingle)))
     joined = keys.select("key", "low_id", "who").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    stands = joined.groupBy("root").agg(F.min("low_id").alias("low_id"), F.min("who").alias("who"))
+    joined = hold(joined, "roots")
+    stands = hold(joined.groupBy("root").agg(F.min("low_id").alias("low_id"), F.min("who").alias("who")), "stands")  # as in near_duplicates
     named = joined.select("key", "root").join(stands, "root").select("key", "low_id", "who")
     return own.select("doc_id", "hash", "key").join(hold(named, "classes"), "key").drop("key")
 

@@ -13,8 +13,6 @@ from veritally.llm.common import hold, release
 
 LENGTH = 400
 GRAM = 64
-#: Stretches of so many bytes that two documents share are always noticed, by grams of so many: over 50 words of prose.
-PASSAGE, PASSAGE_GRAM = 255, 128
 HOT = 8192
 _BASE, _OTHER = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -360,23 +358,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     return found.unionByName(_hot_windows(segments.where(F.col("n") > hot), length))
 
 
-def shared_passages(docs: DataFrame, least: int = PASSAGE, gram: int = PASSAGE_GRAM) -> DataFrame:
-    """(ka, kb): documents that have a stretch of bytes in common with another document, however it is aligned.
-
-    Of every ``least`` bytes the smallest gram hash stands for them (winnowing), so two documents that share ``least`` bytes share
-    a hash; those that share one have at least ``gram`` bytes in common. Repeated rows are one document. Each document has few
-    hashes, and neither those of one hash nor the pairs of documents are ever gathered.
-    """
-    hashes = hold(_anchors(_keyed(docs), least, gram).select("ka", "kb", "kh"), "passages")
-    several = hashes.groupBy("kh").agg(F.min("ka").alias("a"), F.max("ka").alias("b")).where("a <> b").select("kh")
-    return hashes.join(hold(several, "shared"), "kh").select("ka", "kb").distinct()
-
-
 def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, spans (array of s, e: maximal removed runs), kept (binary), shares_passage.
-
-    shares_passage tells whether the document has a passage in common with another one (``shared_passages``), also where that is
-    too short to be removed, or loses anything.
+    """One row per input row: doc_id, n_bytes, n_removed, spans (array of s, e: maximal removed runs), kept (binary).
 
     A null text counts as empty; texts shorter than ``length`` keep everything. A repeated row is another document, so
     it and its twin lose all that is ``length`` bytes or longer. What is kept need not be valid UTF-8. Other columns
@@ -386,7 +369,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             removed, spans, kept = [], [], []
-            for t, xs in zip(b.column(2), b.column(3), strict=True):
+            for t, xs in zip(b.column(1), b.column(2), strict=True):
                 raw, own = t.as_py(), sorted((x["s"], x["e"]) for x in xs.as_py() or ())
                 runs: list[list[int]] = []
                 for s, e in own:
@@ -399,13 +382,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
                 removed.append(len(raw) - len(kept[-1]))
                 spans.append([{"s": s, "e": e} for s, e in runs])
             kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
-            n = pa.array([len(t.as_buffer()) for t in b.column(2)], pa.int64())
-            shares = pa.array([x.as_py() is True or n > 0 for x, n in zip(b.column(1), removed, strict=True)])
-            yield pa.RecordBatch.from_arrays([b.column(0), n, pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), shares], ["doc_id", "n_bytes", "n_removed", "spans", "kept", "shares_passage"])
+            n = pa.array([len(t.as_buffer()) for t in b.column(1)], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), n, pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
     lists = repeated_spans(docs, length, hot).groupBy("ka", "kb").agg(F.collect_set(F.struct("s", "e")).alias("xs"))
-    shared = shared_passages(docs).withColumn("shared", F.lit(True))
-    known = lists.join(shared, ["ka", "kb"], "full")
-    joined = _keyed(docs).join(known.hint("shuffle_hash"), ["ka", "kb"], "left").select("doc_id", "shared", "raw", "xs")
+    known = hold(lists, "spans")  # a table, so that the join can split the copies of one row
+    joined = _keyed(docs).join(known.hint("shuffle_hash"), ["ka", "kb"], "left").select("doc_id", "raw", "xs")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(batches, f"doc_id {kind}, n_bytes long, n_removed long, spans array<struct<s:long,e:long>>, kept binary, shares_passage boolean")
+    return joined.mapInArrow(batches, f"doc_id {kind}, n_bytes long, n_removed long, spans array<struct<s:long,e:long>>, kept binary")
