@@ -660,6 +660,36 @@ def test_crossings_name_all_similar_pairs_of_a_crowded_bucket(spark):
     assert sorted((r["a"], r["b"]) for r in got) == sorted(pairs)
 
 
+def test_prefixes_let_all_similar_sets_meet_and_leave_out_those_with_a_passage_in_common(spark):
+    rng = random.Random(12)
+    some = lambda n: [rng.getrandbits(62) for _ in range(n)]
+    passage, sets = some(60), []
+    for k in range(300):  # sizes from 1 up, pairs about 0.8, frequent shingles in all
+        own = some(rng.randint(1, 40)) + passage[: rng.choice((0, 30, 60))]
+        sets += [own, own[rng.randint(0, len(own) // 5) :] + some(rng.randint(0, len(own) // 8))]
+    rows = spark.createDataFrame([(k, sorted(set(x))) for k, x in enumerate(sets)], "key long, grams array<long>")
+    met = {}
+    for r in simhash.prefixes(rows).collect():
+        met.setdefault(r["key"], set()).add(r["bucket"])
+    for (i, x), (j, y) in combinations(enumerate(map(set, sets)), 2):
+        if 9 * len(x & y) >= 4 * (len(x) + len(y)):
+            assert met[i] & met[j], (i, j)
+
+    n = 20_000  # of many sets with half in common, none is left; the time is linear in shingles
+    many = spark.range(n).select(F.col("id").alias("key"), F.expr("concat(sequence(1L, 20L), transform(sequence(1, 20), k -> xxhash64(id, k)))").alias("grams"))
+    assert simhash.prefixes(many).count() == 0
+    near = many.union(many.where("key < 50").select(F.col("key") + n, F.expr("slice(grams, 1, 38)")))
+    got = simhash.prefixes(near)
+    assert got.select("key").distinct().count() == 100  # each shortened set and its origin
+    assert got.groupBy("bucket").count().agg(F.max("count")).first()[0] == 2
+
+
+def test_unsettled_keeps_one_of_several_buckets_with_the_same_keys(spark):
+    rows = [(b, k, r) for b in (1, 2, 3) for k, r in ((10, 10), (11, 11), (12, 10))] + [(4, 10, 10), (4, 12, 10), (5, 10, 10), (5, 11, 11)]
+    got = simhash.unsettled(spark.createDataFrame(rows, "bucket long, key long, root long")).collect()
+    assert sorted((r["bucket"], r["key"]) for r in got) == [(1, 10), (1, 11), (1, 12), (5, 10), (5, 11)]
+
+
 def test_a_bucket_of_unrelated_centres_loses_no_pair(spark):
     """Texts that share a long head, under 0.8, meet in many buckets; the pairs at 0.8 and more among them are all linked."""
     rng = random.Random(8)

@@ -162,6 +162,53 @@ def stars(crowd: DataFrame) -> DataFrame:
     return crowd.where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b"))
 
 
+def shingle_sets(docs: DataFrame, keys: DataFrame, wanted: DataFrame, shingle: int = 5) -> DataFrame:
+    """(key, grams): the distinct shingle hashes of each wanted key, from one text that has it, as a held table.
+
+    keys: (key, who) with who the doc_id and hash of that text; wanted: (key), distinct. No other texts are cut.
+    """
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            if b.num_rows:
+                sets = [shingles(t.as_py(), shingle).view(np.int64) for t in b.column(1)]
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["key", "grams"])
+
+    wanted = wanted.join(keys, "key").select("key", F.col("who.doc_id").alias("w"), F.col("who.hash").alias("h"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("w")) & (F.col("hash") == F.col("h"))).select("key", "text")
+    return hold(texts.mapInArrow(batches, "key long, grams array<long>").dropDuplicates(["key"]), "shingles")
+
+
+def prefixes(sets: DataFrame) -> DataFrame:
+    """(bucket, key): shingles by which every two of the sets with a Jaccard similarity of 0.8 or more meet, for sets: (key, grams).
+
+    Such a pair shares at least four fifths of either set, so with all shingles in one order each set has a common one among its
+    first fifth. The order is from the rarest to the most frequent. Shingles of one set only are no common ones, so they are left out,
+    and sets with less than four fifths left have no partner: that is what becomes of texts which share a passage and nothing else.
+    """
+    rows = sets.select("key", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    common = hold(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("of")).where("of > 1"), "common")  # a table, so that the join can split a frequent one
+    own = rows.join(common, "gram").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("of", "gram"))).alias("grams"))
+    spare = F.size("grams") - F.expr("cast((4 * n + 4) div 5 as int)")
+    return own.where(spare >= 0).select("key", F.explode(F.slice("grams", F.lit(1), spare + 1)).alias("x")).select(F.col("x.gram").alias("bucket"), "key")
+
+
+def unsettled(crowd: DataFrame) -> DataFrame:
+    """The rows of crowd (bucket, key, root) in buckets with keys of several components; of buckets with the same keys, one stays.
+
+    The same keys are told by their number, ends, and two independent 64-bit sums of hashes.
+    """
+    same = (
+        F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high"),
+        F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("y"),
+    )
+    per = crowd.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most"), *same).where("least < most")
+    one = per.groupBy("n", "low", "high", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
+    return crowd.join(hold(one, "unsettled"), "bucket")  # a table, so that the join can split a bucket
+
+
 def crossings(crowd: DataFrame, keys: DataFrame) -> DataFrame:
     """(a, b), a < b: all pairs of a bucket's keys that are in different components and near enough to be verified.
 
@@ -209,17 +256,7 @@ def verified(docs: DataFrame, keys: DataFrame, pairs: DataFrame, shingle: int =
         pairs = pairs.join(keys.select(F.col("key").alias(side), F.col("size").alias(size)), side)
     near = hold(pairs.where(5 * F.least("m", "n") >= 4 * F.greatest("m", "n")).select("a", "b", "m", "n"), "pairs")
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            if b.num_rows:
-                sets = [shingles(t.as_py(), shingle).view(np.int64) for t in b.column(1)]
-                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["key", "grams"])
-
-    wanted = near.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(keys, "key").select("key", F.col("who.doc_id").alias("w"), F.col("who.hash").alias("h"))
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
-    texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("w")) & (F.col("hash") == F.col("h"))).select("key", "text")
-    sets = hold(texts.mapInArrow(batches, "key long, grams array<long>").dropDuplicates(["key"]), "shingles")
+    sets = shingle_sets(docs, keys, near.select(F.explode(F.array("a", "b")).alias("key")).distinct(), shingle)
     both = near.join(sets.select(F.col("key").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("grams").alias("y")), "b")
     return hold(both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.col("m") + F.col("n"))).select("a", "b"), "verified")
 
@@ -244,8 +281,10 @@ def _classes(docs: DataFrame, shingle: int) -> DataFrame:
     crowd = hold(rows.join(several, "bucket"), "crowd")  # tables on both sides, so that the join can split a bucket with very many keys
     linked = verified(docs, keys, stars(crowd).union(met).distinct(), shingle)
     roots = components(linked)
-    rest = crowd.where("n > 2").join(roots.withColumnRenamed("node", "key"), "key", "left")
-    more = hold(crossings(rest.select("bucket", "key", F.coalesce("root", "key").alias("root")), keys), "crossings")
+    rest = crowd.where("n > 2").join(roots.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
+    rest = hold(unsettled(rest).select("key", "root").distinct(), "rest")
+    met = prefixes(shingle_sets(docs, keys, rest.select("key"), shingle))
+    more = hold(crossings(unsettled(hold(met.join(rest, "key"), "met")), keys), "crossings")
     if not more.isEmpty():
         roots = components(linked.union(verified(docs, keys, more, shingle)))
     joined = keys.select("key", "low_id", "who").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
@@ -262,8 +301,10 @@ def similar(docs: DataFrame, shingle: int = 5) -> DataFrame:
     variant meet: these are the texts at two bits or fewer. At a similarity of 0.8 some 15 % of the bits differ, so
     fingerprints alone would miss nearly all such pairs; documents therefore also meet in any of BANDS bands of ROWS
     MinHash values, which a pair at 0.8 does with probability 0.9993. Keys of both are 64 bits, so chance meetings stay
-    rare at any size. Of a bucket, each key is compared with the smallest; where that leaves a bucket in several components,
-    ``crossings`` compares all pairs across them. ``verified`` decides on the shingles. Null and empty texts are alike.
+    rare at any size. Of a bucket, each key is compared with the smallest. The keys of buckets that this leaves in several
+    components meet anew by their rarest common shingles (``prefixes``, exact at 0.8), so a bucket of texts that share a
+    passage only is done in time linear in their shingles; ``crossings`` compares those that meet across components, and
+    ``verified`` decides on the shingles. Null and empty texts are alike.
     """
     return _classes(docs, shingle).select("doc_id", F.col("low_id").alias("component_id"))
 
