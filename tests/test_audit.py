@@ -196,3 +196,33 @@ def test_lattice_needs_a_finite_reward(spark):
     rows = [(x,) for x in (None, float("nan"), float("inf"), 0.0, 1.0)]
     df = spark.createDataFrame(rows, "reward double").select("*", *(F.lit(v).alias(c) for c, v in {"control": 1.0, "anchored": True, "refused": False, "observable": True, "valid": True}.items()))
     assert [r[0] for r in df.select(compare.verdict_of()).collect()] == ["UNVALIDATED"] * 3 + ["WITNESS", "CLEAN"]
+
+
+def test_a_small_tree_s_digest_is_that_of_its_listing(spark):
+    """What hashing each named path in order gives; no digest for an absent tree or an unsound order."""
+    import hashlib
+
+    own = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    rows = [("t", 2, "a.py", "x = 1"), ("t", 1, "b.py", ""), ("t", 3, "gone.py", None), ("absent", 1, "a.py", None), ("tie", 1, "a.py", "x"), ("tie", 1, "b.py", "y"), ("unplaced", None, "a.py", "x")]
+    kinds = "task string, position int, path string, text string"
+    digest = lambda some: {r["task"]: r["digest"] for r in compare.small_tree_digest(spark.createDataFrame(some, kinds), ["task"]).collect()}
+    listing = f"{own('')}  b.py\n{own('x = 1')}  a.py\nMISSING gone.py"
+    assert digest(rows) == {"t": own(listing), "absent": None, "tie": None, "unplaced": None}
+    changed = [("t", 2, "a.py", "x = 2"), *rows[1:3]]
+    lost = [rows[0], rows[1], ("t", 3, "gone.py", "here")]
+    assert len({digest(rows[:3])["t"], digest(changed)["t"], digest(lost)["t"], digest(rows[:2])["t"]}) == 4
+
+
+def test_a_record_without_its_task_stops_the_job(spark):
+    """Whatever is asked of the result; tasks twice in the corpus, and columns of one name on both sides."""
+    corpus = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y"), ("b", 3, "z")], "instance_id string, size int, note string")
+    recs = spark.createDataFrame([("a", "own"), ("b", "own"), ("a", "other")], "instance_id string, note string")
+    got = compare.with_corpus(recs, corpus)
+    assert got.columns == ["instance_id", "note", "size"]
+    assert sorted(tuple(r) for r in got.collect()) == [("a", "other", 1), ("a", "own", 1), ("b", "own", 2), ("b", "own", 3)]
+    for lost in ("gone", None):
+        bad = compare.with_corpus(recs.union(spark.createDataFrame([(lost, "n")], recs.schema)), corpus)
+        for run in (bad.collect, bad.count, bad.select("instance_id").collect, bad.groupBy("note").count().collect):
+            with pytest.raises(Exception, match=f"the corpus lacks {lost or 'a null id'}"):
+                run()
+    assert compare.with_corpus(recs.limit(0), corpus.limit(0)).count() == 0

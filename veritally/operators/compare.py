@@ -43,6 +43,17 @@ def remaining(wanted: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return wanted.dropDuplicates(keys).join(done.select(*keys).distinct(), keys, "left_anti")
 
 
+def with_corpus(records: DataFrame, corpus: DataFrame, key: str = "instance_id") -> DataFrame:
+    """Each record with its task's columns of the corpus; a record whose task the corpus lacks stops the job and names it.
+
+    The guard is part of the plan, in the one run that makes the result, and it holds whichever columns are asked for. A null key is
+    lacking too. Of a task that the corpus has twice, each row counts; corpus columns named as the record's are left out.
+    """
+    own = corpus.select(key, *(c for c in corpus.columns if c not in records.columns), F.lit(True).alias("__known"))
+    lacks = F.raise_error(F.concat(F.lit("the corpus lacks "), F.coalesce(F.col(key).cast("string"), F.lit("a null id")))).cast("boolean")
+    return records.join(own, key, "left").where(F.when(F.col("__known"), True).otherwise(lacks)).drop("__known")
+
+
 def unknown_ids(ids: DataFrame, corpus: DataFrame, key: str = "instance_id") -> DataFrame:
     """Ids that the corpus does not have."""
     return ids.join(corpus.select(key).distinct(), key, "left_anti")
@@ -155,3 +166,17 @@ def tree_digest(files: DataFrame, keys: list[str], path: str = "path", text: str
     blocks = blocks.withColumn("l", F.concat("hash", F.lit("  "), "block"))
     out = blocks.groupBy(*keys).agg(digest("block", "l").alias("digest"), F.sum("files").alias("files"), F.sum("present").alias("present"))
     return out.select(*keys, "files", F.when(F.col("present") > 0, F.col("digest")).alias("digest"))
+
+
+def small_tree_digest(files: DataFrame, keys: list[str], order: str = "position", path: str = "path", text: str = "text") -> DataFrame:
+    """sha256 over a tree's lines 'hash  path' or 'MISSING path' in the order given, joined by line ends: what sha256sum over the same paths gives.
+
+    For trees that are a list of named paths, such as the files of a task: a tree's lines, not its texts, come to one row. ``tree_digest`` takes trees of any
+    size, with another digest. Null where every text is missing, and where a path has no position or two share one.
+    """
+    line = F.when(F.col(text).isNull(), F.concat(F.lit("MISSING "), F.col(path))).otherwise(F.concat(F.sha2(text, 256), F.lit("  "), F.col(path)))
+    rows = files.select(*keys, F.col(order).alias("o"), line.alias("l"), F.col(text).isNotNull().alias("there"))
+    lines = F.sort_array(F.collect_list(F.struct("o", "l")))
+    out = rows.groupBy(*keys).agg(lines.alias("x"), F.count(F.lit(1)).alias("files"), F.max("there").alias("there"))
+    sound = F.col("there") & (F.size(F.array_compact(F.array_distinct(F.transform("x", lambda y: y["o"])))) == F.col("files"))
+    return out.select(*keys, "files", F.when(sound, F.sha2(F.array_join(F.transform("x", lambda y: y["l"]), "\n"), 256)).alias("digest"))

@@ -39,6 +39,28 @@ def gate_verdict(cells: DataFrame) -> DataFrame:
     return out.join(same, "task", "left").withColumn("passes", F.col("c1") & F.col("c2") & F.col("g1") & F.coalesce("c3", F.lit(True)))
 
 
+#: What has to hold for a recovery of zero to be a finding on the task rather than a defect of the run, in the order of ``zero_checks``.
+ZERO_CHECKS = ("round_trip", "no_residue", "ran", "all_reach")
+
+
+def zero_checks(runs: DataFrame, renamed: DataFrame, residue: DataFrame, reported: DataFrame, reached: DataFrame, key: str) -> DataFrame:
+    """runs with the four checks of a zero, zero_checks as their array, and failed_checks, the names of those that fail.
+
+    round_trip: the run renamed files, and undoing gave every one back (renamed: key, restored). no_residue: no file outside the tests
+    holds the old name (residue: key). ran: some graded id was reported (reported: key). all_reach: every graded test's failure
+    names the symbol (reached: key, reaches, as ``logs.reached`` gives; none graded: holds). Null of a flag is false. Each
+    side is one row a run before it is joined.
+    """
+    own = runs
+    for side, value, name in (
+        (renamed, F.min(F.coalesce("restored", F.lit(False))), "round_trip"), (residue, F.lit(False), "no_residue"), (reported, F.lit(True), "ran"), (reached, F.min(F.coalesce("reaches", F.lit(False))), "all_reach"),
+    ):
+        own = own.join(side.groupBy(key).agg(value.alias(name)), key, "left")
+    own = own.fillna({"round_trip": False, "no_residue": True, "ran": False, "all_reach": True})
+    failed = F.array_compact(F.array(*(F.when(~F.col(c), F.lit(c)) for c in ZERO_CHECKS)))
+    return own.withColumn("zero_checks", F.array(*ZERO_CHECKS)).withColumn("failed_checks", failed)
+
+
 def recovery(rows: DataFrame) -> DataFrame:
     """(recovered, outcome) from n_graded, n_failing and the four checks of a zero: an array of booleans."""
     left = F.col("n_graded") - F.col("n_failing")

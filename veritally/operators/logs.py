@@ -172,8 +172,8 @@ def joined_bodies(found: DataFrame, texts: DataFrame, key: str) -> DataFrame:
     return out.select(key, "test_id", F.when(F.size("x") > 0, F.array_join(F.transform("x", lambda y: y["b"]), "\n")).alias("body"))
 
 
-def names_within(sections: DataFrame, lines: DataFrame, symbols: DataFrame, key: str) -> DataFrame:
-    """(key, symbol, pos, named): whether a block's lines name the symbol as ``names_symbol`` would in its text.
+def _said(sections: DataFrame, lines: DataFrame, symbols: DataFrame, key: str) -> DataFrame:
+    """(key, symbol, pos, says, module, missing): which sorts of phrases of ``names_symbol`` a block's lines hold.
 
     symbols: key, symbol, pos, the blocks to be asked. Lines that hold a phrase are marked once for each symbol of the log; a window that runs backward
     over marks and blocks' beginnings gives the next mark of each sort after a beginning, which is within the block or not. So blocks that overlap,
@@ -192,7 +192,24 @@ def names_within(sections: DataFrame, lines: DataFrame, symbols: DataFrame, key:
     back = Window.partitionBy(key, "symbol").orderBy(F.desc("n"), "order").rowsBetween(Window.unboundedPreceding, 0)
     after = lambda c: F.coalesce(F.last(F.when(F.col(c), F.col("n")), True).over(back) < F.col("last"), F.lit(False))
     rows = rows.select(key, "symbol", "pos", after("says").alias("says"), after("module").alias("module"), after("missing").alias("missing"))
-    return rows.where("pos is not null").select(key, "symbol", "pos", F.expr("says or module and missing").alias("named"))
+    return rows.where("pos is not null")
+
+
+def names_within(sections: DataFrame, lines: DataFrame, symbols: DataFrame, key: str) -> DataFrame:
+    """(key, symbol, pos, named): whether a block's lines name the symbol as ``names_symbol`` would in its text; symbols: key, symbol, pos."""
+    return _said(sections, lines, symbols, key).select(key, "symbol", "pos", F.expr("says or module and missing").alias("named"))
+
+
+def reached(sections: DataFrame, lines: DataFrame, tests: DataFrame, key: str) -> DataFrame:
+    """(key, test_id, symbol, reaches): whether a test's blocks taken together, those of its sub-tests included, name the symbol; without a block they do not.
+
+    tests: key, test_id, symbol. The blocks' texts are not put together: what each of them says is.
+    """
+    ids = tests.select(key, "test_id", "symbol").distinct()
+    found = ids.join(subtest_sections(sections, tests, key), [key, "test_id"])
+    said = _said(sections, lines, found.where("pos is not null").select(key, "symbol", "pos"), key)
+    every = found.join(said, [key, "symbol", "pos"], "left").groupBy(key, "test_id", "symbol").agg(*(F.coalesce(F.max(c), F.lit(False)).alias(c) for c in ("says", "module", "missing")))
+    return every.select(key, "test_id", "symbol", F.expr("says or module and missing").alias("reaches"))
 
 
 def attributed(sections: DataFrame, lines: DataFrame, tests: DataFrame, key: str) -> DataFrame:

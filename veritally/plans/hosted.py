@@ -272,6 +272,24 @@ def tree_digest(spark, d):
     return compare.tree_digest(docs, ["source"])
 
 
+@query("""select l_orderkey as instance_id, l_returnflag as operator, o_orderpriority as repo, count(*)::bigint as n_rows, sum(case when o_custkey % 10 = 0 then 0 else 1 end)::bigint as controlled
+from lineitem join orders on l_orderkey = o_orderkey group by all""")
+def record_corpus(spark, d):
+    records = _read(spark, d, "lineitem").select(F.col("l_orderkey").alias("instance_id"), F.col("l_returnflag").alias("operator"))
+    corpus = _read(spark, d, "orders").select(F.col("o_orderkey").alias("instance_id"), F.col("o_orderpriority").alias("repo"), (F.col("o_custkey") % 10 != 0).alias("passed"))
+    both = compare.with_corpus(records, corpus)
+    return both.groupBy("instance_id", "operator", "repo").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("passed").alias("controlled"))
+
+
+@query(r"""with f as (select l_orderkey as task, l_linenumber as position, 'part/' || l_partkey || '.py' as path, case when l_quantity > 25 then l_returnflag || l_linestatus || l_suppkey end as text from lineitem)
+select task, count(*)::bigint as files, case when bool_or(text is not null) and count(distinct position) = count(*) then sha256(string_agg(case when text is null then 'MISSING ' || path else sha256(text) || '  ' || path end, chr(10) order by position)) end as digest
+from f group by task""")
+def task_digest(spark, d):
+    text = F.when(F.col("l_quantity") > 25, F.concat("l_returnflag", "l_linestatus", F.col("l_suppkey").cast("string"))).alias("text")
+    files = _read(spark, d, "lineitem").select(F.col("l_orderkey").alias("task"), F.col("l_linenumber").alias("position"), F.concat(F.lit("part/"), F.col("l_partkey").cast("string"), F.lit(".py")).alias("path"), text)
+    return compare.small_tree_digest(files, ["task"])
+
+
 @query("""with v as (select o_orderkey as instance_id, case when o_orderstatus = 'P' then 0.5 else 1.0 end as control, o_custkey % 5 <> 0 as anchored, o_custkey % 7 = 1 as refused,
 o_custkey % 11 <> 2 as observable, case o_custkey % 3 when 0 then true when 1 then false end as valid,
 case when o_orderkey % 5 = 0 then null when o_orderkey % 5 = 1 then 'nan'::double else (o_orderkey % 2)::double end as reward from orders)

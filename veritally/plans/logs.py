@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritally.operators import logs
+from veritally.operators import gates, logs
 from veritally.plans.hosted import _read, query
 
 #: The lines that line x of a document, the i-th, becomes in its log, by i mod 6; {11} is i mod 11.
@@ -117,6 +117,34 @@ def subtest_sections(spark, d):
     return blocks.join(logs.joined_bodies(found, logs.bodies(sections, lines, "id"), "id"), ["id", "test_id"]).select("id", "test_id", "blocks", F.sha2("body", 256).alias("body"))
 
 
+#: Of a document's tests, those graded in its run: one, or two where the id leaves 1 or 2 by 3.
+GRADED = """graded as (select distinct id, test_id, symbol from (select *, row_number() over (partition by id order by test_id) - 1 as i from tests) where i = id % 8 or (id % 3 > 0 and i = (id + id % 3) % 8)),
+under as (select g.id, g.test_id, g.symbol, coalesce(b.pos, s.pos) as pos from graded g join best b using (id, test_id) left join sections s on s.id = g.id and b.pos is null and starts_with(s.header, g.test_id || ' (')),
+whole as (select u.id, test_id, symbol, string_agg(body, chr(10) order by t.pos) as body from under u left join texts t on t.id = u.id and t.pos = u.pos group by all),
+reach as (select id, test_id, coalesce(contains(body, 'has no attribute ''' || symbol || '''') or contains(body, 'does not have the attribute ''' || symbol || '''') or contains(body, 'name ''' || symbol || ''' is not defined')
+  or contains(body, 'cannot import name ''' || symbol || '''') or (contains(body, 'module ''' || symbol || '''') and contains(body, 'No module named')), false) as reaches from whole)"""
+
+
+@query(f"""with {SECTIONS}, {ATTRIBUTED}, {GRADED}, f as (select id, unnest(range(id % 4)) as k from logs),
+r as (select id, bool_and((id + k) % 9 > 0) as round_trip from f group by id), a as (select id, count(*)::bigint as graded, bool_and(reaches) as all_reach from reach group by id)
+select l.id, graded, coalesce(round_trip, false) as round_trip, l.id % 5 > 0 as no_residue, l.id % 11 > 0 as ran, all_reach,
+  case when coalesce(round_trip, false) and l.id % 5 > 0 and l.id % 11 > 0 and all_reach then 'helper_coupled' else 'recovery_zero_defect' end as outcome
+from logs l left join r on r.id = l.id join a on a.id = l.id""")
+def zero_recovery(spark, d):
+    """Runs in which every graded test fails, and whether that is the task's own coupling: the tests' blocks in the log are asked."""
+    lines, every = _lines(spark, d), _tests(spark, d)
+    sections, i = logs.sections_of(lines, "id"), F.col("id")
+    place = {t: n for n, t in enumerate(sorted(TESTS))}
+    at = F.element_at(F.create_map(*(F.lit(x) for pair in place.items() for x in pair)), F.col("test_id"))
+    tests = every.where((at == i % 8) | ((i % 3 > 0) & (at == (i + i % 3) % 8)))
+    runs = tests.groupBy("id").agg(F.count(F.lit(1)).alias("graded"))
+    ids = runs.select("id")
+    renamed = ids.where(i % 4 > 0).select("id", F.explode(F.sequence(F.lit(0), (i % 4 - 1).cast("int"))).alias("k")).select("id", ((i + F.col("k")) % 9 > 0).alias("restored"))
+    told = gates.zero_checks(runs, renamed, ids.where(i % 5 == 0), ids.where(i % 11 > 0), logs.reached(sections, lines, tests, "id"), "id")
+    done = gates.recovery(told.withColumns({"n_graded": F.col("graded"), "n_failing": F.col("graded")}))
+    return done.select("id", "graded", *gates.ZERO_CHECKS, "outcome")
+
+
 STATUSES = """s as (select o_custkey as run, 'test_' || o_orderkey || ' (m.C)' || case when o_orderkey % 3 = 0 then ' ... test_' || (o_orderkey + 1) || ' (m.C) ... test_' || (o_orderkey + 2) || ' (m.C)' else '' end as name,
   case when o_orderkey % 2 = 0 then 'PASSED' else 'FAILED' end as status from orders),
 g as (select distinct o_custkey as run, 'test_' || (o_orderkey + unnest([0, 1, 2])) || ' (m.C)' as graded_id from orders),

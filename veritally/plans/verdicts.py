@@ -104,16 +104,18 @@ def swallow_totals(spark, d):
     return logs.swallow_totals(statuses, graded, "run")
 
 
-PHRASE = r"trim(regexp_extract(lower(regexp_replace(text, '[^\p{L}\p{N}_]', ' ', 'g')), '[^ ]+ +[^ ]+ +[^ ]+'))"
+THREES = r"""select distinct {key}unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as phrase
+from (select {key}string_split(lower(regexp_replace(text, '[^\p{{L}}\p{{N}}_]', ' ', 'g')), ' ') as w from {table})"""
 
 
-@query(rf"""with p as (select distinct {PHRASE} as phrase from benchmark), q as (select phrase from p where phrase <> '' and len(string_split(phrase, ' ')) in (3, 4)),
-w as (select doc_id, ' ' || lower(regexp_replace(text, '[^\p{{L}}\p{{N}}_]', ' ', 'g')) || ' ' as t from documents)
-select distinct doc_id, phrase from w join q on contains(t, ' ' || phrase || ' ')""")
+@query(f"""with g as ({THREES.format(key="doc_id, ", table="documents")}), p as ({THREES.format(key="", table="benchmark")})
+select doc_id, phrase from g join p using (phrase) where regexp_matches(phrase, '^[^ ]+ [^ ]+ [^ ]+$')""")
 def phrase_mentions(spark, d):
-    phrases = _read(spark, d, "benchmark").select(F.trim(F.regexp_extract(X.normal(F.col("text")), "[^ ]+ +[^ ]+ +[^ ]+", 0)).alias("phrase"))
-    phrases = phrases.where("phrase <> '' and size(split(phrase, ' ')) in (3, 4)").distinct()
-    return text.phrase_mentions(_read(spark, d, "documents"), phrases, "doc_id", [3, 4])
+    """Documents that hold three words as they stand in a benchmark item, for all such of every item."""
+    words = _read(spark, d, "benchmark").select(F.split(X.normal(F.col("text")), " ").alias("w")).where("size(w) >= 3")
+    threes = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " "))
+    phrases = words.select(F.explode(threes).alias("phrase")).where(F.col("phrase").rlike("^[^ ]+ [^ ]+ [^ ]+$")).distinct()
+    return text.phrase_mentions(_read(spark, d, "documents"), phrases, "doc_id", [3])
 
 
 @query("""with t as (select o_custkey as overlay, o_orderkey % 50 as path, o_orderstatus = 'P' as production from orders), f as (select c_custkey as overlay, unnest(range(25)) as path from customer)
