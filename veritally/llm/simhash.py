@@ -282,9 +282,11 @@ def _classes(docs: DataFrame, shingle: int) -> DataFrame:
     linked = verified(docs, keys, stars(crowd).union(met).distinct(), shingle)
     roots = components(linked)
     rest = crowd.where("n > 2").join(roots.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
-    rest = hold(unsettled(rest).select("key", "root").distinct(), "rest")
-    met = prefixes(shingle_sets(docs, keys, rest.select("key"), shingle))
-    more = hold(crossings(unsettled(hold(met.join(rest, "key"), "met")), keys), "crossings")
+    rest = hold(unsettled(rest), "rest")
+    own_roots = hold(rest.select("key", "root").distinct(), "settled")
+    met = hold(prefixes(shingle_sets(docs, keys, own_roots.select("key"), shingle)).join(own_roots, "key"), "met")
+    able = hold(unsettled(met).select("key").distinct(), "able")  # keys that may have a partner in another component
+    more = hold(crossings(rest.join(able, "key"), keys), "crossings")
     if not more.isEmpty():
         roots = components(linked.union(verified(docs, keys, more, shingle)))
     joined = keys.select("key", "low_id", "who").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
@@ -302,9 +304,9 @@ def similar(docs: DataFrame, shingle: int = 5) -> DataFrame:
     fingerprints alone would miss nearly all such pairs; documents therefore also meet in any of BANDS bands of ROWS
     MinHash values, which a pair at 0.8 does with probability 0.9993. Keys of both are 64 bits, so chance meetings stay
     rare at any size. Of a bucket, each key is compared with the smallest. The keys of buckets that this leaves in several
-    components meet anew by their rarest common shingles (``prefixes``, exact at 0.8), so a bucket of texts that share a
-    passage only is done in time linear in their shingles; ``crossings`` compares those that meet across components, and
-    ``verified`` decides on the shingles. Null and empty texts are alike.
+    components are told by their rarest common shingles (``prefixes``, exact at 0.8) whether they may have a partner in another
+    component, so a bucket of texts that share a passage only is done in time linear in their shingles; ``crossings``
+    compares those of a bucket that may, and ``verified`` decides on the shingles. Null and empty texts are alike.
     """
     return _classes(docs, shingle).select("doc_id", F.col("low_id").alias("component_id"))
 
