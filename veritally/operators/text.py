@@ -49,26 +49,28 @@ def changed_lines(patches: DataFrame, key: str, patch: str = "patch") -> DataFra
 
 
 def in_spans(lines: DataFrame, spans: DataFrame, keys: list[str], width: int = 256) -> DataFrame:
-    """(keys, symbol): definitions whose span first..last holds a line; nested owners match too.
-
-    A range join as an equi-join: spans are listed under each block of ``width`` lines that they touch, so a span of
-    ordinary length has one or two rows and a file's lines meet only the spans of their block.
-    """
-    block = F.explode(F.sequence(F.floor(F.col("first") / width).cast("int"), F.floor(F.col("last") / width).cast("int"))).alias("block")
-    dealt = spans.where("first <= last").select(*keys, "symbol", "first", "last", block)
-    own = lines.withColumn("block", F.floor(F.col("line") / width).cast("int"))
-    return own.join(dealt, [*keys, "block"]).where("line between first and last").select(*keys, "symbol").distinct()
+    """(keys, symbol): definitions whose span first..last holds a line; nested owners match too."""
+    return touching(lines.select(*keys, F.col("line").alias("a"), F.col("line").alias("b")), spans, keys, width)
 
 
 def touching(hunks: DataFrame, spans: DataFrame, keys: list[str], width: int = 256) -> DataFrame:
-    """(keys, symbol): spans that overlap a hunk a..b, by the blocks that both touch."""
+    """(keys, symbol): spans that overlap a hunk a..b.
 
-    def blocks(lo: str, hi: str) -> F.Column:
-        return F.explode(F.sequence(F.floor(F.col(lo) / width).cast("int"), F.floor(F.col(hi) / width).cast("int"))).alias("block")
-
-    a = hunks.where("a <= b").select(*keys, "a", "b", blocks("a", "b"))
-    s = spans.where("first <= last").select(*keys, "symbol", "first", "last", blocks("first", "last"))
-    return a.join(s, [*keys, "block"]).where("not (b < first or a > last)").select(*keys, "symbol").distinct()
+    A hunk overlaps a span if the furthest end of the hunks that begin up to the span's last line is not before its first line, so no hunk meets a span:
+    that end is a running maximum within the block of ``width`` lines of the span's last line, or what the blocks before it reach. Work is
+    linear in hunks and spans, however many lie on the same lines.
+    """
+    known = " and ".join(f"{k} is not null" for k in keys)
+    block = lambda c: F.floor(F.col(c) / width).alias("block")
+    h = hunks.where(f"a <= b and {known}").groupBy(*keys, "a").agg(F.max("b").alias("b")).select(*keys, block("a"), F.col("a").alias("at"), "b")
+    s = spans.where(f"first <= last and {known}").select(*keys, block("last"), F.col("last").alias("at"), "symbol", "first").distinct()
+    ends = h.groupBy(*keys, "block").agg(F.max("b").alias("b")).unionByName(s.select(*keys, "block").distinct().withColumn("b", F.lit(None).cast(h.schema["b"].dataType)))
+    before = F.max("b").over(Window.partitionBy(*keys).orderBy("block").rangeBetween(Window.unboundedPreceding, -1))
+    ends = ends.withColumn("before", before).groupBy(*keys, "block").agg(F.max("before").alias("before"))  # a row for each block of a file
+    rows = h.withColumn("hunk", F.lit(True)).unionByName(s.withColumn("hunk", F.lit(False)), allowMissingColumns=True)
+    upto = F.max("b").over(Window.partitionBy(*keys, "block").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    own = rows.withColumn("upto", upto).where("not hunk").join(ends, [*keys, "block"])
+    return own.where(F.greatest("upto", "before") >= F.col("first")).select(*keys, "symbol").distinct()
 
 
 def single_word_mentions(texts: DataFrame, words: DataFrame, key: str, text: str = "text", word: str = "word") -> DataFrame:
