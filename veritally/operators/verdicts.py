@@ -93,8 +93,9 @@ def overlay_problems(touched: DataFrame, test_files: DataFrame, key: str = "over
     """(key, problem, path): paths of an overlay that leave its test files, or that are production files.
 
     touched: key, path, production. test_files: key, path. ``empty`` is for an overlay of test_files without any touched path.
+    Files are often listed by an explode, whose rows Spark's estimate does not foresee, so they are not left to be broadcast.
     """
-    outside = touched.join(test_files, [key, "path"], "left_anti").select(key, F.lit("outside").alias("problem"), "path")
+    outside = touched.join(test_files.hint("merge"), [key, "path"], "left_anti").select(key, F.lit("outside").alias("problem"), "path")
     bad = touched.where("production").select(key, F.lit("production").alias("problem"), "path")
-    empty = test_files.select(key).distinct().join(touched.select(key).distinct(), key, "left_anti").select(key, F.lit("empty").alias("problem"), F.lit(None).cast("string").alias("path"))
+    empty = test_files.select(key).distinct().join(touched.select(key).distinct().hint("merge"), key, "left_anti").select(key, F.lit("empty").alias("problem"), F.lit(None).cast("string").alias("path"))
     return outside.unionByName(bad).unionByName(empty)
