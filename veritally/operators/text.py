@@ -12,11 +12,11 @@ from veritally.functions.expressions import normal, patched_files, production_py
 def classify(corpus: DataFrame, patch: str = "patch") -> DataFrame:
     """corpus plus files_touched, targets (production Python among them), n_files, n_targets, single_file, eligible.
 
-    Where the corpus has its lists of graded tests, also n_fail_to_pass and n_pass_to_pass.
+    A null patch touches no file. Where the corpus has its lists of graded tests, also n_fail_to_pass and n_pass_to_pass.
     """
     lists = {"n_fail_to_pass": "FAIL_TO_PASS", "n_pass_to_pass": "PASS_TO_PASS"}
     corpus = corpus.withColumns({n: F.size(c) for n, c in lists.items() if c in corpus.columns})
-    out = corpus.withColumn("files_touched", patched_files(F.col(patch)))
+    out = corpus.withColumn("files_touched", patched_files(F.coalesce(patch, F.lit(""))))
     out = out.withColumn("targets", F.filter("files_touched", production_python))
     return out.withColumns(
         {

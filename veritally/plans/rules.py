@@ -54,9 +54,9 @@ def patched_files(spark, d):
 
 
 @query(f"""with {DIFFS}, f as (select distinct id, regexp_extract(t, '^diff --git a/(.+?) b/(.+)$', 2) as file from l where t like 'diff --git a/%')
-select id, count(file)::int as n_files, (count(file) filter (where file like '%.py'))::int as n_targets, count(file) = 1 as single_file, count(file) filter (where file like '%.py') > 0 as eligible from p left join f using (id) where patch is not null group by id""")
+select id, count(file)::int as n_files, (count(file) filter (where file like '%.py'))::int as n_targets, count(file) = 1 as single_file, count(file) filter (where file like '%.py') > 0 as eligible from p left join f using (id) group by id""")
 def classify_patches(spark, d):
-    return text.classify(_diffs(spark, d).where("patch is not null")).select("id", "n_files", "n_targets", "single_file", "eligible")
+    return text.classify(_diffs(spark, d)).select("id", "n_files", "n_targets", "single_file", "eligible")
 
 
 @query(rf"""with {DIFFS}, m as (select *, last_value(case when t like 'diff --git a/%' then regexp_extract(t, '^diff --git a/(.+?) b/(.+)$', 2) end ignore nulls) over w as path,
