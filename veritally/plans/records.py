@@ -25,11 +25,11 @@ def _json(spark: SparkSession, d: str) -> DataFrame:
         F.col("instance_id").cast("string").alias("instance_id"), "repo", "multi_target", "n_targets", F.struct(F.col("control_passed").alias("passed")).alias("control"), with_logs.alias("rows"),
         F.filter("rows", lambda r: r["verdict"] == "WITNESS").alias("witnesses"), F.when(F.col("n_targets") < 3, F.col("control_passed")).alias("completed"),
     )
-    return own.select(F.to_json(record).alias("value"))
+    return own.select(readers.once(F.to_json(record)).alias("value"))
 
 
 def _loaded(spark: SparkSession, d: str) -> DataFrame:
-    return _json(spark, d).select(F.from_json("value", schemas.RECORD).alias("x")).select("x.*")
+    return _json(spark, d).select(readers.once(F.from_json("value", schemas.RECORD)).alias("x")).select("x.*")
 
 
 def _split(recs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -80,9 +80,8 @@ def json_quarantine(spark, d):
     texts = _json(spark, d).withColumn("instance_id", F.get_json_object("value", "$.instance_id").cast("long"))
     half = F.substr(value, F.lit(1), F.floor(F.length(value) / 2).cast("int"))
     hurt = F.when(k % 9 == 0, half).when(k % 9 == 1, F.replace(value, F.lit('"instance_id":'), F.lit('"other_id":'))).when(k % 9 == 2, F.lit(" ")).otherwise(value)
-    whole, broken = readers.split_records(texts.select(k.alias("own_id"), hurt.alias("value")))
-    told = broken.select(F.col("own_id").alias("instance_id"), "broken")
-    return whole.select(F.col("instance_id").cast("long").alias("instance_id"), F.lit(None).cast("string").alias("broken")).unionByName(told)
+    told = readers.told_records(texts.select(k.alias("own_id"), readers.once(hurt).alias("value")))
+    return told.select(F.when(F.col("broken").isNull(), F.col("record.instance_id").cast("long")).otherwise(F.col("own_id")).alias("instance_id"), "broken")
 
 
 _SETS = f"""{FACTS}, f as (select operator, instance_id, repo, case when own.multi_target then 'multi' else 'single' end as targets, bool_or(verdict in ('WITNESS', 'CLEAN', 'INVALID')) as j, bool_or(verdict = 'WITNESS') as w

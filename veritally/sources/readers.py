@@ -15,20 +15,32 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.RECORD).option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
 
 
-def split_records(texts: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
-    """(records, broken): JSON texts as records, and the rows of those that are none, with ``broken`` saying what they are.
+def once(c: Column) -> Column:
+    """c by an explode of one row, so that filters and columns over it do not each work it out again."""
+    return F.explode(F.array(c))
+
 
-    A text is broken that is no JSON object (cut off, a list, a bare value, empty) or has no instance_id; none of them becomes a row of nulls. Other
-    columns of texts stay in both.
+def told_records(texts: DataFrame, value: str = "value") -> DataFrame:
+    """texts plus ``record`` and ``broken``, which says what is wrong with a text that is no record and is null for the others; each text is parsed once.
+
+    A text is broken that is no JSON object (cut off, a list, a bare value, empty) or has no instance_id.
     """
     bad = StructType.fromDDL(schemas.RECORD).add("_broken", "string")
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
+    parsed = texts.select("*", once(F.from_json(value, bad, options)).alias("record"))
+    why = F.when(F.coalesce(value, F.lit("")).rlike(r"^\s*$"), "empty").when(F.col("record").isNull() | F.col("record._broken").isNotNull() | ~F.col(value).rlike(r"^\s*\{"), "no JSON object")
+    return parsed.withColumn("broken", why.when(F.col("record.instance_id").isNull(), "no instance_id"))
+
+
+def split_records(texts: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
+    """(records, broken): JSON texts as records, and the rows of those that are none, with ``broken`` as ``told_records`` has it.
+
+    None of the broken becomes a row of nulls. Other columns of texts stay in both.
+    """
     others = [c for c in texts.columns if c != value]
-    parsed = texts.withColumn("_x", F.from_json(value, bad, options))
-    why = F.when(F.coalesce(value, F.lit("")).rlike(r"^\s*$"), "empty").when(F.col("_x").isNull() | F.col("_x._broken").isNotNull() | ~F.col(value).rlike(r"^\s*\{"), "no JSON object")
-    parsed = parsed.withColumn("broken", why.when(F.col("_x.instance_id").isNull(), "no instance_id"))
-    whole = parsed.where("broken is null").select(*others, *(f"_x.{f.name}" for f in bad.fields[:-1]))
-    return whole, parsed.where("broken is not null").select(*others, value, "broken")
+    told = told_records(texts, value)
+    whole = told.where("broken is null").select(*others, *(f"record.{f.name}" for f in StructType.fromDDL(schemas.RECORD)))
+    return whole, told.where("broken is not null").select(*others, value, "broken")
 
 
 def checked_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
