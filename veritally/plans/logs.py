@@ -113,8 +113,7 @@ def subtest_sections(spark, d):
     lines = _lines(spark, d)
     sections = logs.sections_of(lines, "id")
     found = logs.subtest_sections(sections, _tests(spark, d), "id")
-    blocks = found.groupBy("id", "test_id").agg(F.count("pos").alias("blocks"))
-    return blocks.join(logs.joined_bodies(found, logs.bodies(sections, lines, "id"), "id"), ["id", "test_id"]).select("id", "test_id", "blocks", F.sha2("body", 256).alias("body"))
+    return logs.joined_bodies(found, logs.bodies(sections, lines, "id"), "id").select("id", "test_id", "blocks", F.sha2("body", 256).alias("body"))
 
 
 #: Of a document's tests, those graded in its run: one, or two where the id leaves 1 or 2 by 3.
