@@ -100,12 +100,13 @@ def applications(files: DataFrame, issues: DataFrame, found: DataFrame | None =
     """(tree, target, operator, label, line, status, reason, path, text): what comes of each anchor; refusals are rows with null path and text.
 
     issues: tree, issue. A file that does not parse has a REFUSED row. A rename has a row for each file that it changes, decided over the tree's
-    files by ``sources.rename``; the other operators change the anchor's file only.
+    files by ``sources.rename``; the other operators change the anchor's file only. Anchors and places are kept, as each is asked several times and
+    files are to be parsed once for either.
     """
-    found = anchors(files) if found is None else found
+    found = cut(anchors(files)) if found is None else found
     broken = found.where("operator is null").select("tree", F.col("path").alias("target"), F.lit(None).cast("string").alias("operator"), F.lit(None).cast("string").alias("label"), "line", F.lit("REFUSED").alias("status"), F.col("note").alias("reason"))
     names = found.where(F.col("operator") == OPERATORS[0]).select("tree", "path", F.col("label").alias("name"), "line")
-    places = sources.occurrences(files)
+    places = cut(sources.occurrences(files))
     renamed = sources.rename(files, places, names.select("tree", "path", "name").distinct(), issues)
     renamed = renamed.join(names.groupBy("tree", F.col("path").alias("target"), "name").agg(F.min("line").alias("line")), ["tree", "target", "name"])
     renamed = renamed.select("tree", "target", F.lit(OPERATORS[0]).alias("operator"), F.col("name").alias("label"), "line", "status", "reason", "path", "text")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veritally.operators import sources, trees
 from veritally.plans.hosted import _read, query
+from veritally.tables import cut
 
 #: A file for each document: two definitions, a list returned, and two messages; {i} is its number, {w} a message.
 FILE = "# {c}\ndef f_{i}(x):\n    return list(x)\n\n\nclass _C{i}:\n    def m(self):\n        raise ValueError(\"bad {w}\")\n\n    def n(self):\n        raise KeyError(\"gone {i}\")\n"
@@ -73,7 +74,7 @@ def rename_anchors(spark, d):
 case when not (named and label = 'f_' || i) then sha256(regexp_replace(text, '\b' || label || '\b', label || '__renamed', 'g')) end as text from a join t using (i) join files using (i) where operator = 'symbol_rename'""")
 def symbol_rename(spark, d):
     files, issues = _files(spark, d)
-    places = sources.occurrences(files)
+    places = cut(sources.occurrences(files))  # several joins ask them, files are parsed once
     return sources.rename(files, places, sources.rename_anchors(places), issues).select("tree", "name", "status", "reason", F.sha2("text", 256).alias("text"))
 
 
