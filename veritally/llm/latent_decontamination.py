@@ -27,6 +27,8 @@ _BLOCK = 4096
 _WORDS = 1 << 19
 #: Weighted terms that are projected at a time.
 _TERMS = 1 << 16
+#: Members of a run whose rows are added together with those of other runs.
+_LONG = 64
 
 
 def item_words(text: str | None) -> list[bytes]:
@@ -73,14 +75,35 @@ class Items:
         return cls(words, vocabulary, *(np.array(x, np.int64) for x in (of, begins, widths, terms, pieces)))
 
 
+def _run_sums(table: np.ndarray, index: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each run of ``index``, which begin at ``first``, the sum of the rows of ``table`` that it names.
+
+    The k-th members of all runs are added at once, whole rows at a time; the few runs of over _LONG members are summed one by one.
+    """
+    sizes = np.diff(np.append(first, len(index)))
+    by = np.argsort(-sizes, kind="stable")
+    begin, sizes = first[by], sizes[by]
+    many = int((sizes > _LONG).sum())
+    sums = np.empty((len(first), table.shape[1]), table.dtype)
+    for i in range(many):
+        sums[i] = table[index[begin[i] : begin[i] + sizes[i]]].sum(axis=0, dtype=np.float64)
+    sums[many:] = table[index[begin[many:]]]
+    for k in range(1, int(sizes[many]) if many < len(sizes) else 0):
+        n = int(np.searchsorted(-sizes, -k))  # so many have over k members
+        sums[many:n] += table[index[begin[many:n] + k]]
+    out = np.empty_like(sums)
+    out[by] = sums
+    return out
+
+
 def _project(terms: np.ndarray, rows: np.ndarray, weighted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(rows present, the sums of their terms' rows of ``weighted``); rows come in order."""
     first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else np.zeros(0, np.int64)
-    return rows[first], np.add.reduceat(weighted[terms], first, axis=0) if len(first) else np.zeros((0, weighted.shape[1]), np.float32)
+    return rows[first], _run_sums(weighted, terms, first)
 
 
 def tokens(docs: DataFrame, items: Items) -> DataFrame:
-    """(ka, kb, terms): the benchmark's number of every word of every whole text, -1 for words that no item has.
+    """(doc_id, terms): the benchmark's number of every word of every whole text, -1 for words that no item has.
 
     Texts without a word of the benchmark are left out, as all their vectors are zero.
     """
@@ -92,11 +115,11 @@ def tokens(docs: DataFrame, items: Items) -> DataFrame:
         def out(b: pa.RecordBatch, row: list[int], terms: list[np.ndarray]) -> pa.RecordBatch:
             ends, take = np.cumsum([0, *map(len, terms)]).astype(np.int32), pa.array(row, pa.int64())
             values = pa.array(np.concatenate(terms))
-            return pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.ListArray.from_arrays(pa.array(ends), values)], ["ka", "kb", "terms"])
+            return pa.RecordBatch.from_arrays([b.column(0).take(take), pa.ListArray.from_arrays(pa.array(ends), values)], ["doc_id", "terms"])
 
         for b in it:
             row, terms, n = [], [], 0
-            for i, t in enumerate(b.column(2)):
+            for i, t in enumerate(b.column(1)):
                 own = item_words(t.as_py())
                 ids = np.fromiter(map(known.get, own, repeat(-1)), np.int32, len(own))
                 if len(ids) and ids.max() >= 0:
@@ -109,8 +132,8 @@ def tokens(docs: DataFrame, items: Items) -> DataFrame:
             if row:
                 yield out(b, row, terms)
 
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("ka"), F.xxhash64(F.lit(7), "text", "doc_id").alias("kb"), "text").where("text <> ''")
-    return keyed.mapInArrow(batches, "ka long, kb long, terms array<int>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").where("text <> ''").mapInArrow(batches, f"doc_id {kind}, terms array<int>")
 
 
 def _some(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -223,7 +246,7 @@ def latent_basis(held: DataFrame, items: Items, seed: int = 11) -> tuple[np.ndar
         entry = np.searchsorted(there, rows)
         by = np.argsort(terms, kind="stable")
         which, begin = np.unique(terms[by], return_index=True)
-        out[which] += np.add.reduceat(y[entry[by]], begin, axis=0) * idf[which, None]
+        out[which] += _run_sums(y, entry[by], begin) * idf[which, None]
         return float((idf[terms] ** 2).sum())
 
     def power(b: pa.RecordBatch, total: np.ndarray) -> None:
@@ -245,65 +268,49 @@ def latent_basis(held: DataFrame, items: Items, seed: int = 11) -> tuple[np.ndar
     return idf, left[:, np.argsort(-size)[:RANK]].astype(np.float32)
 
 
-def candidates(held: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray, least: float = COSINE) -> DataFrame:
-    """(ka, kb, first, piece, cosine): windows of whole texts near a piece of an item in the latent space.
+def candidates(b: pa.RecordBatch, items: Items, wanted: np.ndarray, some: np.ndarray, weighted: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, first word, piece, cosine) of the windows of a batch's whole texts that are near a piece of an item in the latent space.
 
     Each piece meets windows of its own width, which begin every half of it. Vectors are summed over blocks of words once,
     half as long as the narrowest windows; those of wider windows are sums of them. The benchmark is a stated query
     set, met in blocks of windows.
     """
-    weighted = basis * idf[:, None].astype(np.float32)
-    own = idf[items.terms] > 0
-    there, y = _project(items.terms[own], items.pieces[own], weighted)
-    wanted = np.zeros((len(items.of), basis.shape[1]), np.float32)
-    wanted[there] = y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)
-    sent = held.sparkSession.sparkContext.broadcast((wanted, np.append(idf > 0, False), weighted, items.widths))
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, some, weighted, widths = sent.value
-        kinds = sorted(set(widths.tolist()))
-        pieces = {w: np.flatnonzero(widths == w) for w in kinds}
-        block = kinds[0] // 2
-        most = kinds[-1] // block
-        for b in (x for whole in it for x in _some(whole)):
-            terms, row, place, sizes = _flat(b, some)
-            blocks = -(-sizes // block) + most - 1  # empty ones behind each text, so that no window reaches into the next
-            begin = np.cumsum(blocks) - blocks
-            at = begin[row] + place // block
-            total = int(blocks.sum())
-            for lo in range(0, total if len(at) else 0, _BLOCK):
-                hi = min(lo + _BLOCK + most - 1, total)
-                a, z = np.searchsorted(at, [lo, hi])
-                if a == z:
-                    continue
-                there, y = _project(terms[a:z], at[a:z] - lo, weighted)
-                sums, have = np.zeros((hi - lo, weighted.shape[1]), np.float32), 1
-                sums[there] = y
-                of = np.searchsorted(begin, np.arange(lo, min(lo + _BLOCK, hi)), side="right") - 1
-                nth = np.arange(lo, lo + len(of)) - begin[of]
-                for w in kinds:
-                    while have * block < w:
-                        sums = sums[:-have] + sums[have:]
-                        have *= 2
-                    n = min(len(sums), len(of))
-                    size = np.sqrt(np.einsum("ij,ij->i", sums[:n], sums[:n]))
-                    starts = (nth[:n] % (have // 2) == 0) & ((nth[:n] == 0) | (nth[:n] * block < sizes[of[:n]] - w // 2)) & (size > 1e-6)
-                    k = np.flatnonzero(starts)
-                    cos = (sums[k] @ wanted[pieces[w]].T) / size[k, None]
-                    i, j = np.nonzero(cos >= least)
-                    if len(i):
-                        take = pa.array(of[k[i]])
-                        yield pa.RecordBatch.from_arrays(
-                            [b.column(0).take(take), b.column(1).take(take), pa.array((nth[k[i]] * block).astype(np.int32)), pa.array(pieces[w][j].astype(np.int32)), pa.array(cos[i, j].astype(float))],
-                            ["ka", "kb", "first", "piece", "cosine"],
-                        )
-
-    return held.mapInArrow(batches, "ka long, kb long, first int, piece int, cosine double")
-
-
-def common_subsequence(a: list[bytes], b: list[bytes]) -> int:
+    kinds = sorted(set(items.widths.tolist()))
+    pieces = {w: np.flatnonzero(items.widths == w) for w in kinds}
+    block = kinds[0] // 2
+    most = kinds[-1] // block
+    terms, row, place, sizes = _flat(b, some)
+    blocks = -(-sizes // block) + most - 1  # empty ones behind each text, so that no window reaches into the next
+    begin = np.cumsum(blocks) - blocks
+    at = begin[row] + place // block
+    total = int(blocks.sum())
+    for lo in range(0, total if len(at) else 0, _BLOCK):
+        hi = min(lo + _BLOCK + most - 1, total)
+        a, z = np.searchsorted(at, [lo, hi])
+        if a == z:
+            continue
+        there, y = _project(terms[a:z], at[a:z] - lo, weighted)
+        sums, have = np.zeros((hi - lo, weighted.shape[1]), np.float32), 1
+        sums[there] = y
+        of = np.searchsorted(begin, np.arange(lo, min(lo + _BLOCK, hi)), side="right") - 1
+        nth = np.arange(lo, lo + len(of)) - begin[of]
+        for w in kinds:
+            while have * block < w:
+                sums = sums[:-have] + sums[have:]
+                have *= 2
+            n = min(len(sums), len(of))
+            size = np.sqrt(np.einsum("ij,ij->i", sums[:n], sums[:n]))
+            starts = (nth[:n] % (have // 2) == 0) & ((nth[:n] == 0) | (nth[:n] * block < sizes[of[:n]] - w // 2)) & (size > 1e-6)
+            k = np.flatnonzero(starts)
+            cos = (sums[k] @ wanted[pieces[w]].T) / size[k, None]
+            i, j = np.nonzero(cos >= least)
+            if len(i):
+                yield of[k[i]], nth[k[i]] * block, pieces[w][j], cos[i, j]
+
+
+def common_subsequence(a: list, b: list) -> int:
     """Length of the longest common subsequence, in one pass over b with a bit for each word of a."""
-    where: dict[bytes, int] = {}
+    where: dict = {}
     for i, x in enumerate(a):
         where[x] = where.get(x, 0) | 1 << i
     ones = (1 << len(a)) - 1
@@ -315,53 +322,52 @@ def common_subsequence(a: list[bytes], b: list[bytes]) -> int:
     return len(a) - v.bit_count()
 
 
-def verify(docs: DataFrame, found: DataFrame, items: Items, idf: np.ndarray) -> DataFrame:
+def found(held: DataFrame, items: Items, idf: np.ndarray, basis: np.ndarray, least: float = COSINE) -> DataFrame:
     """(doc_id, item, first_word, lcs, cosine): candidates whose words bear them out, the best of each document and item.
 
-    lcs is the longest common subsequence's share of the whole item, within the place where the found piece puts it and a
+    They are verified where they are found, on the texts' word numbers: words that no item has never match one. lcs is the
+    longest common subsequence's share of the whole item, within the place where the found piece puts it and a
     margin of up to WINDOW words. A passage stands if lcs is at least SURE, or at least LCS with the answer - the item's last
     quarter, where a question's answer stands - found to half or more, in each case with at least RARE of the item's
     uncommon words. item counts from 0.
     """
-    rare = [{x for x in w if idf[items.vocabulary[x]] > 0} for w in items.words]
-    sent = docs.sparkSession.sparkContext.broadcast((items, rare))
+    weighted = basis * idf[:, None].astype(np.float32)
+    own = idf[items.terms] > 0
+    there, y = _project(items.terms[own], items.pieces[own], weighted)
+    wanted = np.zeros((len(items.of), basis.shape[1]), np.float32)
+    wanted[there] = y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)
+    sent = held.sparkSession.sparkContext.broadcast((items, wanted, np.append(idf > 0, False), weighted))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, rare = sent.value
-        for b in it:
-            row, out = [], []
-            for i, (t, hits) in enumerate(zip(b.column(1), b.column(2), strict=True)):
-                w = item_words(t.as_py())
-                best: dict[int, tuple] = {}
-                for h in hits.as_py():
-                    k = int(items.of[h["piece"]])
-                    own, begin = items.words[k], h["first"] - int(items.begins[h["piece"]])
+        items, wanted, some, weighted = sent.value
+        words = [[items.vocabulary[x] for x in w] for w in items.words]
+        rare = [{x for x in w if some[x]} for w in words]
+        for b in (x for whole in it for x in _some(whole)):
+            ends, terms = b.column(1).offsets.to_numpy().astype(np.int64), b.column(1).flatten().to_numpy()
+            ends -= ends[0]
+            best: dict[tuple[int, int], tuple] = {}
+            for hits in candidates(b, items, wanted, some, weighted, least):
+                for i, at, piece, cosine in zip(*(x.tolist() for x in hits), strict=True):
+                    k = int(items.of[piece])
+                    own, begin = words[k], at - int(items.begins[piece])
                     margin = min(len(own), WINDOW)
-                    near = w[max(0, begin - margin) : begin + int(items.widths[h["piece"]]) + len(own) + margin]
-                    here = set(near)
-                    if len(rare[k] & here) < RARE * len(rare[k]):
+                    lo, hi = max(0, begin - margin), begin + int(items.widths[piece]) + len(own) + margin
+                    near = terms[ends[i] + lo : min(ends[i] + hi, ends[i + 1])].tolist()
+                    if len(rare[k].intersection(near)) < RARE * len(rare[k]):
                         continue
-                    share = common_subsequence(own, near) / len(own)
+                    share, here = common_subsequence(own, near) / len(own), set(near)
                     answer = own[-max(1, len(own) // 4) :]
                     told = sum(x in here for x in answer) * 2 >= len(answer)
                     if share >= SURE or share >= LCS and told:
-                        best[k] = max(best.get(k, (0.0,)), (share, h["cosine"], -max(begin, 0)))
-                for k, (share, cosine, first) in sorted(best.items()):
-                    row.append(i)
-                    out.append((k, -first, share, cosine))
-            cols = list(zip(*out, strict=True)) or [[], [], [], []]
-            kinds = (pa.int32(), pa.int32(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(row, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "item", "first_word", "lcs", "cosine"]
-            )
+                        best[i, k] = max(best.get((i, k), (0.0,)), (share, cosine, -max(begin, 0)))
+            rows = [(i, k, -first, share, cosine) for (i, k), (share, cosine, first) in sorted(best.items())]
+            cols = list(zip(*rows, strict=True)) or [[], [], [], [], []]
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64())
+            take, *rest = (pa.array(c, k) for c, k in zip(cols, kinds, strict=True))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), *rest], ["doc_id", "item", "first_word", "lcs", "cosine"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    once = found.groupBy("ka", "kb", "first", "piece").agg(F.max("cosine").alias("cosine"))  # repeated rows find the same windows
-    hits = once.groupBy("ka", "kb").agg(F.collect_list(F.struct("first", "piece", "cosine")).alias("hits"))  # within one document
-    hits = hold(hits, "hits")  # a table, so that the join can split the copies of one row
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("ka"), F.xxhash64(F.lit(7), "text", "doc_id").alias("kb"))
-    joined = keyed.join(hits.hint("shuffle_hash"), ["ka", "kb"]).select("doc_id", "text", "hits")
-    return joined.mapInArrow(batches, f"doc_id {kind}, item int, first_word int, lcs double, cosine double")
+    kind = held.schema["doc_id"].dataType.simpleString()
+    return held.mapInArrow(batches, f"doc_id {kind}, item int, first_word int, lcs double, cosine double")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -392,9 +398,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         items = Items.cut([w for _, w in part])
         held = hold(tokens(docs, items), "tokens")
         idf, basis = latent_basis(held, items)
-        found = verify(docs, candidates(held, items, idf, basis), items, idf)
         names = spark.createDataFrame([(k, i) for k, (i, _) in enumerate(part)], f"item int, {kinds.split(', ', 1)[1]}")
-        own = found.join(F.broadcast(names), "item").select(*out.columns)  # at most PIECES items
+        own = found(held, items, idf, basis).join(F.broadcast(names), "item").select(*out.columns)  # at most PIECES items
         out = own if len(parts) == 1 else out.unionByName(own)
     return out
 
