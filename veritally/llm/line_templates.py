@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +19,9 @@ def _keys(docs: DataFrame) -> DataFrame:
 
 
 def _trimmed(line: Column) -> Column:
-    return F.btrim(line, F.lit(" \t\r"))
+    """A line without blanks, tabs and returns at its ends; btrim goes over a line's every character, so others are left alone."""
+    ends = functools.reduce(Column.__or__, (f(F.lit(c)) for c in " \t\r" for f in (line.startswith, line.endswith)))
+    return F.when(ends, F.btrim(line, F.lit(" \t\r"))).otherwise(line)
 
 
 def _masked(line: Column) -> Column:
@@ -36,10 +40,9 @@ def _lines(docs: DataFrame) -> DataFrame:
     return cut.select("ka", "kb", "doc_id", "line", _masked(F.col("t")).alias("m"))
 
 
-def _tokens(m: str = "m") -> Column:
-    """The tokens of a line; a split at single blanks needs no pattern, so other lines are brought to that first."""
-    single = F.when(F.col(m).rlike("\t|  "), F.regexp_replace(m, "[ \t]+", " ")).otherwise(F.col(m))
-    return F.split(single, " ", -1)
+def _single(m: Column) -> Column:
+    """A masked line with one blank between its tokens."""
+    return F.when(m.contains("\t") | m.contains("  "), F.regexp_replace(m, "[ \t]+", " ")).otherwise(m)
 
 
 def line_templates(docs: DataFrame, depth: int = DEPTH, agree: float = AGREE) -> DataFrame:
@@ -54,12 +57,14 @@ def line_templates(docs: DataFrame, depth: int = DEPTH, agree: float = AGREE) ->
     field but tokens with digits, nor have the first ``depth`` tokens of any line, by which it falls. Votes are aggregations, so the order of lines does
     not matter.
     """
-    n = F.size("w")
-    lines = _lines(docs).withColumn("w", _tokens())
+    n, single = F.col("n"), F.col("single")
+    lines = _lines(docs).withColumn("single", _single(F.col("m")))
+    # all lines are only counted at their blanks and cut after the first tokens; those of a leaf with several are split below
+    lines = lines.withColumn("n", F.octet_length(single) - F.octet_length(F.replace(single, F.lit(" "), F.lit(""))) + 1)
     lines = lines.select(
         "ka", "kb", "doc_id", "line",
         F.xxhash64("m").alias("h1"), F.xxhash64(F.lit(1), "m").alias("h2"),
-        F.xxhash64(n, F.slice("w", 1, depth)).alias("leaf"), F.floor(F.lit(round(1 - agree, 6)) * n).cast("int").alias("free"),
+        F.xxhash64(n, F.substring_index(single, " ", depth)).alias("leaf"), F.floor(F.lit(round(1 - agree, 6)) * n).cast("int").alias("free"),
     )
     lines = hold(lines, "lines")
     several = lines.where("free > 0").groupBy("leaf").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("leaf")
@@ -72,12 +77,14 @@ def line_templates(docs: DataFrame, depth: int = DEPTH, agree: float = AGREE) ->
     line = F.transform(F.array_distinct("wanted"), lambda x: F.struct(x["leaf"].alias("leaf"), x["h1"].alias("h1"), x["h2"].alias("h2"), F.get("raw", x["line"]).alias("t")))
     one = split.select(F.explode(line).alias("x"))
     words = one.select("x.leaf", "x.h1", "x.h2", _masked(_trimmed(F.col("x.t"))).alias("m")).distinct()
-    words = words.select("leaf", "h1", "h2", _tokens().alias("w"))
-    words = hold(words.select("leaf", "h1", "h2", F.size("w").alias("size"), F.posexplode("w").alias("at", "word")), "words")
+    words = words.select("leaf", "h1", "h2", F.split(_single(F.col("m")), " ", -1).alias("w"))
+    words = words.select("leaf", "h1", "h2", F.size("w").alias("size"), F.posexplode("w").alias("at", "token"))
+    words = hold(words.select("leaf", "h1", "h2", "size", "at", F.xxhash64("token").alias("word")), "words")  # a token is only told from others at its place
     votes = words.groupBy("leaf", "at", "word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # tokens that no other line has at their place are only counted, as they are variable in any group
     voted = words.join(hold(votes, "votes"), ["leaf", "at", "word"])
-    own = voted.groupBy("leaf", "h1", "h2", "size").agg(F.collect_list(F.struct("at", "word", "n")).alias("w"))  # a line's own tokens
+    # tokens are dealt out by line first: in a part by place nearly every one is its line's only token, so that lists made there are only sorted and moved
+    own = voted.repartition("leaf", "h1", "h2", "size").groupBy("leaf", "h1", "h2", "size").agg(F.collect_list(F.struct("at", "word", "n")).alias("w"))  # a line's own tokens
     own = own.withColumn("alone", F.col("size") - F.size("w"))
     free = F.floor(F.lit(round(1 - agree, 6)) * F.col("size"))
     # one-row explodes, so that the group's size and the arrays are made once rather than for each token
@@ -86,7 +93,7 @@ def line_templates(docs: DataFrame, depth: int = DEPTH, agree: float = AGREE) ->
     kept = F.explode(F.array(F.filter("w", lambda x: x["n"] >= F.col("group")))).alias("kept")
     own = own.select("leaf", "h1", "h2", "size", kept).where(F.size("kept") < F.col("size"))
     # a template is its number of tokens and the fixed ones with their places
-    fixed = F.sort_array(F.transform(F.filter("kept", lambda x: x["word"] != "<*>"), lambda x: F.struct(x["at"].alias("at"), x["word"].alias("word"))))
+    fixed = F.sort_array(F.transform(F.filter("kept", lambda x: x["word"] != F.xxhash64(F.lit("<*>"))), lambda x: F.struct(x["at"].alias("at"), x["word"].alias("word"))))
     fixed = own.select("leaf", "h1", "h2", "size", F.explode(F.array(fixed)).alias("fixed"))
     general = fixed.select("leaf", "h1", "h2", F.xxhash64("size", "fixed").alias("g1"), F.xxhash64(F.lit(1), "size", "fixed").alias("g2"))
     named = lines.join(general, ["leaf", "h1", "h2"], "left")
